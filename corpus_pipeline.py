@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickcast.llm import common, exact_dedup, line_quality
+from tickcast.llm import common, exact_dedup, line_quality, near_dedup, packing, phrases
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("quality", quality), ("exact", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words under repeated windows go; documents stay, with the text that is left and its length."""
+    kept = phrases.remove_repeats(docs, with_text=True).select("doc_id", F.col("kept_text").alias("text"))
+    rest = docs.drop("text", "n_chars").join(kept, "doc_id")
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of every document, each with its sequence and offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("substring", substring), ("packing", packing_stage)]
 
 #: Learned scores, token ids and linear-programming patterns are beyond SQL.
 ORACLE_SQL = None

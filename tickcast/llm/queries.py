@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickcast.llm import exact_dedup, line_quality, packing, phrases
+from tickcast.llm import exact_dedup, line_quality, near_dedup, packing, phrases
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op7_packing]
+QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op6_near_dedup, op7_packing]
 
 
 def queries() -> dict:
