@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickcast.llm import exact_dedup, line_quality, near_dedup, packing, phrases, toxicity
+from tickcast.llm import exact_dedup, line_quality, near_dedup, neighbours, packing, phrases, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +40,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
     return toxicity.score_toxicity(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op6_near_dedup, op7_packing, op9_toxicity]
+QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity]
 
 
 def queries() -> dict:
