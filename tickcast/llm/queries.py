@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickcast.llm import exact_dedup, line_quality, near_dedup, neighbours, packing, phrases, toxicity
+from tickcast.llm import exact_dedup, line_quality, near_dedup, neighbours, packing, phrases, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity]
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity, op10_token_counts]
 
 
 def queries() -> dict:
