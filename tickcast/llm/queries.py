@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickcast.llm import exact_dedup, line_quality, near_dedup, neighbours, packing, phrases, token_counts, toxicity
+from tickcast.llm import exact_dedup, line_dedup, line_quality, near_dedup, neighbours, packing, phrases, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity, op10_token_counts]
+QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op5_line_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity, op10_token_counts]
 
 
 def queries() -> dict:
@@ -78,4 +84,13 @@ def oracle_sql() -> dict[str, str]:
                  k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
             SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
             FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+        "op5_line_dedup": r"""
+            WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+                 v AS (SELECT doc_id, i, md5(array_to_string(x[i:i + 2], chr(10))) AS k FROM (SELECT doc_id, x, unnest(range(1, len(x) - 1)) AS i FROM d WHERE len(x) >= 3)),
+                 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM v),
+                 g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM r WHERE n > 1),
+                 t AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM d),
+                 k AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM t ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+            SELECT d.doc_id, CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     }
