@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickcast.llm import exact_dedup, line_dedup, line_quality, near_dedup, neighbours, packing, phrases, token_counts, toxicity
+from tickcast.llm import exact_dedup, line_dedup, line_quality, near_dedup, neighbours, packing, phrases, pieces, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_exact_dedup, op3_quality, op4_substring_dedup, op5_line_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity, op10_token_counts]
+QUERIES = [op1_sentencepiece, op2_exact_dedup, op3_quality, op4_substring_dedup, op5_line_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity, op10_token_counts]
 
 
 def queries() -> dict:

@@ -47,12 +47,18 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes; the same word has the same hash everywhere."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _power("down", _INVERSE, n)[starts])
+    return span_hashes(prefix_sums(data), starts, ends)
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of ``data`` follows."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, max(1, len(data)))[: len(data)], out=prefix[1:])
+    return prefix
+
+
+def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((prefix[ends] - prefix[starts]) * _power("down", _INVERSE, len(prefix))[starts])
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
