@@ -124,14 +124,21 @@ def _recurring(rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(list(out), pa.int32()), "h": pa.array([np.unique(np.concatenate(x)).tobytes() for x in out.values()], pa.binary())})
 
 
-def _automaton(w32: np.ndarray, g: np.ndarray, at: np.ndarray, phrase: int):
-    """Automaton of the phrases at the given places; content decides, not the hash."""
-    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+def _located(w: np.ndarray, g: np.ndarray, at: np.ndarray, phrase: int) -> np.ndarray:
+    """Where in the word sequence any of the phrases at the given places stands, by one pass of an automaton.
+
+    A word is three symbols of its hash: small alphabets keep the automaton's nodes narrow.
+    """
+    symbols = (w >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().decode("latin-1")
+    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     _, one = np.unique(g[at], return_index=True)
-    for p in at[one]:
-        auto.add_word(tuple(w32[p : p + phrase].tolist()), 1)
+    for p in at[one].tolist():
+        auto.add_word(symbols[3 * p : 3 * (p + phrase)], 1)
     auto.make_automaton()
-    return auto
+    ends = np.fromiter((end for end, _ in auto.iter(symbols)), np.int64)
+    found = np.zeros(len(w) + 1, bool)
+    found[ends[ends % 3 == 2] // 3 - phrase + 1] = True
+    return found
 
 
 def _ordered(rows: pa.Table) -> pa.Table:
@@ -157,22 +164,19 @@ def _locate(buckets: int, window: int, phrase: int):
         hit = known[np.minimum(np.searchsorted(known, g[places]), len(known) - 1)] == g[places]
         if not hit.any():
             return none
-        w32 = (w >> np.uint64(32)).astype(np.int64)
-        auto = _automaton(w32, g, places[hit], phrase)
-        found = np.zeros(len(w) + 1, bool)
-        for i, j in zip(limits[:-1], limits[1:]):
-            if j - i >= window:
-                for end, _ in auto.iter(tuple(w32[i:j].tolist())):
-                    found[i + end - phrase + 1] = True
-        del auto
+        found = _located(w, g, places[hit], phrase)
         keep = found[at]
         starts = starts[keep]
         if not len(starts):
             return none
         k1 = grams(w, window)[starts]
         k2 = (grams(mix(w + np.uint64(1)), window)[starts] >> np.uint64(32)).astype(np.uint32)
-        full = np.rec.fromarrays([k1, k2], names="a,b")
-        _, first, inverse, n = np.unique(full, return_index=True, return_inverse=True, return_counts=True)
+        by = np.lexsort((k2, k1))  # stable, so each key's first place comes first
+        new = np.ones(len(by), bool)
+        new[1:] = (np.diff(k1[by]) != 0) | (np.diff(k2[by]) != 0)
+        first, inverse = by[new], np.empty(len(by), np.int64)
+        inverse[by] = np.cumsum(new) - 1
+        n = np.bincount(inverse)
         # keys in order of their first place: documents and starts then pack to almost nothing
         order = np.argsort(first, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -272,8 +276,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     bounded_batches(spark)
     n_blocks, buckets = blocks(docs, "text"), partitions(docs)
     dealt = docs.select(_block(n_blocks).alias("block"), "text", "doc_id").repartition(max(n_blocks, 1), "block")
+    # both uses read the same columns, so one exchange serves both
     packed = "block int, bucket int"
-    phrases = dealt.select("block", "text").mapInArrow(_chosen_phrases(buckets, window, phrase), "bucket int, block int, h binary, twice binary")
+    phrases = dealt.mapInArrow(_chosen_phrases(buckets, window, phrase), "bucket int, block int, h binary, twice binary")
     again = phrases.groupBy("bucket").applyInArrow(_recurring, "block int, h binary")
     rows = f"kind int, {packed}, n long, a binary, b binary, c binary, d binary"
     found = written(dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_locate(buckets, window, phrase), rows), "phrases")
