@@ -48,7 +48,8 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id
     joined = marks.join(again, "fp").select("doc_id", "p")
     places = written(joined.groupBy("doc_id").agg(F.collect_set("p").alias("ps")), "places")
     # extend both ways: all windows around a recurring fingerprint, each with its content's digest
-    lines = own.join(places, "doc_id").select("doc_id", "ps", _lines(F.col("text")).alias("x"))
+    # texts follow the corpus: both joins with them are shuffles at any size
+    lines = own.hint("merge").join(places, "doc_id").select("doc_id", "ps", _lines(F.col("text")).alias("x"))
     starts = F.array_distinct(
         F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(p - (run - 1), F.lit(0)), F.least(p, F.size("x") - run))))
     )
@@ -58,7 +59,7 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id
     later = windows.join(firsts, "k").filter(F.struct("doc_id", "i") != F.col("first"))
     gone = later.groupBy("doc_id").agg(F.collect_set("i").alias("starts"))
     gone = written(gone.select("doc_id", F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + run - 1)))).alias("gone")), "gone-lines")
-    out = own.join(gone, "doc_id", "left").select("doc_id", _lines(F.col("text")).alias("x"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    out = own.hint("merge").join(gone, "doc_id", "left").select("doc_id", _lines(F.col("text")).alias("x"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("x") - 1), F.col("gone"))
     kept = F.when(F.size("gone") == 0, F.col("x")).otherwise(F.transform(left, lambda i: F.element_at("x", i + 1)))
     return out.select("doc_id", F.size("x").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("kept_text"))
