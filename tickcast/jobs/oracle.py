@@ -131,7 +131,7 @@ def oracle_sql() -> dict[str, str]:
         "pmf_smoothed": f"WITH {c} SELECT {_KEY}, round(prob, 6) AS prob, round(base_prob, 6) AS base_prob, num_bins FROM pmf",
         "pmf_smoothed_sparse": f"WITH {sparse} SELECT {_KEY}, round(prob, 6) AS prob, round(base_prob, 6) AS base_prob, num_bins FROM pmf",
         "reverse_cdf": f"WITH {c} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob FROM cdf",
-        "reverse_cdf_sparse": f"WITH {sparse} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob FROM cdf",
+        "reverse_cdf_sparse": f"WITH {sparse} SELECT {_KEY}, round(cum_prob + 1e-9, 6) AS cum_prob FROM cdf",
         "state_statistics": f"WITH {c} SELECT contract, m, n, k, max(n_total) AS sample_count, max(ell) FILTER (WHERE direction = 'range') AS max_range, max(ell) FILTER (WHERE direction = 'range_up') AS max_range_up, max(ell) FILTER (WHERE direction = 'range_dn') AS max_range_dn FROM pmf GROUP BY contract, m, n, k",
         "validate_model": f"""WITH {c}, s AS (SELECT contract, m, n, k, direction, sum(prob) + greatest(any_value(num_bins) - count(*), 0) * any_value(base_prob) AS total FROM pmf GROUP BY contract, m, n, k, direction),
             t AS (SELECT contract, count(*) AS n_distributions, count(*) FILTER (WHERE abs(total - 1) > 1.1e-5) AS bad_sums FROM s GROUP BY contract),

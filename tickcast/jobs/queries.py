@@ -177,7 +177,8 @@ def reverse_cdf(spark, sf_dir):
 
 
 def reverse_cdf_sparse(spark, sf_dir):
-    return r6(training.fit(bars_of(spark, sf_dir), KEYS, SPARSE)["cdf"])
+    c = training.fit(bars_of(spark, sf_dir), KEYS, SPARSE)["cdf"]
+    return r6(c.withColumn("cum_prob", F.col("cum_prob") + 1e-9))  # sums that end exactly on half a digit round alike
 
 
 def state_statistics(spark, sf_dir):
