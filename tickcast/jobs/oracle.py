@@ -99,6 +99,7 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN (SELECT contract, count(*) AS o, CAST(18 AS BIGINT) AS p FROM (SELECT DISTINCT contract, m, n, k FROM used) GROUP BY ALL) h ON t.contract = h.contract)"""
     return {
         "load_bars": f"WITH {_BARS} SELECT contract, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
+        "discover_files": "SELECT event_type AS market, CAST(1 AS BIGINT) AS n_files FROM events GROUP BY event_type",
         "model_roundtrip": f"WITH {c} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob FROM cdf",
         "tick_size_lookup": f"WITH {names} SELECT o_orderkey, name, tick_size FROM nm LEFT JOIN ticks ON upper(name) = sym",
         "parse_symbol": f"WITH {names} SELECT o_orderkey, path, symbol, tick_size, CASE WHEN symbol IS NULL THEN 'no_match' WHEN tick_size IS NULL THEN 'unknown_symbol' ELSE 'ok' END AS parse_status FROM parts LEFT JOIN ticks ON symbol = sym",
