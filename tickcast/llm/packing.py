@@ -12,51 +12,85 @@ sequence; rows that repeat an id are packed each; extra columns are ignored; an
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickcast.llm.common import bounded_batches, mapped, partitions, written
+from tickcast.llm.common import bounded_batches, mapped, partitions, slices, text_buffer, written
 
 SEQUENCE, END = 4096, 1
 #: Distinct words that a Python worker remembers with their ids, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+_LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
+
+    Words of Latin-1 letters are cut by the tokenizer's own pattern and given to its model directly; for these its
+    normalizer only lowers case. All others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        plain = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        plain = plain and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"]
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if plain else None
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+        # byte-level models write the bytes that don't print as the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.begin, self.used = np.zeros(1 << 16, np.int64), 0
 
+    def _ids(self, word: str) -> list[int]:
+        if self.pattern is None or not (word.isascii() and word.isprintable() or _LATIN.fullmatch(word)) or "<" in word and self.special.search(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in self.pattern.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))]
+            out += ids
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                k, ids = len(self.number), e.ids
-                while k >= len(self.sizes):
-                    self.sizes, self.begin = np.concatenate([self.sizes] * 2), np.concatenate([self.begin] * 2)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat] * 2)
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.sizes[k], self.begin[k] = len(ids), self.used
-                self.used += len(ids)
-                self.number[word] = k
+        flat: list[int] = []
+        sizes: list[int] = []
+        for word in words:
+            ids = self._ids(word.decode())
+            flat += ids
+            sizes.append(len(ids))
+        k, n = len(self.number), len(words)
+        while k + n > len(self.sizes):
+            self.sizes, self.begin = np.concatenate([self.sizes] * 2), np.concatenate([self.begin] * 2)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat] * 2)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.sizes[k : k + n] = sizes
+        self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.number.update(zip(words, range(k, k + n)))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and len(texts) + 1 limits."""
@@ -64,9 +98,9 @@ class WordEncoder:
         words = [w for part in split for w in part]
         if len(self.number) > CACHE_WORDS:
             self._clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        new = set(words).difference(self.number)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         n = self.sizes[at]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
@@ -91,8 +125,9 @@ def pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end: int = END) -
     bounded_batches(docs.sparkSession)
 
     def cut(batch: pa.RecordBatch):
-        for i in range(0, batch.num_rows, 100):
-            some = batch.slice(i, 100)
+        offsets = text_buffer(batch.column(1))[1]
+        for i, j in slices(offsets, 1 << 20):
+            some = batch.slice(i, j - i)
             ids, limits = encoder(path)(some.column(1).to_pylist())
             rows = []
             for doc, a, b in zip(some.column(0).to_pylist(), limits[:-1], limits[1:]):
