@@ -7,8 +7,9 @@ dart, so two documents agree on a coordinate with the probability of their simil
 
 Copies with the same words collapse first. Banded signatures meet by equi-join: every member of a band's
 group is paired with the group's least id, true similarities decide, and components are found by label
-propagation. Groups that then still hold several components are completed: members of the lesser components are compared
-with the others, so no candidate link between components is lost and no group is expanded into all pairs.
+propagation. Groups that then still hold several components are completed: members of the lesser components meet
+the others, but only where a bound allows a link. The bound is exact: shingles that no other document of these groups
+has can't be shared, so sizes and unique shingles limit the similarity of a pair. No candidate link between components is lost.
 
 Defined results: null and empty texts have no words and form one class of their own copies; texts shorter than a
 shingle are one shingle of all their words; texts of any length count whole; white space only separates words; rows that repeat
@@ -28,7 +29,9 @@ from tickcast.llm.common import bounded_batches, mapped, slices, text_buffer, wr
 from tickcast.llm.words import bounds, grams, hashes, mix, spans
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 32, 7
+#: Slots of the hashed id filter that picks candidate texts in the scan; a broadcast of at most so many numbers.
+SLOTS = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,6 +52,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return row, h
 
 
+def _salt(k: int) -> np.uint64:
+    return np.uint64(int(_GOLD) * k % 2**64)
+
+
 def _exponential(seed: np.ndarray) -> np.ndarray:
     return -np.log1p(-(mix(seed) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
 
@@ -82,11 +89,11 @@ def dart_signatures(row: np.ndarray, h: np.ndarray, rows: int, k: int) -> tuple[
             r, reg, rank, limit = r[live], reg[live], rank[live], limit[live]
             if not len(r):
                 break
-            dart = mix(reg + _GOLD * np.uint64(2 * arrival))
+            dart = mix(reg + _salt(2 * arrival))
             found_r.append(r)
             found_rank.append(rank)
             found_dart.append(dart)
-            rank = rank + _exponential(reg + _GOLD * np.uint64(2 * arrival + 1))
+            rank = rank + _exponential(reg + _salt(2 * arrival + 1))
             arrival += 1
         if not found_r:
             t *= 2
@@ -109,7 +116,9 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
     def sign(batch: pa.RecordBatch):
         data, offsets = text_buffer(batch.column(1))
-        for i, j in slices(offsets, 1 << 20):
+        # short documents throw as many darts as long ones, so rows are limited as well as bytes
+        some_rows = ((a, min(a + 256, j)) for i, j in slices(offsets, 1 << 20) for a in range(i, j, 256))
+        for i, j in some_rows:
             part = data[offsets[i] : offsets[j]]
             row, h = shingles(part, offsets[i : j + 1] - offsets[i], shingle)
             sig, some = dart_signatures(row, h, j - i, bands * rows)
@@ -161,11 +170,34 @@ def linked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
             keep = pa.array(similarity(ra, ha, rb, hb, some.num_rows) >= least)
             yield some.select(["a", "b"]).filter(keep)
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    # texts follow the corpus: both joins are shuffles at any size
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     return mapped(both.select("a", "b", "ta", "tb"), check, "a long, b long")
 
 
+def shared_bounds(texts: DataFrame, shingle: int) -> DataFrame:
+    """rep, size, common: shingles of each document, and how many of them some other of these documents has too."""
+
+    def shingled(batch: pa.RecordBatch):
+        for i in range(0, batch.num_rows, 200):
+            some = batch.slice(i, 200)
+            row, h = shingles(*text_buffer(some.column(1)), shingle)
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(h)))
+            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row[at])), pa.array(h[at].view(np.int64)), pa.array(n, pa.int64())], ["rep", "h", "n"])
+
+    rows = mapped(texts.select("doc_id", "text"), shingled, "rep long, h long, n long")
+    lonely = rows.groupBy("h").agg(F.count("*").alias("docs"), F.min("rep").alias("rep"), F.min("n").alias("n")).filter("docs = 1")
+    unique = lonely.groupBy("rep").agg(F.sum("n").alias("unique"))
+    size = rows.groupBy("rep").agg(F.sum("n").alias("size"))
+    return size.join(unique, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("unique", F.lit(0))).alias("common"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the least node of each connected component, by rounds of label propagation with jumps.
 
@@ -189,23 +221,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     """One row per input row: doc_id, class_id (least doc_id of the class), n_links (verified links of its text)."""
     sig = written(signatures(docs, shingle, bands, rows), "signatures")
     groups = written(sig.groupBy("content").agg(F.min("doc_id").alias("rep")), "contents")
-    reps = sig.join(groups, "content").filter("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"])
+    reps = sig.join(groups, "content").filter("doc_id = rep").groupBy("rep").agg(F.first("bands").alias("bands"))
     banded = written(reps.select("rep", F.posexplode("bands").alias("band", "key")), "bands")
     pivots = written(banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1"), "pivots")
     pairs = written(banded.join(pivots, ["band", "key"]).filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    # texts of candidates (and of a few others that share a slot) are picked in the scan, without a shuffle
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+    slots_ = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(slot.alias("slot")).distinct()
+    texts = docs.select("doc_id", "text", slot.alias("slot")).join(F.broadcast(slots_), "slot", "left_semi").drop("slot")
+    texts = written(texts, "candidate-texts")
     edges = written(linked(pairs, texts, shingle, least), "edges")
     labels = components(edges)
-    # complete the groups that still hold several components
+    # groups that still hold several components: their members meet as far as the bounds allow
     marked = banded.join(pivots.select("band", "key"), ["band", "key"]).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     marked = written(marked.select("band", "key", "rep", F.coalesce("label", "rep").alias("label")), "marked")
     parts = marked.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = written(marked.join(main.select("band", "key", "main"), ["band", "key"]), "mixed")
-    minor = mixed.filter("label <> main").select("band", "key", F.col("rep").alias("r1"), F.col("label").alias("l1"))
-    rest = minor.join(mixed.select("band", "key", F.col("rep").alias("r2"), F.col("label").alias("l2")), ["band", "key"]).filter("l1 <> l2")
-    rest = rest.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
+    for _ in range(3):  # without those that reach the similarity with no one, more shingles are unique
+        there = mixed.select(F.col("rep").alias("doc_id")).distinct()
+        limits = written(shared_bounds(texts.join(there, "doc_id", "left_semi"), shingle), "bounds")
+        mixed = written(mixed.select("band", "key", "rep", "label", "main").join(limits, "rep").filter(F.col("common") >= least * F.col("size")), "mixed")
+    mixed = mixed.join(reps, "rep")
+    side = lambda i: [F.col("band"), F.col("key"), *(F.col(c).alias(f"{c}{i}") for c in ("rep", "label", "size", "common", "bands"))]
+    most = F.least("common1", "common2")
+    possible = (F.col("label1") != F.col("label2")) & (most >= least * (F.col("size1") + F.col("size2") - most))
+    once = F.array_position(F.zip_with("bands1", "bands2", lambda u, v: u == v), True) == F.col("x.band") + 1  # in their first common band
+    minor = mixed.filter("label <> main").select(side(1))
+    met = minor.alias("x").join(mixed.select(side(2)).alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & possible & once)
+    rest = met.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     more = written(linked(rest, texts, shingle, least), "more-edges")
     if more.limit(1).count():
