@@ -82,30 +82,25 @@ def dart_signatures(row: np.ndarray, h: np.ndarray, rows: int, k: int) -> tuple[
         r, reg = row[pick], region[pick]
         limit = t / n[r]
         rank = _exponential(reg)
-        found_r, found_rank, found_dart = [], [], []
+        # the earliest dart of each cell so far; memory follows cells, not darts
+        best, dart_of = np.full(rows * k, np.inf), np.zeros(rows * k, np.uint64)
         arrival = 1
-        while len(r):
+        while True:
             live = rank <= limit
-            r, reg, rank, limit = r[live], reg[live], rank[live], limit[live]
+            if not live.all():
+                r, reg, rank, limit = r[live], reg[live], rank[live], limit[live]
             if not len(r):
                 break
             dart = mix(reg + _salt(2 * arrival))
-            found_r.append(r)
-            found_rank.append(rank)
-            found_dart.append(dart)
+            cell = r * k + (dart % np.uint64(k)).astype(np.int64)
+            np.minimum.at(best, cell, rank)
+            first = best[cell] == rank
+            dart_of[cell[first]] = dart[first]
             rank = rank + _exponential(reg + _salt(2 * arrival + 1))
             arrival += 1
-        if not found_r:
-            t *= 2
-            continue
-        fr, fk, fd = np.concatenate(found_r), np.concatenate(found_rank), np.concatenate(found_dart)
-        cell = fr * k + (fd % np.uint64(k)).astype(np.int64)
-        by = np.lexsort((fd, fk, cell))
-        cells, first = np.unique(cell[by], return_index=True)
-        full = np.bincount(cells // k, minlength=rows) == k
-        good = full[cells // k]
-        out.reshape(-1)[cells[good]] = fd[by][first[good]] | np.uint64(1)
-        todo = todo[~full[todo]]
+        full = np.isfinite(best).reshape(rows, k)[todo].all(axis=1)
+        out[todo[full]] = dart_of.reshape(rows, k)[todo[full]] | np.uint64(1)
+        todo = todo[~full]
         t *= 2
     return out, n > 0
 
@@ -116,18 +111,13 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
     def sign(batch: pa.RecordBatch):
         data, offsets = text_buffer(batch.column(1))
-        # short documents throw as many darts as long ones, so rows are limited as well as bytes
-        some_rows = ((a, min(a + 256, j)) for i, j in slices(offsets, 1 << 20) for a in range(i, j, 256))
-        for i, j in some_rows:
+        for i, j in slices(offsets, 1 << 20):  # at most ARROW_ROWS rows come in a batch
             part = data[offsets[i] : offsets[j]]
             row, h = shingles(part, offsets[i : j + 1] - offsets[i], shingle)
             sig, some = dart_signatures(row, h, j - i, bands * rows)
-            key = np.zeros((j - i, bands), np.uint64)
-            for b in range(bands):
-                x = np.full(j - i, b + 1, np.uint64)
-                for c in range(b * rows, (b + 1) * rows):
-                    x = mix(x * _GOLD + sig[:, c])
-                key[:, b] = x
+            key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (j - i, 1))
+            for c in range(rows):
+                key = mix(key * _GOLD + sig[:, c::rows])
             raw = part.tobytes()
             lo = offsets[i]
             content = [hashlib.md5(b" ".join(raw[a - lo : b - lo].split())).digest() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1])]
