@@ -12,8 +12,10 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        # a running session doesn't take the setting itself
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
