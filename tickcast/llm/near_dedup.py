@@ -228,10 +228,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     parts = marked.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = written(marked.join(main.select("band", "key", "main"), ["band", "key"]), "mixed")
-    for _ in range(3):  # without those that reach the similarity with no one, more shingles are unique
-        there = mixed.select(F.col("rep").alias("doc_id")).distinct()
+    there = mixed.select(F.col("rep").alias("doc_id")).distinct()
+    before = there.count()
+    while True:  # without those that reach the similarity with no one, more shingles are unique; the bound is exact after any round
         limits = written(shared_bounds(texts.join(there, "doc_id", "left_semi"), shingle), "bounds")
         mixed = written(mixed.select("band", "key", "rep", "label", "main").join(limits, "rep").filter(F.col("common") >= least * F.col("size")), "mixed")
+        there = mixed.select(F.col("rep").alias("doc_id")).distinct()
+        left = there.count()
+        if left >= 0.9 * before:  # also when none was there
+            break
+        before = left
     mixed = mixed.join(reps, "rep")
     side = lambda i: [F.col("band"), F.col("key"), *(F.col(c).alias(f"{c}{i}") for c in ("rep", "label", "size", "common", "bands"))]
     most = F.least("common1", "common2")
