@@ -78,6 +78,31 @@ def test_lines(docs, empty):
     assert line_dedup.remove_repeated_lines(empty).count() == 0
 
 
+def test_short_runs_of_lines(spark):
+    long = " ".join(words(5, 9))
+    some = [
+        (0, f"a\n{long}\nb\nfew words\nc"), (1, f"q\n{long}\nr\nfew words\ns"), (2, long), (3, "x one two three four\ny one two three four\nz"),
+        (4, "p\nx one two three four\ny one two three four\np2"), (5, "short text"), (6, "short text"), (7, "u\nv"), (8, "u\nv"), (9, "\n\n.\n\n"),
+    ]
+    texts = spark.createDataFrame(some, "doc_id long, text string")
+
+    def brute(alone):
+        first, gone = {}, {i: set() for i, _ in some}
+        for i, t in some:
+            x = t.split("\n")
+            for n in range(1, 4):
+                for s in range(len(x) - n + 1):
+                    w = tuple(x[s : s + n])
+                    if n == 3 or alone and (len(x) == n or len(" ".join(w).split()) >= alone):
+                        if first.setdefault(w, (i, s)) != (i, s):
+                            gone[i].update(range(s, s + n))
+        return {i: "\n".join(y for k, y in enumerate(t.split("\n")) if k not in gone[i]) for i, t in some}
+
+    for alone in (8, None):
+        assert {r.doc_id: r.kept_text for r in line_dedup.remove_repeated_lines(texts, alone=alone).collect()} == brute(alone)
+    assert brute(8)[1] == "q\nr\nfew words\ns" and brute(8)[2] == "" == brute(8)[8] and brute(8)[4] == "p\np2"
+
+
 def test_near(docs, empty):
     def grams(t):
         w = (t or "").split()

@@ -37,7 +37,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents")).select(
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), alone=None).select(
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
