@@ -249,6 +249,27 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def spelled_values(*texts):
+    data = [t.encode() for t in texts]
+    marks = [b"grobnik", b"\1flozz"]
+    row, v, _ = toxicity.sentence_values(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), marks, toxicity._self_values(marks))
+    out = np.zeros((len(texts), 2))
+    np.maximum.at(out, row, v)
+    return out
+
+
+def test_spelled_words_are_read_whole_and_within_documents():
+    assert spelled_values("x " * 300 + "g r o b n i k " + "y " * 50)[0, 0] > 0.9
+    assert spelled_values("g\nr\no\nb\nn\ni\nk")[0, 0] > 0.9  # over line ends
+    assert (spelled_values("say g r o", "b n i k you") == np.concatenate([spelled_values("say g r o"), spelled_values("b n i k you")])).all()
+
+
+def test_mining_reads_whole_words():
+    long = "z" * 100 + "grobnik"
+    found = toxicity.mine([long + str(i) for i in range(20)] + ["fine words"] * 20, [1] * 20 + [0] * 20)
+    assert any(x in b"grobnik" for x in toxicity._grams(long)) and any(b"rob" in x for x in toxicity._grams(long)) and found
+
+
 def test_kernel_equals_enumeration():
     from itertools import combinations
 

@@ -7,9 +7,10 @@ a value without removing it. A sentence's value for a landmark is the largest of
 in toxic documents the sentence that scores highest, in others all. A document scores as its worst sentence.
 
 A kernel value counts only where a word holds the landmark's letters (all but one of six or more) and the value
-reaches ``LEAST``; lower values are zero. Runs of single letters ("i d i o t") are also read as one word.
+reaches ``LEAST``; lower values are zero. Runs of single letters ("i d i o t") of one
+document are also read as one word, over line and sentence ends too; each part counts for the sentence that it starts in.
 
-Defined results: null and empty texts score as a text without any match; texts of any length are read whole; words over 24 bytes
+Defined results: null and empty texts score as a text without any match; texts of any length are read whole; words and runs over 24 bytes
 are read in overlapping parts; rows that repeat an id are each scored; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -103,6 +104,23 @@ def word_values(words: np.ndarray, landmarks: list[bytes], own: np.ndarray) -> t
     return rows, out
 
 
+def _parts(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in overlapping parts of 24 bytes, each with marks for the word's start (1) and end (2): (rows, word, place in the word)."""
+    parts = 1 + np.maximum(0, -(-(size - _PART) // (_PART // 2)))
+    word = np.repeat(np.arange(len(start)), parts)
+    within = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = within * (_PART // 2)
+    length = np.minimum(size[word] - begin, _PART)
+    m = np.zeros((len(word), _PART + 2), np.uint8)
+    col = np.arange(_PART)
+    inside = col < length[:, None]
+    m[:, 1 : _PART + 1] = np.where(inside, low[np.minimum((start[word] + begin)[:, None] + col, len(low) - 1)], 0)
+    m[:, 0] = within == 0
+    last = begin + length == size[word]
+    m[np.flatnonzero(last), length[last] + 1] = 2
+    return m, word, begin
+
+
 def sentence_values(data: np.ndarray, offsets: np.ndarray, landmarks: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, values by landmark) of every sentence that has any value, rows in order; words of each row."""
     low = lower(data)
@@ -117,25 +135,14 @@ def sentence_values(data: np.ndarray, offsets: np.ndarray, landmarks: list[bytes
     begins[1:] = (doc[1:] != doc[:-1]) | stop[:-1] | (lines[s[1:]] != lines[s[:-1]])
     sentence = np.cumsum(begins) - 1
     h = hashes(low, s, e)
-    # runs of three or more single letters of one sentence are also one word
-    single = e - s == 1
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], single & True, [False]]).astype(np.int8)))
-    spelled = [(i, j) for i, j in zip(edge[::2], edge[1::2]) if j - i >= 3]
+    # runs of three or more single letters of one document are also one word
+    letters = np.flatnonzero(e - s == 1)
+    spelled = np.flatnonzero((np.diff(letters, prepend=-2) != 1) | (np.diff(doc[letters], prepend=-1) != 0))
+    many = np.diff(spelled, append=len(letters))
+    spelled, many = spelled[many >= 3], many[many >= 3]
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     start, size = s[first], e[first] - s[first]
-    # words in parts of 24 bytes, each with marks for the word's start (1) and end (2)
-    parts = 1 + np.maximum(0, -(-(size - _PART) // (_PART // 2)))
-    word = np.repeat(np.arange(len(first)), parts)
-    within = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = within * (_PART // 2)
-    length = np.minimum(size[word] - begin, _PART)
-    m = np.zeros((len(word), _PART + 2), np.uint8)
-    col = np.arange(_PART)
-    inside = col < length[:, None]
-    m[:, 1 : _PART + 1] = np.where(inside, low[np.minimum((start[word] + begin)[:, None] + col, len(low) - 1)], 0)
-    m[:, 0] = within == 0
-    last = begin + length == size[word]
-    m[np.flatnonzero(last), length[last] + 1] = 2
+    m, word, _ = _parts(low, start, size)
     at, values = word_values(m, landmarks, own)
     best = np.full(len(first), -1, np.int64)
     if len(at):
@@ -145,10 +152,10 @@ def sentence_values(data: np.ndarray, offsets: np.ndarray, landmarks: list[bytes
         values = np.maximum.reduceat(values, cut, axis=0)
     where = np.flatnonzero(best[inverse] >= 0)
     of, got = sentence[where], values[best[inverse[where]]] if len(at) else values
-    if spelled:
-        extra = _rows([b"\1" + low[s[i:j]].tobytes()[: 4 * _PART] + b"\2" for i, j in spelled])
-        xa, xv = word_values(extra, landmarks, own)
-        of = np.concatenate([of, sentence[np.array([spelled[k][0] for k in xa], np.int64)]]) if len(xa) else of
+    if len(spelled):
+        m, run, begin = _parts(low[s[letters]], spelled, many)
+        xa, xv = word_values(m, landmarks, own)
+        of = np.concatenate([of, sentence[letters[(spelled[run] + begin)[xa]]]]) if len(xa) else of
         got = np.concatenate([got, xv]) if len(xa) else got
     if not len(of):
         return none
@@ -162,7 +169,7 @@ def _grams(text: str) -> set[bytes]:
     low = lower(np.frombuffer((text or "").encode(), np.uint8)).tobytes()
     out = set()
     for w in set(low.split()):
-        w = b"\1" + w[:64] + b"\2"
+        w = b"\1" + w + b"\2"
         for n in (5, 6, 7, 8):
             out.update(w[i : i + n] for i in range(len(w) - n + 1))
     return out
