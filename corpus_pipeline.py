@@ -26,8 +26,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under repeated windows go; documents stay, with the text that is left and its length."""
-    kept = phrases.remove_repeats(docs, with_text=True).select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.drop("text", "n_chars").join(kept, "doc_id")
+    own = common.numbered(docs)
+    kept = phrases.remove_repeats(own.select(F.col(common.ROW).alias("doc_id"), "text"), with_text=True).select(F.col("doc_id").alias(common.ROW), F.col("kept_text").alias("text"))
+    rest = own.drop("text", "n_chars").join(kept, common.ROW)
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from tickcast.llm import common
+from tickcast.llm import common, exact_dedup, phrases
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,27 @@ def test_stages(spark):
         if name != "packing":
             assert out.columns == columns
         docs, ids = out, got
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(None, a, 1), (None, a, 2), (None, b, 3), (7, c, 4), (7, a, 5), (7, text("d"), 6), (3, c, 7), (None, b.replace("b30", "x"), 8), (9, text("e", 30) + " " + text("f", 30), 9), (None, text("f", 30), 10)]
+    docs = spark.createDataFrame([(i, t, len(t), k) for i, t, k in rows], "doc_id long, text string, n_chars long, k int")
+    exact = common.written(corpus_pipeline.exact(spark, docs, ""), "exact")
+    got = {r.k for r in exact.collect()}
+    assert exact.count() == 7 and got == {3, 5, 6, 7, 8, 9, 10} and exact.columns == docs.columns
+    near = common.written(corpus_pipeline.near(spark, exact, ""), "near")
+    assert {r.k for r in near.collect()} - {3, 8} == {5, 6, 7, 9, 10} and near.count() == 6  # one of 3 and 8 stays
+    out = {r.k: r for r in corpus_pipeline.substring(spark, near, "").collect()}
+    assert len(out) == near.count() and out[9].text.endswith("f29") and out[10].text == "" and out[10].doc_id is None and out[10].n_chars == 0
+    assert out[5].text == a and out[5].doc_id == out[6].doc_id == 7
+
+
+def test_null_ids_come_last_in_every_operator(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, t), (-5, t), (1 << 62, t), (None, t)], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()} == {(i, -5, 4) for i in (None, -5, 1 << 62)}
+    assert sorted((str(r.doc_id), r.n_removed) for r in phrases.remove_repeats(docs).collect()) == sorted([("None", 40), ("None", 40), ("-5", 0), (str(1 << 62), 40)])

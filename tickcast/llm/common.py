@@ -41,6 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Column of ``numbered``.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a key of its own for every row, in the order of the ids: null ids last, rows of one id by text hash.
+
+    Ids that are unique and never null are the keys; otherwise the sorted rows are written once with their numbers.
+    """
+    own = F.col(id_col)
+    if not docs.groupBy(own.alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null").limit(1).count():
+        return docs.withColumn(ROW, own)
+    # numbers rise with the ranges of the sort; equal ids fall into several ranges by their texts
+    return written(docs.orderBy(own.asc_nulls_last(), F.xxhash64(text_col)).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def partitions(df: DataFrame) -> int:
     """Number of partitions for work proportional to ``df``: its own, or the session's shuffle setting if larger."""
     return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

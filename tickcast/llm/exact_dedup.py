@@ -5,8 +5,8 @@ that are left are dealt out by content hash. A receiving task writes them to spi
 further hash bits until a bucket fits the table, which compares complete contents.
 
 Defined results: null text counts as empty; texts are equal when they are identical after each run
-of ``[\\x20\\x09-\\x0D]+`` became one space; the smallest id of a class stays; repeated rows (the same
-id twice) count as rows; an empty table gives an empty result; other columns are ignored.
+of ``[\\x20\\x09-\\x0D]+`` became one space; the smallest id of a class stays, null ids after all others;
+repeated rows (the same id twice) count as rows, and ``drop_exact_duplicates`` keeps one row of a class; ``kept`` of a null id is null, as in SQL; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickcast.llm.common import bounded_batches, partitions
+from tickcast.llm.common import ROW, bounded_batches, numbered, partitions
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one table may hold, and the ways in which a larger bucket is split.
@@ -44,7 +44,7 @@ class OpenTable:
         while (k := self.at[i]) >= 0:
             row = self.rows[k]
             if row[0] == h and row[1] == text:
-                row[2] = min(row[2], first)
+                row[2] = min(row[2], first) if row[2] is not None and first is not None else row[2] if first is None else first
                 row[3] += count
                 return
             i = (i + 1) & mask
@@ -160,6 +160,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """The rows of ``docs`` that stay, one of each class, with all their columns."""
+    own = numbered(docs, id_col, text_col)
+    keep = exact_duplicates(own, ROW, text_col).filter("kept").select(F.col("doc_id").alias(ROW))
+    return own.join(keep, ROW, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickcast.llm.common import bounded_batches, mapped, slices, text_buffer, written
+from tickcast.llm.common import ROW, bounded_batches, mapped, numbered, slices, text_buffer, written
 from tickcast.llm.words import bounds, grams, hashes, mix, spans
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least id, with all its columns."""
-    keep = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One row of each class, the one with the least id (null ids last), with all its columns."""
+    own = numbered(docs)
+    keep = near_duplicates(own.select(F.col(ROW).alias("doc_id"), "text")).filter("doc_id = class_id").select(F.col("doc_id").alias(ROW))
+    return own.join(keep, ROW, "left_semi").select(*docs.columns)

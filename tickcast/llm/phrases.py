@@ -16,7 +16,7 @@ Memory is bounded by the block size; every shuffle is by block or by hash range,
 third of all documents weighs one row per block.
 
 Defined results: null and empty texts have no words; documents below ``WINDOW`` words keep all; windows never cross documents;
-of documents that share one id the words count as separate documents, in an arbitrary order; extra columns are ignored; an empty table gives an empty result.
+of documents that share one id the words count as separate documents, in an arbitrary order, those without an id after all others; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def _locate(buckets: int, window: int, phrase: int):
         if not left.num_rows or not right.num_rows:
             return none
         left = _ordered(left)
-        ids = left["doc_id"].to_numpy()
+        ids, null = left["doc_id"].fill_null(0).to_numpy(), left["doc_id"].is_null().to_numpy()
         w, limits = _words(left["text"])
         starts, at, g = _designated(w, limits, window, phrase)
         if not len(starts):
@@ -184,7 +184,8 @@ def _locate(buckets: int, window: int, phrase: int):
         first, n, number = first[order], n[order], rank[inverse]
         k1, k2, place = k1[first], k2[first], starts[first]
         row = np.searchsorted(limits, place, side="right") - 1
-        own, doc, start, many = _by_range(k1, buckets), ids[row], (place - limits[row]).astype(np.int32), n > 1
+        own, doc, start = _by_range(k1, buckets), ids[row], (place - limits[row]).astype(np.int32)
+        many = (n > 1).astype(np.uint8) | (null[row].astype(np.uint8) << 1)
         out = {k: [] for k in none.column_names}
 
         def add(kind, bucket, size, a, b, c, d):
@@ -208,13 +209,13 @@ def _firsts(rows: pa.Table) -> pa.Table:
     k2 = np.concatenate([np.frombuffer(x.as_py(), np.uint32, n, 8 * n) for x, n in zip(rows["a"], sizes)])
     doc = np.concatenate([unpack(x.as_py(), np.int64, n) for x, n in zip(rows["b"], sizes)])
     start = np.concatenate([np.cumsum(unpack(x.as_py(), np.int32, n)) for x, n in zip(rows["c"], sizes)])
-    many = np.concatenate([unpack(x.as_py(), bool, n) for x, n in zip(rows["d"], sizes)])
-    order = np.lexsort((start, doc, k2, k1))
+    many = np.concatenate([unpack(x.as_py(), np.uint8, n) for x, n in zip(rows["d"], sizes)])
+    order = np.lexsort((start, doc, many >> 1, k2, k1))
     a, b = k1[order], k2[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     group = np.cumsum(new) - 1
-    again = (np.bincount(group, 1 + many[order]) >= 2)[group]
+    again = (np.bincount(group, 1 + (many[order] & 1)) >= 2)[group]
     flags = np.zeros(len(order), np.uint8)
     flags[order] = again.astype(np.uint8) | (new.astype(np.uint8) << 1)
     cut = np.cumsum([0, *sizes])
