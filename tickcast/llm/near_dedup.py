@@ -208,7 +208,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, class_id (least doc_id of the class), n_links (verified links of its text)."""
+    """One row per input row: doc_id, class_id (least doc_id of the class), n_links (links of its text found by the star join and the completing join, not all)."""
     sig = written(signatures(docs, shingle, bands, rows), "signatures")
     groups = written(sig.groupBy("content").agg(F.min("doc_id").alias("rep")), "contents")
     reps = sig.join(groups, "content").filter("doc_id = rep").groupBy("rep").agg(F.first("bands").alias("bands"))
