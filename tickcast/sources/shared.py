@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session. Where it is unset a local master gets a temporary folder; a cluster is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         # a running session doesn't take the setting itself
         if not spark.sparkContext.getCheckpointDir():
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -23,4 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: one execution, short lineage, safe against lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made; only for those that no plan reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
