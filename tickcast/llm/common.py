@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickcast.sources.shared import discard, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Rows per Arrow batch; with documents of a few kilobytes a batch stays within a few megabytes.
 ARROW_ROWS = 1000
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -22,36 +22,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        # a running session doesn't take the setting itself
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Column of ``numbered``.
 ROW = "__row"
 
 
+def plain_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether every row has an id and no id repeats."""
+    return not docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null").limit(1).count()
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a key of its own for every row, in the order of the ids: null ids last, rows of one id by text hash.
 
     Ids that are unique and never null are the keys; otherwise the sorted rows are written once with their numbers.
     """
     own = F.col(id_col)
-    if not docs.groupBy(own.alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null").limit(1).count():
+    if plain_ids(docs, id_col):
         return docs.withColumn(ROW, own)
     # numbers rise with the ranges of the sort; equal ids fall into several ranges by their texts
     return written(docs.orderBy(own.asc_nulls_last(), F.xxhash64(text_col)).withColumn(ROW, F.monotonically_increasing_id()), "numbered")

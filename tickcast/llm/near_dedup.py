@@ -5,15 +5,16 @@ maxima of the counts), and a link is a similarity of 0.8 or more. Darts are thro
 as its weight; a dart's rank is its arrival time, and each coordinate of the signature keeps its earliest
 dart, so two documents agree on a coordinate with the probability of their similarity.
 
-Copies with the same words collapse first. Banded signatures meet by equi-join: every member of a band's
-group is paired with the group's least id, true similarities decide, and components are found by label
-propagation. Groups that then still hold several components are completed: members of the lesser components meet
-the others, but only where a bound allows a link. The bound is exact: shingles that no other document of these groups
-has can't be shared, so sizes and unique shingles limit the similarity of a pair. No candidate link between components is lost.
+Copies with the same words collapse first. Banded signatures meet by equi-join in a star: every member of a band's group is
+paired with the group's pivot, the member that meets most others over all bands. Copies differ least from the text they were
+made from, so that text's neighbours are the most and nearly all links of a group end in its pivot. True similarities decide, and components are
+found by label propagation. Groups that then still hold several components are completed: members of different components
+meet where their sketches allow a link, again verified on the texts. A sketch is a bitmap of hashed shingles; bits that only one of two
+documents has bound what they share from above, so no link is lost by it. Pairs inside a component never arise.
 
 Defined results: null and empty texts have no words and form one class of their own copies; texts shorter than a
 shingle are one shingle of all their words; texts of any length count whole; white space only separates words; rows that repeat
-an id share a class; extra columns are ignored; an empty table gives an empty result.
+an id or have none are separate rows with their own texts; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickcast.llm.common import ROW, bounded_batches, mapped, numbered, slices, text_buffer, written
+from tickcast.llm.common import ROW, bounded_batches, discard, mapped, numbered, slices, text_buffer, written
 from tickcast.llm.words import bounds, grams, hashes, mix, spans
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 32, 7
-#: Slots of the hashed id filter that picks candidate texts in the scan; a broadcast of at most so many numbers.
+BANDS, ROWS = 25, 5
+#: Slots of the hashed filter that picks candidate texts in the scan; a broadcast of at most so many numbers.
 SLOTS = 1 << 20
+#: Bits of a sketch, as 64-bit words.
+SKETCH = 32
+#: Bytes of text that a Python worker takes at once.
+PART = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,6 +57,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return row, h
 
 
+def elements(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The multisets as sets, by row: the c-th copy of a shingle in a row is an element of its own."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    if not len(h):
+        return row, h
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    copy = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return row, mix(h + _GOLD * (copy.astype(np.uint64) + np.uint64(1)))
+
+
 def _salt(k: int) -> np.uint64:
     return np.uint64(int(_GOLD) * k % 2**64)
 
@@ -67,14 +84,8 @@ def dart_signatures(row: np.ndarray, h: np.ndarray, rows: int, k: int) -> tuple[
     hashes alone; a row looks at ranks up to t / weight with t = k ln k + 2k, and further where a coordinate stayed empty.
     """
     out = np.zeros((rows, k), np.uint64)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+    row, region = elements(row, h)
     n = np.bincount(row, minlength=rows)
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    copy = np.arange(len(h)) - at[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-    region = mix(h + _GOLD * (copy.astype(np.uint64) + np.uint64(1)))
     todo = np.flatnonzero(n)
     t = k * np.log(k) + 2 * k
     while len(todo):
@@ -106,12 +117,12 @@ def dart_signatures(row: np.ndarray, h: np.ndarray, rows: int, k: int) -> tuple[
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, content (digest of the word sequence), bands (one hash each; empty without words)."""
+    """row, content (digest of the word sequence), bands (one hash each; empty without words)."""
     bounded_batches(docs.sparkSession)
 
     def sign(batch: pa.RecordBatch):
         data, offsets = text_buffer(batch.column(1))
-        for i, j in slices(offsets, 1 << 20):  # at most ARROW_ROWS rows come in a batch
+        for i, j in slices(offsets, PART):  # at most ARROW_ROWS rows come in a batch
             part = data[offsets[i] : offsets[j]]
             row, h = shingles(part, offsets[i : j + 1] - offsets[i], shingle)
             sig, some = dart_signatures(row, h, j - i, bands * rows)
@@ -124,24 +135,15 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             ends = np.concatenate([[0], np.cumsum(some * bands)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[i:j], pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[some].view(np.int64).ravel()))],
-                ["doc_id", "content", "bands"],
+                ["row", "content", "bands"],
             )
 
-    return mapped(docs.select("doc_id", "text"), sign, "doc_id long, content binary, bands array<long>")
+    return mapped(docs.select("row", "text"), sign, "row long, content binary, bands array<long>")
 
 
 def similarity(a_row, a_h, b_row, b_h, pairs: int) -> np.ndarray:
     """Weighted Jaccard of each pair from the flat shingles of both sides."""
-
-    def counted(row, h):
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        at = np.flatnonzero(new)
-        return mix(h + _GOLD * (np.arange(len(h)) - at[np.cumsum(new) - 1] + 1).astype(np.uint64)) if len(h) else h, row
-
-    (x, xr), (y, yr) = counted(a_row, a_h), counted(b_row, b_h)
+    (xr, x), (yr, y) = elements(a_row, a_h), elements(b_row, b_h)
     row, h = np.concatenate([xr, yr]), np.concatenate([x, y])
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
@@ -154,111 +156,120 @@ def linked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
     """The pairs (a, b) whose texts have a similarity of ``least`` or more."""
 
     def check(batch: pa.RecordBatch):
-        for i in range(0, batch.num_rows, 200):
-            some = batch.slice(i, 200)
-            (ra, ha), (rb, hb) = (shingles(*text_buffer(some.column(c)), shingle) for c in (2, 3))
-            keep = pa.array(similarity(ra, ha, rb, hb, some.num_rows) >= least)
-            yield some.select(["a", "b"]).filter(keep)
+        (x, xo), (y, yo) = (text_buffer(batch.column(c)) for c in (2, 3))
+        for i, j in slices(xo + yo, PART):
+            (ra, ha), (rb, hb) = (shingles(d[o[i] : o[j]], o[i : j + 1] - o[i], shingle) for d, o in ((x, xo), (y, yo)))
+            keep = pa.array(similarity(ra, ha, rb, hb, j - i) >= least)
+            yield batch.slice(i, j - i).select(["a", "b"]).filter(keep)
 
     # texts follow the corpus: both joins are shuffles at any size
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    both = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = both.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     return mapped(both.select("a", "b", "ta", "tb"), check, "a long, b long")
 
 
-def shared_bounds(texts: DataFrame, shingle: int) -> DataFrame:
-    """rep, size, common: shingles of each document, and how many of them some other of these documents has too."""
+def sketched(texts: DataFrame, shingle: int, words: int = SKETCH) -> DataFrame:
+    """row, text, size (shingles), bits (bitmap of the hashed shingles as ``words`` numbers)."""
+
+    def sketch(batch: pa.RecordBatch):
+        data, offsets = text_buffer(batch.column(1))
+        for i, j in slices(offsets, PART):
+            row, h = elements(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle))
+            bits = np.zeros((j - i, 64 * words), bool)
+            bits[row, (h % np.uint64(64 * words)).astype(np.int64)] = True
+            flat = np.packbits(bits, axis=1).view(np.int64).ravel()
+            limits = pa.array(np.arange(0, len(flat) + 1, words), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(np.bincount(row, minlength=j - i), pa.int64()), pa.ListArray.from_arrays(limits, pa.array(flat))], ["row", "text", "size", "bits"])
+
+    return mapped(texts.select("row", "text"), sketch, "row long, text string, size long, bits array<long>")
 
-    def shingled(batch: pa.RecordBatch):
-        for i in range(0, batch.num_rows, 200):
-            some = batch.slice(i, 200)
-            row, h = shingles(*text_buffer(some.column(1)), shingle)
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(h)))
-            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row[at])), pa.array(h[at].view(np.int64)), pa.array(n, pa.int64())], ["rep", "h", "n"])
 
-    rows = mapped(texts.select("doc_id", "text"), shingled, "rep long, h long, n long")
-    lonely = rows.groupBy("h").agg(F.count("*").alias("docs"), F.min("rep").alias("rep"), F.min("n").alias("n")).filter("docs = 1")
-    unique = lonely.groupBy("rep").agg(F.sum("n").alias("unique"))
-    size = rows.groupBy("rep").agg(F.sum("n").alias("size"))
-    return size.join(unique, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("unique", F.lit(0))).alias("common"))
+def may_link(x: str, y: str, least: float) -> F.Column:
+    """Whether sizes and sketches of both sides allow a similarity of ``least``: an upper bound, so it is never wrong on a link."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    only = lambda a, b: F.aggregate(F.zip_with(c(a, "bits"), c(b, "bits"), lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, n: s + n)
+    total, low, high = c(x, "size") + c(y, "size"), F.least(c(x, "size"), c(y, "size")), F.greatest(c(x, "size"), c(y, "size"))
+    common = F.least(c(x, "size") - only(x, y), c(y, "size") - only(y, x))
+    return (low >= least * high - 1e-6) & (common >= least * (total - common) - 1e-6)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the least node of each connected component, by rounds of label propagation with jumps.
 
-    Each round is a written table; only the number of changes comes to the driver.
+    Each round is a written table; only whether anything changed comes to the driver.
     """
     both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), name)
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node"), name)
     while True:
         other = labels.select(F.col("node").alias("y"), F.col("label").alias("l"))
         near = both.join(other, "y").groupBy("x").agg(F.min("l").alias("l")).withColumnRenamed("x", "node")
-        step = labels.join(near, "node").select("node", "label", F.least("label", "l").alias("new"))
-        step = written(step, name)
+        step = written(labels.join(near, "node").select("node", "label", F.least("label", "l").alias("new")), name)
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        labels = written(step.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")), name)
+        after = written(step.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")), name)
+        discard(labels, step)
+        labels = after
         if not labels.filter("moved").limit(1).count():
+            discard(both)
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, class_id (least doc_id of the class), n_links (links of its text found by the star join and the completing join, not all)."""
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further edges (a, b) between their nodes or nodes without a label yet."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    roots = components(ends, "joined").select(F.col("node").alias("label"), F.col("label").alias("root"))
+    moved = labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return moved.unionByName(roots.select(F.col("label").alias("node"), F.col("root").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(row, class_row) for every (row, text); ``row`` is unique and class_row is the least row of the class."""
     sig = written(signatures(docs, shingle, bands, rows), "signatures")
-    groups = written(sig.groupBy("content").agg(F.min("doc_id").alias("rep")), "contents")
-    reps = sig.join(groups, "content").filter("doc_id = rep").groupBy("rep").agg(F.first("bands").alias("bands"))
-    banded = written(reps.select("rep", F.posexplode("bands").alias("band", "key")), "bands")
-    pivots = written(banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1"), "pivots")
-    pairs = written(banded.join(pivots, ["band", "key"]).filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    contents = written(sig.groupBy("content").agg(F.min("row").alias("rep"), F.first("bands").alias("bands")), "contents")
+    banded = contents.select("rep", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(banded.join(shared, "key").select("key", "rep", "n"), "members")
+    # the star: each group's pivot is the member that meets most others in all its bands
+    degree = members.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
+    pivots = members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("first"))).alias("top")).select("key", (-F.col("top.first")).alias("pivot"))
+    star = members.join(pivots, "key").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    pairs = written(star.distinct(), "pairs")
     # texts of candidates (and of a few others that share a slot) are picked in the scan, without a shuffle
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
-    slots_ = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(slot.alias("slot")).distinct()
-    texts = docs.select("doc_id", "text", slot.alias("slot")).join(F.broadcast(slots_), "slot", "left_semi").drop("slot")
-    texts = written(texts, "candidate-texts")
+    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int")
+    slots_ = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(slot.alias("slot")).distinct()
+    texts = docs.select("row", "text", slot.alias("slot")).join(F.broadcast(slots_), "slot", "left_semi")
+    texts = written(sketched(texts, shingle), "candidate-texts")
     edges = written(linked(pairs, texts, shingle, least), "edges")
-    labels = components(edges)
-    # groups that still hold several components: their members meet as far as the bounds allow
-    marked = banded.join(pivots.select("band", "key"), ["band", "key"]).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    marked = written(marked.select("band", "key", "rep", F.coalesce("label", "rep").alias("label")), "marked")
-    parts = marked.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = written(marked.join(main.select("band", "key", "main"), ["band", "key"]), "mixed")
-    there = mixed.select(F.col("rep").alias("doc_id")).distinct()
-    before = there.count()
-    while True:  # without those that reach the similarity with no one, more shingles are unique; the bound is exact after any round
-        limits = written(shared_bounds(texts.join(there, "doc_id", "left_semi"), shingle), "bounds")
-        mixed = written(mixed.select("band", "key", "rep", "label", "main").join(limits, "rep").filter(F.col("common") >= least * F.col("size")), "mixed")
-        there = mixed.select(F.col("rep").alias("doc_id")).distinct()
-        left = there.count()
-        if left >= 0.9 * before:  # also when none was there
-            break
-        before = left
-    mixed = mixed.join(reps, "rep")
-    side = lambda i: [F.col("band"), F.col("key"), *(F.col(c).alias(f"{c}{i}") for c in ("rep", "label", "size", "common", "bands"))]
-    most = F.least("common1", "common2")
-    possible = (F.col("label1") != F.col("label2")) & (most >= least * (F.col("size1") + F.col("size2") - most))
-    once = F.array_position(F.zip_with("bands1", "bands2", lambda u, v: u == v), True) == F.col("x.band") + 1  # in their first common band
-    minor = mixed.filter("label <> main").select(side(1))
-    met = minor.alias("x").join(mixed.select(side(2)).alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & possible & once)
-    rest = met.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+    labels = written(components(edges), "labels")
+    # groups that still hold several components: their members meet as far as the sketches allow
+    marked = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    mixed = marked.join(mixed, "key").join(texts.select(F.col("row").alias("rep"), "size", "bits"), "rep")
+    mixed = written(mixed, "mixed")
+    met = mixed.alias("x").join(mixed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & may_link("x", "y", least))
+    rest = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     more = written(linked(rest, texts, shingle, least), "more-edges")
     if more.limit(1).count():
-        edges = edges.unionByName(more)
-        labels = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    final = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    final = written(final.select("content", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return sig.select("doc_id", "content").join(final, "content").select("doc_id", "class_id", "n_links")
+        labels = joined(labels, more)
+    final = contents.select("content", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    final = written(final.select("content", F.coalesce("label", "rep").alias("class_row")), "classes")
+    discard(contents, members, pairs, texts, edges, mixed, rest, more)
+    return sig.select("row", "content").join(final, "content").select("row", "class_row")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per input row: doc_id, class_id (the first doc_id of the class; null if no row of it has one)."""
+    own = numbered(docs)
+    found = classes(own.select(F.col(ROW).alias("row"), "text"), shingle, least, bands, rows)
+    if not hasattr(own, "_written_at"):  # the ids themselves are the keys
+        return found.select(F.col("row").alias("doc_id"), F.col("class_row").alias("class_id"))
+    ids = own.select(F.col(ROW).alias("row"), "doc_id")
+    return found.join(ids, "row").join(ids.select(F.col("row").alias("class_row"), F.col("doc_id").alias("class_id")), "class_row").select("doc_id", "class_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class, the one with the least id (null ids last), with all its columns."""
     own = numbered(docs)
-    keep = near_duplicates(own.select(F.col(ROW).alias("doc_id"), "text")).filter("doc_id = class_id").select(F.col("doc_id").alias(ROW))
+    keep = classes(own.select(F.col(ROW).alias("row"), "text")).filter("row = class_row").select(F.col("row").alias(ROW))
     return own.join(keep, ROW, "left_semi").select(*docs.columns)
