@@ -140,6 +140,20 @@ def test_packing(docs, empty):
         b.sort()
         assert [o for o, _ in b] == list(np.cumsum([0] + [n for _, n in b])[:-1]) and sum(n for _, n in b) <= 64
     assert packing.pack_documents(empty).count() == 0
+    packed = packing.pack_documents(docs, length=64)
+    assert packed.count() == len(rows) and packed.select("sequence_id").distinct().count() == len(bins)
+    assert {r.doc_id: r["count"] for r in packed.groupBy("doc_id").count().collect()} == Counter(r.doc_id for r in rows)
+
+
+def test_word_encoder_equals_the_tokenizer():
+    r = random.Random(2)
+    some = ["a", "B", "Zé", "É", "ñ", "×", "÷", "ÿ", "ß", "1", "23", ".", "...", "#$", "'s", "'", "'LL", "<", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "\x01", "\x7f", "\u0301", "漢字", "ǅ", "İ", "\xa0", "¿", "ª", "\xad", "-", "_", "𝒳"]
+    texts = ["".join(r.choice([*some, " ", " ", "\n", "\x0b", "\t"]) for _ in range(r.randint(0, 40))) for _ in range(800)] + ["ab" * 200, "x" * 129 + " " + "x" * 130, ""]
+    e = packing.WordEncoder(packing.default_path())
+    data = [t.encode() for t in texts]
+    for _ in range(2):  # learning, then remembered
+        ids, limits = e(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -232,6 +232,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, ban
     # the star: each group's pivot is the member that meets most others in all its bands
     degree = members.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
     pivots = members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("first"))).alias("top")).select("key", (-F.col("top.first")).alias("pivot"))
+    pivots = written(pivots, "pivots")  # so that the join deals both sides itself and can split a large group
     star = members.join(pivots, "key").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     pairs = written(star.distinct(), "pairs")
     # texts of candidates (and of a few others that share a slot) are picked in the scan, without a shuffle
@@ -254,7 +255,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, ban
         labels = joined(labels, more)
     final = contents.select("content", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     final = written(final.select("content", F.coalesce("label", "rep").alias("class_row")), "classes")
-    discard(contents, members, pairs, texts, edges, mixed, rest, more)
+    discard(contents, members, pivots, pairs, texts, edges, mixed, rest, more)
     return sig.select("row", "content").join(final, "content").select("row", "class_row")
 
 

@@ -12,6 +12,7 @@ sequence; rows that repeat an id are packed each; extra columns are ignored; an
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import zlib
@@ -24,19 +25,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickcast.llm.common import bounded_batches, mapped, partitions, slices, text_buffer, written
+from tickcast.llm.words import hashes, spans
 
 SEQUENCE, END = 4096, 1
-#: Distinct words that a Python worker remembers with their ids, at most.
-CACHE_WORDS = 600_000
+#: Distinct parts of words that a Python worker remembers with their ids, at most, and the places of its hash table.
+CACHE_PARTS, TABLE_BITS = 600_000, 21
+#: Parts over so many bytes are hashed by a digest, since longer ones could be built to collide.
+LONG = 128
 _LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
+_BAD, _LETTER, _DIGIT, _OTHER, _SPACE = range(5)
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[ord("'"), ord("<")]] = _BAD  # contractions and special tokens
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
+    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct part of a word is encoded once.
 
-    Words of Latin-1 letters are cut by the tokenizer's own pattern and given to its model directly; for these its
-    normalizer only lowers case. All others go through the whole tokenizer.
+    Words of ASCII and Latin-1 letters, digits and marks are lowered and cut into runs of letters, single digits and runs of marks,
+    as the tokenizer's pattern does, all words of a buffer at once; a part is given to its model directly. All other words,
+    also those with an apostrophe or "<", are one part each and go through the pattern or the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -51,6 +65,8 @@ class WordEncoder:
         plain = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         plain = plain and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"]
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if plain else None
+        # only where the pattern cuts by these kinds are words cut here
+        self.cuts = bool(plain) and self.pattern.findall('ab1é2#$%-x"..ñÿß9.5') == ["ab", "1", "é", "2", "#$%-", "x", '"..', "ñÿß", "9", ".", "5"]
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         # byte-level models write the bytes that don't print as the characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,30 +74,28 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.keys, self.values = np.zeros(1 << TABLE_BITS, np.uint64), np.full(1 << TABLE_BITS, -1, np.int32)
         self.flat, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self.begin, self.used = np.zeros(1 << 16, np.int64), 0
+        self.begin, self.used, self.known = np.zeros(1 << 16, np.int64), 0, 0
 
     def _ids(self, word: str) -> list[int]:
         if self.pattern is None or not (word.isascii() and word.isprintable() or _LATIN.fullmatch(word)) or "<" in word and self.special.search(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in self.pattern.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))]
-            out += ids
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
+        return [t.id for part in self.pattern.findall(word.lower()) for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))]
+
+    def _learn(self, parts: list[bytes], whole: list[bool]) -> np.ndarray:
+        """Numbers of new parts; ``whole`` marks words that are one part."""
         flat: list[int] = []
         sizes: list[int] = []
-        for word in words:
-            ids = self._ids(word.decode())
+        tokenize = self.model.tokenize
+        for part, w in zip(parts, whole):
+            if w:
+                ids = self._ids(part.decode())
+            else:
+                ids = [t.id for t in tokenize(part.decode() if part.isascii() else part.decode("latin-1").translate(self.letters))]
             flat += ids
             sizes.append(len(ids))
-        k, n = len(self.number), len(words)
+        k, n = self.known, len(parts)
         while k + n > len(self.sizes):
             self.sizes, self.begin = np.concatenate([self.sizes] * 2), np.concatenate([self.begin] * 2)
         while self.used + len(flat) > len(self.flat):
@@ -90,22 +104,62 @@ class WordEncoder:
         self.sizes[k : k + n] = sizes
         self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        self.number.update(zip(words, range(k, k + n)))
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts in order, and len(texts) + 1 limits."""
-        split = [t.encode().split() if t else [] for t in texts]
-        words = [w for part in split for w in part]
-        if len(self.number) > CACHE_WORDS:
+        self.known += n
+        return np.arange(k, k + n, dtype=np.int32)
+
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lowered bytes, starts and ends of all parts, and which of them are whole words."""
+        low, kind = _LOWER[data], _KIND[data]
+        lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # Latin-1 letters
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead + 1] += (data[lead + 1] <= 0x9E).astype(np.uint8) * np.uint8(32)
+        if not self.cuts:
+            kind[kind != _SPACE] = _BAD
+        space = kind == _SPACE
+        s, e, _ = spans(data, offsets)
+        start = np.ones(len(data), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        start[space] = False
+        start[s] = True
+        bad = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(kind == _BAD, out=bad[1:])
+        hard = bad[e] > bad[s]
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[s[hard]] += 1
+        edge[e[hard]] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        start[inside] = False
+        start[s] = True
+        low[inside] = data[inside]
+        end = ~space
+        end[:-1] &= start[1:] | space[1:]
+        begin = np.flatnonzero(start)
+        return low, begin, np.flatnonzero(end) + 1, inside[begin]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows of a UTF-8 buffer in order, and the rows' limits in them."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        low, begin, end, whole = self._parts(data, offsets)
+        h = hashes(low, begin, end) ^ whole.astype(np.uint64)
+        for k in np.flatnonzero(end - begin > LONG).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(low[begin[k] : end[k]].tobytes(), digest_size=8, salt=bytes([int(whole[k])])).digest(), "little")
+        if self.known > CACHE_PARTS:
             self._clear()
-        new = set(words).difference(self.number)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        at = self.values[slot]
+        new = np.flatnonzero((self.keys[slot] != h) | (at < 0))
+        if len(new):
+            u, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            first = new[first]
+            raw = low.tobytes()
+            numbers = self._learn([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())], whole[first].tolist())
+            at[new] = numbers[inverse]
+            self.keys[slot[first]], self.values[slot[first]] = u, numbers
         n = self.sizes[at]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
         ids = self.flat[np.repeat(self.begin[at] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[np.cumsum([0, *map(len, split)])]
+        return ids, ends[np.searchsorted(begin, offsets)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -125,18 +179,22 @@ def pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end: int = END) -
     bounded_batches(docs.sparkSession)
 
     def cut(batch: pa.RecordBatch):
-        offsets = text_buffer(batch.column(1))[1]
+        data, offsets = text_buffer(batch.column(1))
         for i, j in slices(offsets, 1 << 20):
-            some = batch.slice(i, j - i)
-            ids, limits = encoder(path)(some.column(1).to_pylist())
-            rows = []
-            for doc, a, b in zip(some.column(0).to_pylist(), limits[:-1], limits[1:]):
-                own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
-                for k, s in enumerate(range(0, len(own), length)):
-                    part = own[s : s + length]
-                    rows.append((doc, k, s, len(part), zlib.crc32(part.tobytes())))
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, limits = encoder(path)(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            sizes = np.diff(limits) + 1
+            first = np.cumsum(sizes) - sizes
+            own = np.full(int(sizes.sum()), end, "<u4")
+            own[np.arange(len(ids)) + np.repeat(np.arange(j - i), sizes - 1)] = ids
+            n = -(-sizes // length)
+            doc = np.repeat(np.arange(j - i), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * length
+            size = np.minimum(sizes[doc] - start, length)
+            begin = first[doc] + start
+            crc = [zlib.crc32(own[a:b]) for a, b in zip(begin.tolist(), (begin + size).tolist())]
+            cols = [batch.column(0)[i:j].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return mapped(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -294,10 +352,11 @@ def place(cut: DataFrame, tasks: int, capacity: int = SEQUENCE) -> DataFrame:
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(tasks)).cast("int"))
     counts = salted.groupBy("salt", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("salt", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # names of their own: both sides of the cogroup come from one table
+    firsts = counts.select(F.col("salt").alias("task"), F.col("length").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def number(left: pa.Table, right: pa.Table) -> pa.Table:
-        first = dict(zip(right["length"].to_pylist(), right["first"].to_pylist()))
+        first = dict(zip(right["of"].to_pylist(), right["first"].to_pylist()))
         length = left["length"].to_numpy()
         bins, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         order = np.lexsort((left["piece"].to_numpy(), left["doc_id"].to_numpy(), length))
@@ -312,7 +371,7 @@ def place(cut: DataFrame, tasks: int, capacity: int = SEQUENCE) -> DataFrame:
         return left.drop(["salt"]).append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return salted.groupBy("salt").cogroup(firsts.groupBy("salt")).applyInArrow(number, schema)
+    return salted.groupBy("salt").cogroup(firsts.groupBy("task")).applyInArrow(number, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, end: int = END) -> DataFrame:
