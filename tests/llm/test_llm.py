@@ -72,6 +72,33 @@ def test_phrases(docs, empty):
     assert phrases.remove_repeats(empty).count() == 0
 
 
+def test_phrases_on_random_words_equal_brute_force(spark, monkeypatch):
+    """Small blocks and few words, so that phrases recur inside and across blocks; several rows share an id or have none."""
+    monkeypatch.setattr(phrases, "blocks", lambda docs, text, mb: 5)
+    r = random.Random(4)
+    parts = [[r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(5, 40))] for _ in range(12)]
+    some = [(i, " ".join(w for _ in range(r.randint(0, 4)) for w in r.choice(parts))) for i in range(60)]
+    got = {r_.doc_id: (r_.n_words, r_.n_removed, r_.kept_text) for r_ in phrases.remove_repeats(spark.createDataFrame(some, "doc_id long, text string"), 8, 4, with_text=True).collect()}
+    first = {}
+    for i, t in some:
+        x, gone = t.split(), set()
+        for k in range(len(x) - 7):
+            if first.setdefault(tuple(x[k : k + 8]), (i, k)) != (i, k):
+                gone.update(range(k, k + 8))
+        assert got[i] == (len(x), len(gone), " ".join(w for k, w in enumerate(x) if k not in gone) if gone else t)
+    t = " ".join(map(str, range(30)))
+    again = spark.createDataFrame([(1, t), (1, t), (1, t + " x"), (None, t), (None, t + " y")], "doc_id long, text string")
+    assert sorted(r_.n_words - r_.n_removed for r_ in phrases.remove_repeats(again).collect()) in ([0, 0, 0, 1, 31], [0, 0, 1, 1, 30])
+
+
+def test_automaton_finds_all_occurrences():
+    r = np.random.default_rng(5)
+    w = np.array([11 << 48, 12 << 48, 13 << 52, 14 << 52], np.uint64)[r.integers(0, 4, 400)] | np.uint64(5 << 60)
+    at = np.array([3, 50, 51, 390])
+    want = [i for i in range(len(w) - 2) if any((w[i : i + 3] == w[p : p + 3]).all() for p in at)]
+    assert sorted(phrases.occurrences(w, at, 3).tolist()) == want
+
+
 def test_lines(docs, empty):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.remove_repeated_lines(docs).collect()}
     assert got[10] == (8, 3, "a\nb\nc\nx\nd") and got[11] == (4, 3, "q") and got[3] == (1, 0, "")
