@@ -107,7 +107,7 @@ _CHOSEN = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h", pa.bin
 
 
 def _chosen_phrases(buckets: int, window: int, phrase: int):
-    """One block: for each hash range the sorted hashes of its chosen phrases, a place of each, and whether it occurs twice or more."""
+    """One block: for each hash range the hashes of its chosen phrases, a place of each, and whether it occurs twice or more."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         w, limits = _words(_ordered(rows)["text"])
@@ -115,8 +115,11 @@ def _chosen_phrases(buckets: int, window: int, phrase: int):
         places = np.unique(at)
         h, first, n = np.unique(g[places], return_index=True, return_counts=True)
         first = places[first].astype(np.int32)
+        own = _by_range(h << np.uint64(32), buckets)  # by the lower half: chosen hashes are the least ones
+        to = np.argsort(own, kind="stable")
+        own, h, first, n = own[to], h[to], first[to], n[to]
         out = []
-        for b, i, j in _cuts(_by_range(h, buckets)):
+        for b, i, j in _cuts(own):
             out.append((b, key[0].as_py(), h[i:j].tobytes(), first[i:j].tobytes(), np.packbits(n[i:j] > 1).tobytes()))
         return _table(_CHOSEN, out)
 
