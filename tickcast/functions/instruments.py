@@ -21,18 +21,24 @@ CONTRACT = rf"([A-Z]{{1,2}})([{MONTH_CODES}])(\d{{2}})"
 
 
 def tick_table(spark: SparkSession, overrides: DataFrame | None = None) -> DataFrame:
-    """(symbol, tick_size): the fixed table; rows of ``overrides`` replace or extend it. A few dozen rows."""
+    """(symbol, tick_size): the fixed table; rows of ``overrides`` replace or extend it.
+
+    Of several overrides of a symbol the one with the greatest ``registered_at`` counts, without that column the greatest tick size.
+    """
     base = spark.createDataFrame(list(TICK_SIZES.items()), "symbol string, tick_size double")
     if overrides is None:
         return base
-    own = overrides.select(F.upper("symbol").alias("symbol"), F.col("tick_size").cast("double").alias("tick_size"))
+    tick = F.col("tick_size").cast("double")
+    latest = F.max_by(tick, "registered_at") if "registered_at" in overrides.columns else F.max(tick)
+    own = overrides.groupBy(F.upper("symbol").alias("symbol")).agg(latest.alias("tick_size"))
     return base.join(own, "symbol", "left_anti").unionByName(own)
 
 
 def with_tick_size(df: DataFrame, symbol: str = "symbol", overrides: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Add tick_size by the upper-case symbol; unknown symbols get null, or stop the job when ``strict``."""
     ticks = tick_table(df.sparkSession, overrides).withColumnRenamed("symbol", "_symbol")
-    out = df.join(F.broadcast(ticks), F.upper(F.col(symbol)) == F.col("_symbol"), "left").drop("_symbol")
+    ticks = F.broadcast(ticks) if overrides is None else ticks  # the fixed table alone has a known size
+    out = df.join(ticks, F.upper(F.col(symbol)) == F.col("_symbol"), "left").drop("_symbol")
     if strict:
         out = out.withColumn("tick_size", F.coalesce("tick_size", F.raise_error(F.concat(F.lit("unknown symbol "), F.coalesce(F.col(symbol), F.lit("null")))).cast("double")))
     return out

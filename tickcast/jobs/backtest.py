@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickcast.jobs import training
+from tickcast.operators import bars as B
 from tickcast.operators import scan, signals, states
 from tickcast.sources.shared import written
 
@@ -23,6 +22,54 @@ def training_sets(bars: DataFrame, asked: DataFrame) -> DataFrame:
     return bars.join(cutoffs, "contract").filter(F.col("time") <= F.col("cutoff"))
 
 
+def cutoff_plans(bars: DataFrame, asked: DataFrame, min_completeness: float) -> DataFrame:
+    """contract, cutoff, threshold, drop_rank, shared for each distinct (contract, cutoff): which days a training up to the cutoff drops.
+
+    A day goes if its count is below ``threshold``. ``drop_rank`` counts such days among all days of the contract, so cutoffs of one
+    rank drop the same days and can share all work that looks only back. A bar at the cutoff's midnight is a day of one row; where
+    that day would stay, ``shared`` is false. Only counts of days are joined with cutoffs.
+    """
+    midnight = F.col("time") == F.date_trunc("DAY", "time").cast("timestamp_ntz")
+    days = written(bars.groupBy("contract", F.to_date("time").alias("date")).agg(F.count("*").alias("n"), F.max(midnight).alias("midnight")), "days")
+    both = asked.select("contract", "cutoff").distinct().join(days, "contract")
+    last = F.to_date("cutoff")
+    seen = F.when(F.col("date") < last, F.col("n")).when((F.col("date") == last) & F.col("midnight"), F.lit(1).cast("long"))
+    own = both.withColumn("seen", seen).filter("seen is not null")
+    own = own.groupBy("contract", "cutoff").agg(F.percentile("seen", 0.5).alias("expected"), F.max(F.col("date") == last).alias("has_midnight"))
+    own = own.withColumn("threshold", F.col("expected") * min_completeness)
+    ranks = own.join(days.select("contract", "n"), "contract").groupBy("contract", "cutoff", "threshold", "has_midnight").agg(F.count_if(F.col("n") < F.col("threshold")).alias("drop_rank"))
+    return ranks.withColumn("shared", ~F.col("has_midnight") | (F.col("threshold") > 1)).drop("has_midnight")
+
+
+def cutoff_features(bars: DataFrame, asked: DataFrame, p: training.Params) -> DataFrame:
+    """Tau bars with features of every (contract, cutoff), as training on the bars up to each cutoff would give them.
+
+    Sessions, tau bars and smoothed features are made once for each (contract, drop_rank); a cutoff takes the bars that end before
+    it. Cutoffs that can't share train on bars of their own.
+    """
+    keys, one = ["contract", "cutoff"], ["contract", "drop_rank"]
+    plans = written(cutoff_plans(bars, asked, p.min_completeness), "cutoff-plans")
+    drops = plans.filter("shared").groupBy(*one).agg(F.max("threshold").alias("threshold"))
+    days = bars.groupBy("contract", F.to_date("time").alias("_date")).agg(F.count("*").alias("_n"))
+    kept = days.join(drops, "contract").filter("_n >= threshold").select(*one, "_date")
+    series = bars.withColumn("_date", F.to_date("time")).join(kept, ["contract", "_date"]).drop("_date")
+    tau = B.tau_bars(series, one, p.tau, end="_end")
+    shared = written(training.featured(B.with_sequence(training.in_ticks(tau, p), one), one, p), "shared-features")
+    out = shared.join(plans.filter("shared").select(*keys, "drop_rank"), one).filter("_end < cutoff").drop("drop_rank", "_end")
+    alone = plans.filter("not shared").select(*keys)
+    if alone.limit(1).count():
+        plain = training.featured(training.ranged(training_sets(bars, alone), keys, p), keys, p)
+        out = out.unionByName(plain, allowMissingColumns=True)
+    return out
+
+
+def fit_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params = training.Params()) -> dict[str, DataFrame]:
+    """Model tables keyed by (contract, cutoff), equal to ``training.fit`` on ``training_sets``."""
+    keys = ["contract", "cutoff"]
+    rows, bounds = training.binned(written(cutoff_features(bars, asked, p), "cutoff-features"), keys, p)
+    return training.modelled(rows, bounds, keys, p)
+
+
 def place(bars: DataFrame, asked: DataFrame, p: training.Params = training.Params(), risk: float = 0.6, level: str = "first_failing") -> DataFrame:
     """All columns of ``asked`` (contract, timestamp, signal, ...) with cutoff, state, level, accepted level and opti_price.
 
@@ -33,16 +80,16 @@ def place(bars: DataFrame, asked: DataFrame, p: training.Params = training.Param
     keys = ["contract", "cutoff"]
     asked = asked.withColumn("cutoff", F.date_trunc("DAY", "timestamp").cast("timestamp_ntz")).withColumn("signal_id", F.xxhash64(*asked.columns))
     bars, asked = written(bars, "bars"), written(asked, "asked")
-    model = training.fit(training_sets(bars, asked), keys, p)
+    model = fit_cutoffs(bars, asked, p)
     live = written(scan.live_features(bars, ["contract"], p.halflife), "live")
     seen = signals.as_of_prior(asked, live, ["contract"], "timestamp", "time", ["time", "close", *LIVE])
     known = model["bounds"].select(*keys, "status", *(b for _, b in states.FEATURES.values()))
     out = seen.join(known, keys, "left").withColumn("direction", signals.side(F.col("signal")))
-    out = out.withColumns({s: F.when(F.col("status") == "ok", states.left_closed(F.round(r, p.digits or 15), F.col(b))) for (s, (_, b)), r in zip(states.FEATURES.items(), LIVE)})
+    out = out.withColumns({s: F.when(F.col("status") == "ok", states.left_closed(F.col(r) if p.digits is None else F.round(r, p.digits), F.col(b))) for (s, (_, b)), r in zip(states.FEATURES.items(), LIVE)})
     status = F.when(F.col("close").isNull(), "no_prior_bar").when(F.col("status").isNull(), "no_bars").otherwise(F.col("status"))
     out = signals.placement_levels(out.withColumn("status", status), model["cdf"], keys, ["signal_id"], risk)
     used = F.col("level" if level == "first_failing" else "accepted_level")
-    tick = F.lit(p.tick) if isinstance(p.tick, (int, float)) else p.tick
+    out, tick = p.ticked(out)
     price = F.when(F.col("status") == "ok", signals.limit_price(F.col("close"), used, tick, F.col("direction")))
     keep = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
     return out.select(*[c for c in asked.columns if c != "signal_id"], "direction", "m", "n", "k", keep("level"), keep("accepted_level"), keep("accepted_prob"), price.alias("opti_price"), "status")

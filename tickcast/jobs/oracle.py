@@ -13,7 +13,7 @@ sig AS (SELECT *, CAST(date_trunc('day', ts) AS TIMESTAMP) AS cutoff FROM (
     SELECT contract, ts, event_id, inventory, CAST(inventory - lag(inventory) OVER (PARTITION BY contract ORDER BY ts, event_id) AS DOUBLE) AS signal FROM inv) WHERE signal <> 0)"""
 
 
-def _chain(training: str = "SELECT contract, TIMESTAMP '9999-01-01' AS cutoff, * EXCLUDE (contract) FROM bars", tau: int = 5, tick: float = 1.0, alpha: float = 0.5, method: str = "smoothed") -> str:
+def _chain(training: str = "SELECT contract, TIMESTAMP '9999-01-01' AS cutoff, * EXCLUDE (contract) FROM bars", tau: int = 5, tick: float | str = 1.0, alpha: float = 0.5, method: str = "smoothed") -> str:
     """Common table expressions of a fit, one model for each (contract, cutoff) of ``training``."""
     prob = f"(n_seen + {alpha}) / denominator" if method == "smoothed" else "n_seen / denominator"
     denominator = f"n_total + {alpha} * (max_ell + 1)" if method == "smoothed" else "CAST(n_total AS DOUBLE)"
@@ -73,6 +73,26 @@ _EACH = "SELECT b.contract, c.cutoff, b.* EXCLUDE (contract) FROM bars b JOIN (S
 _KEY = "contract, m, n, k, direction, ell"
 
 
+#: Tick size of an event type's symbol, as the query takes it from the table of symbols and an override.
+_TICK = f"(CASE length(contract) % 3 WHEN 0 THEN {I.TICK_SIZES['ES']} WHEN 1 THEN {I.TICK_SIZES['VG']} ELSE 1.0 END)"
+
+
+def _placement(chain: str, tick: str) -> str:
+    """The backtest over one model for each (contract, cutoff)."""
+    return f"""WITH {chain}, {_LIVE},
+            s1 AS (SELECT s.*, CASE WHEN signal > 0 THEN 'range_dn' ELSE 'range_up' END AS direction, l.close, round(l.volume_ewma, 9) AS a, round(l.volatility_ewma, 9) AS b, round(l.ewma_delta_x, 9) AS c
+                   FROM sig s ASOF LEFT JOIN lv l ON s.contract = l.contract AND s.ts > l.time),
+            s2 AS (SELECT s.*, CASE WHEN close IS NULL THEN 'no_prior_bar' WHEN d.status IS NULL THEN 'no_bars' ELSE d.status END AS st0, d.status,
+                   CASE WHEN d.status = 'ok' THEN 1 + coalesce(a >= v1, false)::INT + coalesce(a >= v2, false)::INT END AS m, CASE WHEN d.status = 'ok' THEN 1 + coalesce(b >= s1, false)::INT + coalesce(b >= s2, false)::INT END AS n,
+                   CASE WHEN d.status = 'ok' THEN 1 + coalesce(c >= d1, false)::INT END AS k FROM s1 s LEFT JOIN bounds d ON s.contract = d.contract AND s.cutoff = d.cutoff),
+            pr AS (SELECT s.contract, s.event_id, l AS ell, coalesce(cum_prob, 0.0) AS p FROM s2 s, range(0, 10) t(l) LEFT JOIN cdf c ON c.contract = s.contract AND c.cutoff = s.cutoff AND c.m = s.m AND c.n = s.n AND c.k = s.k AND c.direction = s.direction AND c.ell = l),
+            fl AS (SELECT contract, event_id, min(ell) FILTER (WHERE p < 0.6) AS f, list(p ORDER BY ell) AS ps FROM pr GROUP BY ALL)
+            SELECT s.contract, s.event_id, signal, direction, m, n, k, CASE WHEN st0 = 'ok' THEN CAST(coalesce(f, 9) AS INT) END AS level, CASE WHEN st0 = 'ok' THEN CAST(CASE WHEN f IS NULL THEN 9 WHEN f = 0 THEN 0 ELSE f - 1 END AS INT) END AS accepted_level,
+                   CASE WHEN st0 = 'ok' THEN round(CAST(CASE WHEN f IS NULL THEN ps[10] WHEN f = 0 THEN 0.0 ELSE ps[f] END AS DOUBLE), 6) END AS accepted_prob,
+                   CASE WHEN st0 = 'ok' THEN round(CASE WHEN direction = 'range_dn' THEN close - coalesce(f, 9) * {tick} ELSE close + coalesce(f, 9) * {tick} END, 6) END AS opti_price, st0 AS status
+            FROM s2 s JOIN fl ON s.contract = fl.contract AND s.event_id = fl.event_id"""
+
+
 def _names() -> str:
     """Contract paths made of orders, as the query makes them."""
     symbols = "['ES', 'NQ', 'CL', 'HO', 'VG', 'S', '6E', 'XX', 'es', 'BP', 'JY', 'GC', 'foo', 'RX']"
@@ -86,7 +106,9 @@ ticks(sym, tick_size) AS (VALUES {ticks}), markets(route_symbol, market) AS (VAL
 
 
 def oracle_sql() -> dict[str, str]:
-    c, names = _chain(), _names()
+    c, names, own = _chain(), _names(), _chain(tick=_TICK)
+    ticks_of = f"""WITH {_BARS}, g AS (SELECT DISTINCT contract, 'o' AS s, open AS p FROM bars UNION SELECT contract, 'h', high FROM bars UNION SELECT contract, 'l', low FROM bars UNION SELECT contract, 'c', close FROM bars),
+            d AS (SELECT contract, round(p - lag(p) OVER (PARTITION BY contract, s ORDER BY p), 9) AS step FROM g) SELECT contract, round(min(step), 6) AS tick_size FROM d WHERE step > 0 GROUP BY contract"""
     raw, sparse = _chain(method="raw"), _chain(tick=0.1)
     asked = "asked AS (SELECT DISTINCT contract, m, n, CAST(bar_seq % 3 + 1 AS INT) AS k, 'range_dn' AS direction, r % 400 + bar_seq % 20 - 5 AS ell FROM st)"
     level = """a2 AS (SELECT * FROM ls, (VALUES ('range_up'), ('range_dn')) d(direction)),
@@ -143,12 +165,13 @@ def oracle_sql() -> dict[str, str]:
         "fit_models": f"""WITH {c}, h AS (SELECT contract, m, n, k, count(*) AS x FROM used GROUP BY ALL), g AS (SELECT contract, count(*) AS states_observed, min(x) AS least_samples, max(x) AS most_samples FROM h GROUP BY contract),
             f AS (SELECT contract, sum(cum_prob) AS fill_at_1 FROM cdf WHERE ell = 1 GROUP BY contract)
             SELECT b.contract, n_bars, j_s, status, states_observed, least_samples, most_samples, round(fill_at_1, 6) AS fill_at_1 FROM bounds b LEFT JOIN g ON b.contract = g.contract LEFT JOIN f ON b.contract = f.contract""",
-        "fit_with_cutoff": f"WITH {_chain(_UNTIL)} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob FROM cdf WHERE ell <= 9",
+        "fit_with_cutoff": f"WITH {_chain(_UNTIL)} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob FROM cdf",
         "live_states": f"WITH {c}, {_LIVE} SELECT contract, time, m, n, k FROM ls",
         "query_pdf": f"""WITH {c}, {asked} SELECT a.*, round(CAST(coalesce(p.prob, CASE WHEN a.ell >= 0 AND a.ell <= t.max_ell + 10 THEN t.base_prob END, 0.0) AS DOUBLE), 6) AS prob FROM asked a
             LEFT JOIN (SELECT contract, m, n, k, direction, max_ell, base_prob FROM tot) t USING (contract, m, n, k, direction) LEFT JOIN (SELECT {_KEY}, prob FROM pmf) p USING ({_KEY})""",
         "query_cdf": f"WITH {c}, {asked} SELECT a.*, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob FROM asked a LEFT JOIN (SELECT {_KEY}, cum_prob FROM cdf) p USING ({_KEY})",
-        "full_distribution": f"WITH {c} SELECT contract, ell, round(prob, 6) AS prob FROM pmf WHERE direction = 'range_dn' AND m = 1 AND n = 1 AND k = 1",
+        "full_distribution": f"""WITH {c}, {_LIVE}, now AS (SELECT contract, m, n, k FROM ls QUALIFY row_number() OVER (PARTITION BY contract ORDER BY time DESC) = 1)
+            SELECT contract, m, n, k, direction, ell, round(prob, 6) AS prob FROM pmf SEMI JOIN now USING (contract, m, n, k)""",
         "compare_methods": f"""WITH {_chain(alpha=1.0)}, a AS (SELECT *, unnest(range(0, 10)) AS ell FROM (SELECT DISTINCT contract, m, n, k, direction FROM freq))
             SELECT a.contract, a.m, a.n, a.k, a.direction, a.ell, round(CAST(coalesce(f.n_seen / t.n_total, 0.0) AS DOUBLE), 6) AS raw_prob,
                    round(CAST(coalesce(p.prob, CASE WHEN a.ell <= t.max_ell + 10 THEN t.base_prob END, 0.0) AS DOUBLE), 6) AS smoothed_prob
@@ -156,24 +179,20 @@ def oracle_sql() -> dict[str, str]:
         "top_levels": f"""WITH {c}, r AS (SELECT {_KEY}, prob, row_number() OVER (PARTITION BY contract, m, n, k, direction ORDER BY ell) AS rk FROM pmf WHERE direction <> 'range')
             SELECT r.* EXCLUDE (rk, prob), round(prob, 6) AS prob, round(cum_prob, 6) AS cum_prob FROM r LEFT JOIN (SELECT {_KEY}, cum_prob FROM cdf) c USING ({_KEY}) WHERE rk <= 10""",
         "inventory_signals": f"WITH {_BARS} SELECT contract AS market, event_id, inventory, signal FROM sig",
-        "infer_tick": f"""WITH {_BARS}, g AS (SELECT DISTINCT contract, 'o' AS s, open AS p FROM bars UNION SELECT contract, 'h', high FROM bars UNION SELECT contract, 'l', low FROM bars UNION SELECT contract, 'c', close FROM bars),
-            d AS (SELECT contract, round(p - lag(p) OVER (PARTITION BY contract, s ORDER BY p), 9) AS step FROM g) SELECT contract, round(min(step), 6) AS tick_size FROM d WHERE step > 0 GROUP BY contract""",
+        "infer_tick": ticks_of,
+        "folder_ticks": f"SELECT contract AS market, tick_size FROM ({ticks_of})",
         "asof_prior_bar": f"WITH {_BARS} SELECT s.contract, event_id, b.time AS bar_time, round(b.close, 6) AS close FROM sig s ASOF LEFT JOIN bars b ON s.contract = b.contract AND s.ts > b.time",
         "cutoff_training_sets": f"WITH {_BARS}, t AS ({_EACH}) SELECT contract, cutoff, count(*) AS n_rows, max(time) AS last_time FROM t GROUP BY contract, cutoff",
         "placement_level": f"WITH {c}, {_LIVE}, {level} SELECT contract, time, direction, level, accepted_level, round(CAST(accepted_prob AS DOUBLE), 6) AS accepted_prob FROM pl",
         "placement_price": f"WITH {c}, {_LIVE}, {level} SELECT pl.contract, pl.time, direction, round(CASE WHEN direction = 'range_dn' THEN close - level * 0.25 ELSE close + level * 0.25 END, 6) AS opti_price FROM pl JOIN bars b ON pl.contract = b.contract AND pl.time = b.time",
-        "placement_backtest": f"""WITH {_chain(_EACH)}, {_LIVE},
-            s1 AS (SELECT s.*, CASE WHEN signal > 0 THEN 'range_dn' ELSE 'range_up' END AS direction, l.close, round(l.volume_ewma, 9) AS a, round(l.volatility_ewma, 9) AS b, round(l.ewma_delta_x, 9) AS c
-                   FROM sig s ASOF LEFT JOIN lv l ON s.contract = l.contract AND s.ts > l.time),
-            s2 AS (SELECT s.*, CASE WHEN close IS NULL THEN 'no_prior_bar' WHEN d.status IS NULL THEN 'no_bars' ELSE d.status END AS st0, d.status,
-                   CASE WHEN d.status = 'ok' THEN 1 + coalesce(a >= v1, false)::INT + coalesce(a >= v2, false)::INT END AS m, CASE WHEN d.status = 'ok' THEN 1 + coalesce(b >= s1, false)::INT + coalesce(b >= s2, false)::INT END AS n,
-                   CASE WHEN d.status = 'ok' THEN 1 + coalesce(c >= d1, false)::INT END AS k FROM s1 s LEFT JOIN bounds d ON s.contract = d.contract AND s.cutoff = d.cutoff),
-            pr AS (SELECT s.contract, s.event_id, l AS ell, coalesce(cum_prob, 0.0) AS p FROM s2 s, range(0, 10) t(l) LEFT JOIN cdf c ON c.contract = s.contract AND c.cutoff = s.cutoff AND c.m = s.m AND c.n = s.n AND c.k = s.k AND c.direction = s.direction AND c.ell = l),
-            fl AS (SELECT contract, event_id, min(ell) FILTER (WHERE p < 0.6) AS f, list(p ORDER BY ell) AS ps FROM pr GROUP BY ALL)
-            SELECT s.contract, s.event_id, signal, direction, m, n, k, CASE WHEN st0 = 'ok' THEN CAST(coalesce(f, 9) AS INT) END AS level, CASE WHEN st0 = 'ok' THEN CAST(CASE WHEN f IS NULL THEN 9 WHEN f = 0 THEN 0 ELSE f - 1 END AS INT) END AS accepted_level,
-                   CASE WHEN st0 = 'ok' THEN round(CAST(CASE WHEN f IS NULL THEN ps[10] WHEN f = 0 THEN 0.0 ELSE ps[f] END AS DOUBLE), 6) END AS accepted_prob,
-                   CASE WHEN st0 = 'ok' THEN round(CASE WHEN direction = 'range_dn' THEN close - coalesce(f, 9) ELSE close + coalesce(f, 9) END, 6) END AS opti_price, st0 AS status
-            FROM s2 s JOIN fl ON s.contract = fl.contract AND s.event_id = fl.event_id""",
+        "placement_backtest": _placement(_chain(_EACH), "1"),
+        "placement_by_symbol": f"SELECT contract, event_id, direction, m, n, k, level, accepted_prob, opti_price, status FROM ({_placement(_chain(_EACH, tick=_TICK), _TICK.replace('contract', 's.contract'))})",
+        "fit_by_symbol": f"""WITH {own}, h AS (SELECT contract, count(*) AS states_observed FROM (SELECT DISTINCT contract, m, n, k FROM used) GROUP BY contract),
+            p AS (SELECT contract, max(ell) AS max_ell, sum(prob) AS total FROM pmf GROUP BY contract)
+            SELECT b.contract, n_bars, j_s, status, states_observed, max_ell, round(total, 6) AS total FROM bounds b LEFT JOIN h ON b.contract = h.contract LEFT JOIN p ON b.contract = p.contract""",
+        "report_by_symbol": f"WITH {own}, {report} SELECT * FROM rep",
+        "read_bar_files": f"WITH {_BARS} SELECT contract AS market, contract || '.csv' AS contract, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
+        "folder_signals": f"WITH {_BARS} SELECT 'AIAgent_' || contract || '.csv' AS filename, event_id, contract || '.csv' AS main_contract_clean, inventory, signal FROM sig",
         "stream_score": f"""WITH {c}, {_LIVE} SELECT l.contract, time, l.m, l.n, l.k, coalesce(t.n_total, 0) AS sample_count, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob FROM ls l
             LEFT JOIN (SELECT contract, m, n, k, max(n_total) AS n_total FROM tot GROUP BY ALL) t USING (contract, m, n, k) LEFT JOIN (SELECT contract, m, n, k, cum_prob FROM cdf WHERE direction = 'range_up' AND ell = 1) c USING (contract, m, n, k)""",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickcast.functions import instruments as I  # noqa: E741
-from tickcast.jobs import backtest, training
+from tickcast.jobs import backtest, folders, training
 from tickcast.operators import bars as B
 from tickcast.operators import model as M
 from tickcast.operators import scan, signals, states
@@ -17,9 +17,10 @@ from tickcast.sources.shared import shared_dir, written
 from tickcast.streaming import score as stream
 
 KEYS = ["contract"]
-P = training.Params()
-RAW = training.Params(method="raw")
-SPARSE = training.Params(tick=0.1)
+#: The SQL rounds features to nine digits before binning, so that the last bits of two engines can't flip a state.
+P = training.Params(digits=9)
+RAW = training.Params(method="raw", digits=9)
+SPARSE = training.Params(tick=0.1, digits=9)
 #: Cutoff of the queries that train as of a date.
 CUTOFF = "2024-01-12 00:00:00"
 
@@ -44,7 +45,7 @@ def load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract files are written from the event bars and found again."""
     root = f"{shared_dir(spark)}/contract-files-{uuid.uuid4().hex}"
-    files.write_by(bars_of(spark, sf_dir).select("contract", "time", *files.OHLCV).withColumn("market", F.col("contract")).drop("contract").repartition("market"), root, "market", "csv")
+    files.write_by(bars_of(spark, sf_dir).select("contract", "time", *files.OHLCV).withColumn("market", F.col("contract")).drop("contract"), root, "market", "csv")
     found = files.discover_files(spark, root)
     return found.groupBy("market").agg(F.count("*").alias("n_files"))
 
@@ -196,7 +197,7 @@ def model_report(spark, sf_dir):
 
 def market_report(spark, sf_dir):
     """Bars of four rows, as the multi-market report with its own parameters."""
-    return training.report(bars_of(spark, sf_dir), KEYS, training.Params(tau=4))
+    return training.report(bars_of(spark, sf_dir), KEYS, training.Params(tau=4, digits=9))
 
 
 def fit_models(spark, sf_dir):
@@ -207,7 +208,7 @@ def fit_models(spark, sf_dir):
 
 def fit_with_cutoff(spark, sf_dir):
     m = training.fit(B.until_cutoff(bars_of(spark, sf_dir), CUTOFF), KEYS, P)
-    return r6(m["cdf"].filter("ell <= 9"))
+    return r6(m["cdf"])
 
 
 def readings(spark, sf_dir):
@@ -236,8 +237,11 @@ def query_cdf(spark, sf_dir):
 
 
 def full_distribution(spark, sf_dir):
-    p = training.fit(bars_of(spark, sf_dir), KEYS, P)["pmf"]
-    return r6(p.filter("direction = 'range_dn' AND m = 1 AND n = 1 AND k = 1").select("contract", "ell", "prob"))
+    """The distributions of each contract's state at its last bar."""
+    m = training.fit(bars_of(spark, sf_dir), KEYS, P)
+    now = readings(spark, sf_dir).groupBy("contract").agg(F.max_by(F.struct(*backtest.LIVE), "time").alias("x")).select("contract", "x.*")
+    now = states.live_states(now, m["bounds"], KEYS, backtest.LIVE).select("contract", "m", "n", "k")
+    return r6(m["pmf"].join(now, ["contract", "m", "n", "k"], "left_semi").select("contract", "m", "n", "k", "direction", "ell", "prob"))
 
 
 def compare_methods(spark, sf_dir):
@@ -299,6 +303,58 @@ def placement_backtest(spark, sf_dir):
     return r6(got.select("contract", "event_id", "signal", "direction", "m", "n", "k", "level", "accepted_level", "accepted_prob", "opti_price", "status"))
 
 
+def symbol_ticks(spark, sf_dir):
+    """contract, tick_size: each event type trades as a symbol; ticks come from the table of symbols and an override."""
+    named = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("contract")).distinct().withColumn("symbol", tables.event_symbol(F.col("contract")))
+    own = spark.createDataFrame([("XX", 1.0)], "symbol string, tick_size double")
+    return I.with_tick_size(named, "symbol", own).select("contract", "tick_size")
+
+
+def fit_by_symbol(spark, sf_dir):
+    """Models of contracts with tick sizes of their own."""
+    p = P.with_ticks(symbol_ticks(spark, sf_dir))
+    m = training.fit(bars_of(spark, sf_dir), KEYS, p)
+    top = m["pmf"].groupBy(*KEYS).agg(F.max("ell").alias("max_ell"), F.sum("prob").alias("total"))
+    return r6(m["models"].join(top, KEYS, "left").select("contract", "n_bars", "j_s", "status", "states_observed", "max_ell", "total"))
+
+
+def report_by_symbol(spark, sf_dir):
+    return training.report(bars_of(spark, sf_dir), KEYS, P.with_ticks(symbol_ticks(spark, sf_dir)))
+
+
+def placement_by_symbol(spark, sf_dir):
+    """The backtest with ranges and prices in each contract's own ticks."""
+    got = backtest.place(bars_of(spark, sf_dir), all_signals(spark, sf_dir), P.with_ticks(symbol_ticks(spark, sf_dir)))
+    return r6(got.select("contract", "event_id", "direction", "m", "n", "k", "level", "accepted_prob", "opti_price", "status"))
+
+
+def market_files(spark, sf_dir) -> str:
+    """Folders of contract and inventory files of the events, columns in an order of their own; their root."""
+    root = f"{shared_dir(spark)}/market-files-{uuid.uuid4().hex}"
+    b = bars_of(spark, sf_dir).select("volume", "close", "contract", "low", "high", "open", "time")
+    files.write_by(b.withColumns({"market": F.col("contract"), "filename": F.concat("contract", F.lit(".csv"))}).drop("contract"), f"{root}/data", ["market", "filename"], "csv")
+    inv = tables.event_inventory(spark, sf_dir).select(F.col("event_id").cast("int").alias("main_volume"), "inventory", "timestamp", "market", F.concat(F.lit("AIAgent_"), "market", F.lit(".csv")).alias("filename"))
+    files.write_by(inv, f"{root}/inventories", ["market", "filename"], "csv")
+    return root
+
+
+def read_bar_files(spark, sf_dir):
+    return r6(files.read_bars(spark, f"{market_files(spark, sf_dir)}/data"))
+
+
+def folder_ticks(spark, sf_dir):
+    return r6(folders.tick_sizes(spark, f"{market_files(spark, sf_dir)}/data"))
+
+
+def folder_signals(spark, sf_dir):
+    """Signals of all inventory files, written as signal files and read again."""
+    root = market_files(spark, sf_dir)
+    inv = files.read_inventories(spark, f"{root}/inventories", "timestamp timestamp_ntz, inventory int, main_volume int")
+    found = signals.inventory_signals(inv, ["market", "filename"], ["timestamp", "main_volume"]).withColumn("main_contract_clean", F.concat("market", F.lit(".csv")))
+    files.write_by(found, f"{root}/signals", "filename", "csv")
+    return files.read_signals(spark, f"{root}/signals").select("filename", F.col("main_volume").cast("long").alias("event_id"), "main_contract_clean", "inventory", "signal")
+
+
 def stream_score(spark, sf_dir):
     """Readings of all bars, written as files and scored as a stream with the stored model; the rows of the finished stream."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -319,7 +375,7 @@ def queries() -> dict:
         sparse_days, gap_sessions, tau_bars, tick_ranges, range_quality, burn_in, ewma_shifted, ewm_std, ewma_features, state_boundaries, assign_states, state_histogram,
         range_frequency, reverse_cdf, reverse_cdf_sparse, state_statistics, validate_model, model_report, market_report, fit_models, fit_with_cutoff, live_states, query_pdf,
         query_cdf, full_distribution, compare_methods, top_levels, inventory_signals, infer_tick, asof_prior_bar, cutoff_training_sets, placement_level, placement_price,
-        placement_backtest, stream_score,
+        placement_backtest, stream_score, fit_by_symbol, report_by_symbol, placement_by_symbol, read_bar_files, folder_ticks, folder_signals,
     ]
     out = {f.__name__: f for f in named}
     out |= {"live_volume": live("volume_ewma"), "live_volatility": live("volatility_ewma"), "live_delta": live("ewma_delta_x")}

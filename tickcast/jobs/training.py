@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,33 +21,65 @@ class Params:
     method: str = "smoothed"
     alpha: float = 0.5
     min_completeness: float = 0.9
+    #: One tick size for all series, or a column over the series' keys and prices.
     tick: float | Column = 1.0
+    #: Tick sizes by contract (contract, tick_size); series without one have no bars. They come before ``tick``.
+    ticks: DataFrame | None = None
     #: Digits that features and boundaries are rounded to before binning; None keeps them as they are.
-    digits: int | None = 9
+    digits: int | None = None
+
+    def with_ticks(self, ticks: DataFrame) -> Params:
+        return replace(self, ticks=ticks)
+
+    def ticked(self, df: DataFrame) -> tuple[DataFrame, Column]:
+        """``df`` and each row's tick size; the column ``_tick`` is joined by contract where ticks differ."""
+        if self.ticks is not None:
+            one = self.ticks.groupBy("contract").agg(F.max("tick_size").alias("_tick"))
+            return df.join(one, "contract", "left"), F.col("_tick")
+        return df, F.lit(self.tick) if isinstance(self.tick, (int, float)) else self.tick
+
+
+def in_ticks(bars: DataFrame, p: Params) -> DataFrame:
+    """Tau bars with their ranges."""
+    df, tick = p.ticked(bars)
+    return B.tick_ranges(df.filter(tick.isNotNull()), tick).drop("_tick")
 
 
 def ranged(bars: DataFrame, keys: list[str], p: Params) -> DataFrame:
     """Cleaned tau bars with ranges and positions."""
     kept = B.drop_sparse_days(bars, keys, p.min_completeness)
-    return B.with_sequence(B.tick_ranges(B.tau_bars(kept, keys, p.tau), p.tick), keys)
+    return B.with_sequence(in_ticks(B.tau_bars(kept, keys, p.tau), p), keys)
 
 
-def classified(bars: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, DataFrame]:
-    """(rows with states, boundaries with status)."""
-    feats = written(states.rounded(scan.features(written(ranged(bars, keys, p), "ranged"), keys, p.halflife), p.digits), "features")
+def featured(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """Tau bars of ``ranged`` with the features of their states; each looks at earlier bars only."""
+    return states.rounded(scan.features(written(rows, "ranged"), keys, p.halflife), p.digits)
+
+
+def binned(feats: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, DataFrame]:
+    """(rows with states, boundaries with status) of a written table of features."""
     bounds = written(states.boundaries(feats, keys, states.burn_in(feats, keys, p.halflife, p.sizes), p.sizes, p.digits), "bounds")
     return states.assign(feats, keys, bounds), bounds
 
 
-def fit(bars: DataFrame, keys: list[str], p: Params = Params()) -> dict[str, DataFrame]:
-    """Each stage that others read is a written table. Model tables: bounds, states (rows), pmf, cdf, models (one row a model with its status and counts)."""
-    rows, bounds = classified(bars, keys, p)
+def classified(bars: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, DataFrame]:
+    """(rows with states, boundaries with status)."""
+    return binned(written(featured(ranged(bars, keys, p), keys, p), "features"), keys, p)
+
+
+def modelled(rows: DataFrame, bounds: DataFrame, keys: list[str], p: Params) -> dict[str, DataFrame]:
+    """Model tables of classified rows."""
     pmf = written(M.pmf(written(M.frequencies(rows, keys), "frequencies"), keys, p.method, p.alpha), "pmf")
     cdf = M.reverse_cdf(pmf, keys)
     models = bounds.select(*keys, "n_bars", "j_s", "status").join(states.histogram(rows, keys, p.sizes), keys, "left")
     return {"bounds": bounds, "states": rows, "pmf": pmf, "cdf": cdf, "models": models}
 
 
+def fit(bars: DataFrame, keys: list[str], p: Params = Params()) -> dict[str, DataFrame]:
+    """Each stage that others read is a written table. Model tables: bounds, states (rows), pmf, cdf, models (one row a model with its status and counts)."""
+    return modelled(*classified(bars, keys, p), keys, p)
+
+
 def report(bars: DataFrame, keys: list[str], p: Params) -> DataFrame:
     """keys, n_rows, n_bars, j_s, states_observed, states_possible, is_valid, probe_ok, status: one row a series, errors as a status."""
     model = fit(bars, keys, p)

@@ -34,19 +34,22 @@ def with_sessions(bars: DataFrame, keys: list[str], gap: str = "4 hours") -> Dat
     return bars.withColumn("_new", new.cast("int")).withColumn("session_id", F.sum("_new").over(w).cast("int")).drop("_new")
 
 
-def tau_bars(bars: DataFrame, keys: list[str], tau: int) -> DataFrame:
+def tau_bars(bars: DataFrame, keys: list[str], tau: int, end: str | None = None) -> DataFrame:
     """Bars of ``tau`` consecutive rows of a session; an unfinished last bar goes. tau=1 passes bars through, without sessions.
 
+    ``end`` names a column for the time of a bar's last row.
+
     The sessions' partitioning by keys serves the grouping too, so this adds no exchange.
     """
     if tau == 1:
-        return bars.select(*keys, "time", "open", "high", "low", "close", "volume")
+        return bars.select(*keys, "time", "open", "high", "low", "close", "volume", *([F.col("time").alias(end)] if end else []))
     s = with_sessions(bars, keys)
     rn = F.row_number().over(Window.partitionBy(*keys, "session_id").orderBy("time"))
     g = s.withColumn("_rn", rn).withColumn("bar_idx", F.floor((F.col("_rn") - 1) / tau).cast("int"))
     out = g.groupBy(*keys, "session_id", "bar_idx").agg(
         F.min("time").alias("time"), F.min_by("open", "_rn").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "_rn").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("_n"),
+        *([F.max("time").alias(end)] if end else []),
     )
     return out.filter(F.col("_n") == tau).withColumn("completeness", F.lit(1.0)).drop("_n")
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 BAR_SCHEMA = "time timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -17,39 +21,83 @@ def checked_bars(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys, time and OHLCV of ``df``; a missing column raises."""
     missing = [c for c in ["time", *OHLCV] if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"bars lack {', '.join(missing)}")
     return df.select(*keys, "time", *(F.col(c).cast("double").alias(c) for c in OHLCV))
 
 
+def decoded(path: Column) -> Column:
+    """A file's path from its address."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def named_part(path: Column, key: str, otherwise: int) -> Column:
+    """The value of a folder ``key=value``, as ``write_by`` names folders, or else the path's element at the negative place ``otherwise``."""
+    folder = F.nullif(F.regexp_extract(path, f"/{key}=([^/]*)/", 1), F.lit(""))
+    return F.coalesce(decoded(folder), F.element_at(F.split(path, "/"), otherwise))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Add market (folder) and filename of each row's file by its column ``path``."""
+    return df.withColumn("path", decoded(F.col("path"))).withColumns({"market": named_part(F.col("path"), "market", -2), "filename": named_part(F.col("path"), "filename", -1)})
+
+
+def read_named(spark: SparkSession, root: str, schema: str, required: list[str], only: Column | None = None) -> DataFrame:
+    """All CSV files below ``root`` with their columns found by the names in each file's own header, plus market and filename.
+
+    ``only`` is a condition on market and filename. Columns that a file lacks are null; where one of ``required`` is
+    missing the file is refused. Headers are read first; files of one header are then read at once, so any order of columns is right.
+    """
+    wanted = StructType.fromDDL(schema)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    heads = _placed(lines.groupBy("path").agg(F.min_by("value", "at").alias("header")))
+    heads = heads if only is None else heads.filter(only)
+    parts = []
+    for row in heads.groupBy("header").agg(F.collect_list("path").alias("paths")).collect():  # a row for each kind of header, with file names alone
+        names = [x.strip() for x in next(csv.reader([(row["header"] or "").lstrip("﻿")]), [])]
+        missing = [c for c in required if c not in names]
+        if missing:
+            raise ValueError(f"{min(row['paths'])} lacks {', '.join(missing)}")
+        first = [n if n in wanted.names and n not in names[:i] else f"_unused{i}" for i, n in enumerate(names)]
+        own = StructType([wanted[n] if n in wanted.names else StructField(n, StringType()) for n in first])
+        read = spark.read.schema(own).option("header", True).csv(row["paths"])
+        columns = [F.col(f.name) if f.name in first else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
+        parts.append(_placed(read.select(*columns, F.col("_metadata.file_path").alias("path"))))
+    if not parts:
+        return spark.createDataFrame([], StructType([*wanted, StructField("market", StringType()), StructField("filename", StringType())]))
+    return reduce(DataFrame.unionByName, parts).drop("path")
+
+
+def _inventory(filename: str = "filename") -> Column:
+    return F.contains(F.col(filename), F.lit("AI"))
+
+
 def read_bars(spark: SparkSession, root: str) -> DataFrame:
     """All contract files below ``root`` (folder = market, file = contract, inventories left out) as one table."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(BAR_SCHEMA).csv(root)
-    named = raw.select("*", F.col("_metadata.file_path").alias("path")).filter(~F.contains(F.element_at(F.split("path", "/"), -1), F.lit("AI")))
-    named = named.withColumns({"contract": F.element_at(F.split("path", "/"), -1), "market": F.url_decode(F.element_at(F.split("path", "/"), -2))})
-    return checked_bars(named, ["market", "contract"])
+    raw = read_named(spark, root, BAR_SCHEMA, ["time", *OHLCV], ~_inventory())
+    return checked_bars(raw.withColumnRenamed("filename", "contract"), ["market", "contract"])
 
 
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, market, filename of the contract files below ``root``; only names are read."""
+    """market, filename, path of the contract files below ``root``; only names are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
-    out = files.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "market": F.url_decode(F.element_at(F.split("path", "/"), -2))})
-    return out.filter(~F.startswith("filename", F.lit("AIAgent_"))).select("market", "filename", "path")
+    return _placed(files).filter(~F.startswith("filename", F.lit("AIAgent_"))).select("market", "filename", "path")
 
 
 def read_inventories(spark: SparkSession, root: str, schema: str = SIGNAL_SCHEMA) -> DataFrame:
     """Files whose name holds AI, in all market folders, with market and filename."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*AI*").schema(schema).csv(root)
-    return raw.withColumns({"filename": F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "market": F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))})
+    return read_named(spark, root, schema, ["timestamp", "inventory"], _inventory())
 
 
 def read_signals(spark: SparkSession, folder: str) -> DataFrame:
-    """All signal files of a folder as one table."""
-    return spark.read.option("header", True).schema(SIGNAL_SCHEMA + ", signal double").csv(folder).withColumn("filename", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    """All signal files of a folder as one table, with filename."""
+    return read_named(spark, folder, SIGNAL_SCHEMA + ", signal double", ["timestamp", "main_contract_clean", "signal"]).drop("market")
 
 
-def write_by(df: DataFrame, path: str, by: str, fmt: str = "parquet") -> None:
-    """One folder per value of ``by``."""
-    df.write.mode("overwrite").format(fmt).partitionBy(by).option("header", True).save(path)
+def write_by(df: DataFrame, path: str, by: str | list[str], fmt: str = "parquet") -> None:
+    """A folder per value of ``by``, one file each; the readers above find market and filename in the folders' names."""
+    by = [by] if isinstance(by, str) else by
+    df.repartition(*by).write.mode("overwrite").format(fmt).partitionBy(*by).option("header", True).save(path)
 
 
 MODEL_TABLES = ("models", "states", "pmf", "cdf", "bounds")

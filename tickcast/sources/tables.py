@@ -39,3 +39,11 @@ def contract_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = ["F", "H", "M", "U", "Z", "A"]
     path = F.concat(F.lit("data/m/"), pick(symbols, key), pick(months, F.floor(key / 7)), F.lpad((key % 100).cast("string"), 2, "0"), F.lit(".csv"))
     return table(spark, sf_dir, "orders").select("o_orderkey", pick(symbols, key).alias("name"), path.alias("path"))
+
+
+#: Symbols that event types trade as, by the length of their names.
+EVENT_SYMBOLS = ["ES", "VG", "XX"]
+
+
+def event_symbol(contract):
+    return F.element_at(F.array(*map(F.lit, EVENT_SYMBOLS)), F.length(contract) % len(EVENT_SYMBOLS) + 1)
