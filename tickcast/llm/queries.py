@@ -37,7 +37,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), alone=None).select(
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
@@ -90,9 +90,11 @@ def oracle_sql() -> dict[str, str]:
             FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
         "op5_line_dedup": r"""
             WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
-                 v AS (SELECT doc_id, i, md5(array_to_string(x[i:i + 2], chr(10))) AS k FROM (SELECT doc_id, x, unnest(range(1, len(x) - 1)) AS i FROM d WHERE len(x) >= 3)),
-                 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM v),
-                 g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM r WHERE n > 1),
+                 e AS (SELECT doc_id, x, list_transform(x, lambda y: len(list_filter(regexp_split_to_array(y, '[\x20\x09-\x0D]+'), lambda z: z <> ''))) AS w FROM d),
+                 s AS (SELECT doc_id, x, w, n, unnest(range(1, len(x) - n + 2)) AS i FROM e, (VALUES (1), (2), (3)) t(n) WHERE len(x) >= n),
+                 v AS (SELECT doc_id, i, n, md5(array_to_string(x[i:i + n - 1], chr(10))) AS k FROM s WHERE n = 3 OR len(x) = n OR list_sum(w[i:i + n - 1]) >= 8),
+                 r AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS p FROM v),
+                 g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM r WHERE p > 1),
                  t AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM d),
                  k AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM t ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
             SELECT d.doc_id, CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
