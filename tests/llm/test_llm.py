@@ -240,6 +240,15 @@ def test_pieces(docs, empty):
     assert [ids[a:b].tolist() for a, b in zip(lim[:-1], lim[1:])] == [sp.encode(t) for t in some]
 
 
+def test_relational_lattice_equals_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    some = texts()[2:9] + texts()[10:] + [(20 + n, " " * n + "Hello,  world" + " " * n) for n in range(0, 40, 3)] + [(80, "tab\tand\nline  \n x"), (81, "naïve 漢字𝒳 x"), (82, "\x01 a\x02b")]
+    got = pieces.relational_encode(spark.createDataFrame(some, "doc_id long, text string"))
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: sp.encode(t or "") for i, t in some}
+
+
 def test_viterbi(spark):
     table = {"a": -1.0, "b": -1.5, "ab": -2.2, "ba": -1.2, "aba": -2.0, "c": -3.0}
 

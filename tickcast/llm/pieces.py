@@ -7,7 +7,8 @@ equi-joined to the piece table by hash and length, and grouped by word. A fold o
 The given vocabulary is byte-pair encoded: its right result is the one of the merges, which differs from the best sum of
 scores that a Viterbi fold finds. Edges are therefore folded in order of score, leftmost first: an edge is taken where it
 spans exactly two current pieces. (For a vocabulary whose merges are ordered, this equals merging pair by pair.)
-``viterbi`` is the fold for unigram vocabularies, as a DataFrame of edges and Spark's ``aggregate``.
+``relational_encode`` is the same lattice and fold as DataFrames, with Spark's ``aggregate``; ``viterbi`` is the relational fold for unigram vocabularies.
+The registered query takes the Arrow form, since the relational one is beyond the limits on CPU and disk (figures in the README).
 
 Defined results: null and empty texts have no ids; characters without a piece become byte pieces; a literal U+2581 is read as a space, as
 the library reads it; texts and words of any length are encoded whole; repeated rows are encoded each; extra columns are ignored; an
@@ -288,6 +289,50 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_pieces long, ids_crc32 long, decoded_equal boolean")
 
 
+def relational_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids of every row: as ``encode``, by explode, equi-joins and ``aggregate`` alone.
+
+    The state of a word's fold is the array of its current piece borders; an edge that spans exactly two pieces removes the border
+    between them. Every word that occurs is folded once, then joined back to its places. Ids must be unique here.
+    """
+    table = piece_table(path or default_path())
+    spark = docs.sparkSession
+    level = {int(i): int(r) for i, r in zip(table.by_rank, table.rank)}
+    last = max(level.values(), default=0) + 1
+    rows = [(t.decode(), [i], level.get(i, last)) for i, t in enumerate(table.texts) if t and i not in set(table.byte_ids.tolist())]
+    known = spark.createDataFrame(rows, "piece string, ids array<int>, rank int")  # the vocabulary: tens of thousands of rows
+    alone = "".join(f"\\x{c:02x}" for c in np.flatnonzero(table.isolated))
+    text = F.concat(F.lit(" "), F.replace("text", F.lit(SPACE), F.lit(" ")))
+    cut = F.when(F.length("text") > 0, F.regexp_extract_all(text, F.lit(f"( *[^ {alone}]+| +|[{alone}])"), 1)).otherwise(F.array().cast("array<string>"))
+    places = docs.select("doc_id", F.posexplode(cut).alias("pos", "word"))
+    distinct = places.groupBy("word").agg(F.length("word").alias("size"))
+    subs = distinct.select("word", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
+    longest = max(table.longest, *table.spaces)
+    subs = subs.select("word", "size", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("size"), F.col("s") + longest))).alias("e"))
+    subs = subs.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
+    raw = F.encode("piece", "UTF-8")
+    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.element_at(F.array(*map(F.lit, table.byte_ids.tolist())), F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1).cast("int"))
+    edges = subs.join(F.broadcast(known), "piece", "left").filter("ids is not null or e = s + 1")
+    # runs of spaces have one score: from the left, neighbours that form a piece are joined at once
+    spaces = F.trim("piece") == ""
+    order = [F.coalesce("rank", F.lit(last)).alias("rank"), F.when(spaces, F.col("e")).otherwise(F.col("s")).alias("k1"), F.when(spaces, -F.col("s")).otherwise(F.col("e")).alias("k2")]
+    edges = edges.select("word", "size", F.struct(*order, "s", "e", F.coalesce("ids", as_bytes).alias("ids")).alias("edge"))
+    lattices = edges.groupBy("word", "size").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+    def step(borders, x):
+        at = F.array_position(borders, x["s"]).cast("int")
+        two = (at > 0) & (F.try_element_at(borders, at + 2) == x["e"])
+        return F.when(two, F.filter(borders, lambda b: (b <= x["s"]) | (b >= x["e"]))).otherwise(borders)
+
+    borders = F.aggregate(F.filter("edges", lambda x: x["e"] > x["s"] + 1), F.sequence(F.lit(0), F.col("size")), step)
+    folded = lattices.select("word", "edges", borders.alias("b"))
+    taken = F.transform(F.slice("b", 1, F.size("b") - 1), lambda s, i: F.element_at(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == F.element_at("b", i + 2))), 1)["ids"])
+    words = folded.select("word", F.flatten(taken).alias("ids"))
+    found = places.join(words, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
+    ids = F.coalesce(F.flatten(F.transform("x", lambda x: x["ids"])), F.array().cast("array<int>"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", ids.alias("ids"))
+
+
 def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown: float = -100.0) -> DataFrame:
     """word, pieces: the best sum of scores for each distinct word under a unigram table (piece, score).
 
