@@ -244,8 +244,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, ban
     labels = written(components(edges), "labels")
     # groups that still hold several components: their members meet as far as the sketches allow
     marked = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    mixed = marked.join(mixed, "key").join(texts.select(F.col("row").alias("rep"), "size", "bits"), "rep")
+    several = written(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "several")
+    mixed = marked.join(several, "key").join(texts.select(F.col("row").alias("rep"), "size", "bits"), "rep")
     mixed = written(mixed, "mixed")
     met = mixed.alias("x").join(mixed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & may_link("x", "y", least))
     rest = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
@@ -255,7 +255,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, ban
         labels = joined(labels, more)
     final = contents.select("content", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     final = written(final.select("content", F.coalesce("label", "rep").alias("class_row")), "classes")
-    discard(contents, members, pivots, pairs, texts, edges, mixed, rest, more)
+    discard(contents, members, pivots, pairs, texts, edges, several, mixed, rest, more)
     return sig.select("row", "content").join(final, "content").select("row", "class_row")
 
 
