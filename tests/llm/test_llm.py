@@ -219,6 +219,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "per_list"), [(2000, 8), (6000, 16)])
+def test_recall_with_more_lists_than_probes(spark, n, per_list):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 16))[r.integers(0, 60, n)] + 0.7 * r.normal(size=(n, 16))
+    x[n // 2 : n // 2 + n // 3] = x[7]  # one vector holds a third of all rows
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, per_list=per_list, per_cell=10 * per_list).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(0, n, 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -2
+        hits += len(set(np.lexsort((np.arange(n), -s))[:5].tolist()) & {f.vec_id for f in found if f.query_id == q})
+    assert len(found) == n // 50 * 5 and hits >= 0.9 * len(found)
+
+
 def test_token_counts(docs, empty):
     e = token_counts.encoding(token_counts.default_path())
     want = {i: len(e.encode_ordinary(t or "")) for i, t in texts()}

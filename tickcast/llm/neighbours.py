@@ -1,13 +1,16 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are fitted on a bounded sample and joined by an in-memory neighbour graph that is shipped to the tasks.
-Every vector goes to the list of its nearest centroid, and boundary vectors also to further lists whose centroid
-is almost as near. Lists of more than ``CHUNK`` vectors are dealt out in chunks. A query searches the graph and keeps the lists
-whose distance is within a ratio of the best; each (list, chunk) is scored as one block against its queries, and
-only the best of a block travel on. Scores are exact cosines in double precision on the original vectors.
+Equal vectors are one content first, with the few least ids that a result can hold. Cells are fitted on a bounded sample; their
+centroids are joined by an in-memory neighbour graph that is shipped to the tasks. Each cell is cut into lists around pivots, which are
+fitted in the cell on a share of its contents, one for every ``LIST`` of them: lists are as many as the table asks for, and balanced. Every content
+goes to the list of its nearest pivot, and boundary vectors also to further cells and lists that are almost as near. A query searches
+the graph for cells, compares the pivots there, and keeps the lists whose distance is within a ratio of the best. A list is scored as
+one block against its queries; only the best of a block travel on. Scores are exact cosines in double precision on the original vectors.
+
+Work for a vector or a query is the graph's, a cell's pivots (the table's size over cells and ``LIST``) and, for a query, ``PROBES`` lists.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors whose
-dimension differs from the fitted one (that of most of the sample); ties go to the smaller id; rows that repeat an id count once
+dimension differs from the most frequent one; ties go to the smaller id; a query id that repeats has the best over its vectors, and rows that repeat an id count once
 per distinct vector; with fewer candidates than ``k`` all are returned; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -20,10 +23,16 @@ from pyspark.sql import functions as F
 
 from tickcast.llm.common import bounded_batches, mapped, written
 
-#: Vectors that centroids may be fitted on, centroids at most, and vectors in a chunk of a list.
-SAMPLE, CENTROIDS, CHUNK = 16_384, 1024, 2048
-REPLICAS, BOUNDARY = 6, 1.3
-PROBES, RATIO = 64, 1.6
+#: Vectors and bytes that cells may be fitted on, and cells at most.
+SAMPLE, SAMPLE_BYTES, CENTROIDS = 16_384, 64 << 20, 1024
+#: Vectors for a pivot, and for a cell while there are fewer than the most; contents that a pivot is fitted on.
+LIST, CELL, FIT = 512, 8192, 16
+#: Cells and lists that a vector is in at most, and how much farther than its nearest they may be.
+CELLS, LISTS, BOUNDARY = 3, 2, 1.3
+#: Cells and lists that a query sees at most, and how much farther than the nearest they may be.
+NEAR_CELLS, PROBES, RATIO = 32, 128, 1.6
+#: Vectors of a cell that one task meets.
+SALT = 20_000
 DEGREE = 24
 
 
@@ -109,65 +118,114 @@ class CentroidGraph:
         return np.take_along_axis(nodes, order, 1), 1 - np.take_along_axis(score, order, 1)
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_enough(d: np.ndarray, ratio: float) -> np.ndarray:
+    """Which of the rising distances are within the ratio of the first; a quarter always, since near a centre the ratio alone says little."""
+    return (d <= ratio * d[:, :1]) | (np.arange(d.shape[1]) < d.shape[1] // 4)
+
+
+def _pivots(left: pa.Table, right: pa.Table, dims: int):
+    """Unit vectors of a cell's rows and pivots, and the pivots' ids; a cell without a pivot is one list, number -1."""
+    v = unit(matrix(left["v"].combine_chunks(), dims))
+    if not right.num_rows:
+        return v, np.zeros((1, dims)), np.array([-1])
+    order = np.argsort(right["pid"].to_numpy())
+    return v, unit(matrix(right["pv"].combine_chunks(), dims))[order], right["pid"].to_numpy()[order]
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", per_list: int = LIST, per_cell: int = CELL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     all_rows = usable(vectors, id_col, vec_col)
-    sample = all_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()  # bounded by SAMPLE
-    sizes = [len(r[0]) for r in sample]
-    if not sizes:
+    shape = all_rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = max(set(sizes), key=lambda d: (sizes.count(d), -d))
-    x = unit(np.array([r[0] for r in sample if len(r[0]) == dims]))
-    graph = CentroidGraph(fit_centroids(x, min(CENTROIDS, max(1, int(2 * np.sqrt(len(x)))), len(np.unique(x, axis=0)))))
+    dims, total = shape["d"], shape["n"]
     rows = all_rows.filter(F.size("v") == dims)
-
-    def assign(want: int, ratio: float, beam: int):
+    # no result holds more than the k + 1 least ids of equal vectors (one may be the query's own)
+    few = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    contents = few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("cid", F.monotonically_increasing_id())
+    contents = written(contents.withColumn("first", F.element_at("ids", 1)), "vector-contents")
+    most = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * dims)))
+    sample = contents.orderBy(F.xxhash64("first"), "first", "cid").limit(most).select("v").toArrow()  # bounded in rows and bytes
+    x = unit(matrix(sample["v"].combine_chunks(), dims))
+    graph = CentroidGraph(fit_centroids(x, min(CENTROIDS, -(-total // per_cell), len(x))))
+    salts = max(1, -(-CELLS * total // len(graph.c) // SALT))
+
+    def cells(want: int, ratio: float):
         def run(batch: pa.RecordBatch):
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                at, d = graph.search(unit(matrix(part.column(1), dims)), want, beam)
-                keep = (d <= ratio * d[:, :1]) | (np.arange(d.shape[1]) < want // 4)  # near a centroid the ratio alone says little
-                row, col = np.nonzero(keep)
-                yield part.take(pa.array(row)).append_column("list", pa.array(at[row, col], pa.int32()))
+                at, d = graph.search(unit(matrix(part.column(1), dims)), want, 3 * want)
+                row, col = np.nonzero(near_enough(d, ratio))
+                yield part.take(pa.array(row)).append_column("cell", pa.array(at[row, col], pa.int32()))
 
         return run
 
-    schema = "vec_id long, v array<double>, list int"
-    lists = mapped(rows, assign(REPLICAS, BOUNDARY, 3 * REPLICAS), schema)
-    sizes_of = {r["list"]: r["n"] for r in lists.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most CENTROIDS rows
-    chunks = F.create_map(*[F.lit(e) for pair in ((c, -(-sizes_of.get(c, 0) // CHUNK) or 1) for c in range(len(graph.c))) for e in pair])
-    posted = lists.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[F.col("list")]).cast("int"))
-    asked = mapped(rows.filter(F.pmod("vec_id", F.lit(every)) == 0), assign(PROBES, RATIO, 2 * PROBES), schema)
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[F.col("list")].cast("int") - 1)))
+    def split(left: pa.Table, right: pa.Table) -> pa.Table:
+        v, p, pid = _pivots(left, right, dims)
+        out = []
+        for i in range(0, len(v), 1000):
+            d = 1 - v[i : i + 1000] @ p.T
+            at = np.argsort(d, axis=1, kind="stable")[:, :LISTS]
+            row, col = np.nonzero(near_enough(np.take_along_axis(d, at, 1), BOUNDARY))
+            out.append(left.slice(i, 1000).take(pa.array(row)).drop(["salt"]).append_column("list", pa.array(pid[at[row, col]])))
+        return pa.concat_tables(out) if out else left.drop(["salt"]).append_column("list", pa.array([], pa.int64()))
+
+    def fit_pivots(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        x = unit(matrix(rows["v"].combine_chunks(), dims))
+        c = fit_centroids(x, -(-len(x) // FIT))
+        return pa.table({"pcell": pa.array([key[0].as_py()] * len(c), pa.int32()), "pid": np.arange(len(c)), "pv": pa.FixedSizeListArray.from_arrays(c.ravel(), dims).cast(pa.list_(pa.float64()))})
+
+    def near_lists(left: pa.Table, right: pa.Table) -> pa.Table:
+        v, p, pid = _pivots(left, right, dims)
+        d = 1 - v @ p.T
+        at = np.argsort(d, axis=1, kind="stable")[:, :PROBES]
+        row = np.repeat(np.arange(len(v)), at.shape[1])
+        return pa.table({"cid": left["cid"].take(pa.array(row)), "cell": left["cell"].take(pa.array(row)), "list": pid[at.ravel()], "d": np.take_along_axis(d, at, 1).ravel()})
+
+    in_cells = "v array<double>, cell int"
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(salts)).cast("int"))
+    posted = salted(mapped(contents.select("cid", "v", "first"), cells(CELLS, BOUNDARY), "cid long, v array<double>, first long, cell int"))
+    share = contents.filter(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(max(1, per_list // FIT))) == 0).select("cid", "v")
+    fitted = mapped(share, cells(1, 1.0), f"cid long, {in_cells}").groupBy("cell").applyInArrow(fit_pivots, "pcell int, pid long, pv array<double>")
+    fitted = written(fitted, "pivots")  # once, since both sides must see the same
+    pivots = fitted.withColumn("psalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    lists = posted.groupBy("cell", "salt").cogroup(pivots.groupBy("pcell", "psalt")).applyInArrow(split, "cid long, v array<double>, first long, cell int, list long")
+    # queries are contents too; many queries may share one
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v")
+    asked = written(asked.join(contents.select("v", "cid"), "v").select("query_id", "cid").distinct(), "asked-vectors")
+    own = contents.select("cid", "v").join(asked.select("cid").distinct(), "cid", "left_semi")
+    seen = salted(mapped(own, cells(NEAR_CELLS, RATIO), f"cid long, {in_cells}"))
+    probes = seen.groupBy("cell", "salt").cogroup(pivots.groupBy("pcell", "psalt")).applyInArrow(near_lists, "cid long, cell int, list long, d double")
+    w = Window.partitionBy("cid").orderBy("d", "cell", "list")  # a query's lists in its few cells
+    probes = probes.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= PROBES).withColumn("least", F.min("d").over(Window.partitionBy("cid")))
+    probes = probes.filter((F.col("d") <= RATIO * F.col("least")) | (F.col("at") <= PROBES // 4))
+    probes = probes.join(own, "cid").select(F.col("cid").alias("qid"), F.col("v").alias("q"), F.col("cell").alias("qcell"), F.col("list").alias("qlist"))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        qi, ci = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        q, c = (unit(matrix(t["v"].combine_chunks(), dims)) for t in (left, right))
-        out = []
-        for i in range(0, len(q), 256):
-            s = q[i : i + 256] @ c.T
-            s[qi[i : i + 256, None] == ci] = -np.inf
-            if s.shape[1] > k:
-                kth = np.partition(s, -k, axis=1)[:, -k]
-                row, col = np.nonzero(s >= kth[:, None] - 1e-9)
-            else:
-                row, col = np.nonzero(s > -np.inf)
-            exact = (q[i + row] * c[col]).sum(1)
-            ok = s[row, col] > -np.inf
-            row, col, exact = row[ok], col[ok], exact[ok]
-            order = np.lexsort((ci[col], -exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            top = place < k
-            out.append(pa.table({"query_id": qi[i + row[top]], "vec_id": ci[col[top]], "score": exact[top]}))
+        out = [pa.table({"qid": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if left.num_rows and right.num_rows:
+            qi, ci, first = left["qid"].to_numpy(), right["cid"].to_numpy(), right["first"].to_numpy()
+            q, c = (unit(matrix(t.combine_chunks(), dims)) for t in (left["q"], right["v"]))
+            for i in range(0, len(q), 256):
+                s = q[i : i + 256] @ c.T
+                if s.shape[1] > k + 1:
+                    row, col = np.nonzero(s >= np.partition(s, -k - 1, axis=1)[:, -k - 1, None] - 1e-9)
+                else:
+                    row, col = np.nonzero(s > -np.inf)
+                exact = (q[i + row] * c[col]).sum(1)
+                order = np.lexsort((first[col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) <= k
+                out.append(pa.table({"qid": qi[i + row[top]], "cid": ci[col[top]], "score": exact[top]}))
         return pa.concat_tables(out)
 
-    tops = asked.groupBy("list", "chunk").cogroup(posted.groupBy("list", "chunk")).applyInArrow(block, "query_id long, vec_id long, score double")
-    best = tops.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    tops = probes.groupBy("qcell", "qlist").cogroup(lists.groupBy("cell", "list")).applyInArrow(block, "qid long, cid long, score double")
+    found = tops.groupBy("qid", "cid").agg(F.max("score").alias("score")).join(contents.select("cid", "ids"), "cid")
+    found = found.select("qid", F.explode("ids").alias("vec_id"), "score").groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1).select(F.col("qid").alias("cid"), "vec_id", "score")
+    pairs = asked.join(found, "cid").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
