@@ -1,13 +1,15 @@
 """Cleaning bars, sessions, roll-up to tau bars, ranges in ticks.
 
-All functions work on many series at once; ``keys`` names a series. Every window is partitioned by them. Times must be unique in a series.
+All functions work on many series at once; ``keys`` names a series. Long windows go by series and day. Times must be unique in a series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickcast.operators import days
+
 
 def until_cutoff(bars: DataFrame, cutoff: Column | str) -> DataFrame:
     """Bars up to and including the cutoff; a plain filter, pushed to the scan."""
@@ -16,9 +18,9 @@ def until_cutoff(bars: DataFrame, cutoff: Column | str) -> DataFrame:
 
 def daily_counts(bars: DataFrame, keys: list[str], min_completeness: float = 0.9) -> DataFrame:
     """keys, date, n_bars, expected (exact median of the days), is_kept. Aggregated to days before anything else."""
-    days = bars.groupBy(*keys, F.to_date("time").alias("date")).agg(F.count("*").alias("n_bars"))
-    expected = days.groupBy(*keys).agg(F.percentile("n_bars", 0.5).alias("expected"))
-    return days.join(expected, keys).withColumn("is_kept", F.col("n_bars") >= F.col("expected") * min_completeness)
+    counts = bars.groupBy(*keys, F.to_date("time").alias("date")).agg(F.count("*").alias("n_bars"))
+    expected = counts.groupBy(*keys).agg(F.percentile("n_bars", 0.5).alias("expected"))
+    return counts.join(expected, keys).withColumn("is_kept", F.col("n_bars") >= F.col("expected") * min_completeness)
 
 
 def drop_sparse_days(bars: DataFrame, keys: list[str], min_completeness: float = 0.9) -> DataFrame:
@@ -29,9 +31,7 @@ def drop_sparse_days(bars: DataFrame, keys: list[str], min_completeness: float =
 
 def with_sessions(bars: DataFrame, keys: list[str], gap: str = "4 hours") -> DataFrame:
     """Add session_id (from 1): a new session starts after a gap of more than ``gap``."""
-    w = Window.partitionBy(*keys).orderBy("time")
-    new = F.lag("time").over(w).isNull() | (F.col("time") - F.lag("time").over(w) > F.expr(f"INTERVAL {gap}"))
-    return bars.withColumn("_new", new.cast("int")).withColumn("session_id", F.sum("_new").over(w).cast("int")).drop("_new")
+    return days.sessions(bars, keys, gap, "_rn").drop("_rn")
 
 
 def tau_bars(bars: DataFrame, keys: list[str], tau: int, end: str | None = None) -> DataFrame:
@@ -39,13 +39,12 @@ def tau_bars(bars: DataFrame, keys: list[str], tau: int, end: str | None = None)
 
     ``end`` names a column for the time of a bar's last row.
 
-    The sessions' partitioning by keys serves the grouping too, so this adds no exchange.
+    Rows are summed to bars before the shuffle; most bars lie in one task.
     """
     if tau == 1:
         return bars.select(*keys, "time", "open", "high", "low", "close", "volume", *([F.col("time").alias(end)] if end else []))
-    s = with_sessions(bars, keys)
-    rn = F.row_number().over(Window.partitionBy(*keys, "session_id").orderBy("time"))
-    g = s.withColumn("_rn", rn).withColumn("bar_idx", F.floor((F.col("_rn") - 1) / tau).cast("int"))
+    s = days.sessions(bars, keys, "4 hours", "_rn")
+    g = s.withColumn("bar_idx", F.floor((F.col("_rn") - 1) / tau).cast("int"))
     out = g.groupBy(*keys, "session_id", "bar_idx").agg(
         F.min("time").alias("time"), F.min_by("open", "_rn").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "_rn").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("_n"),
@@ -63,14 +62,14 @@ def tick_ranges(bars: DataFrame, tick: Column | float) -> DataFrame:
 
 def with_sequence(bars: DataFrame, keys: list[str]) -> DataFrame:
     """Add bar_seq, the position in the series from 0."""
-    return bars.withColumn("bar_seq", (F.row_number().over(Window.partitionBy(*keys).orderBy("time")) - 1).cast("long"))
+    return days.positions(bars, keys, "bar_seq")
 
 
 def quality_report(bars: DataFrame, keys: list[str], tau: int, tick: Column | float, min_completeness: float = 0.9) -> DataFrame:
     """keys, n_rows, n_days, n_sparse_days, n_kept_rows, n_bars, n_discrepant: what each stage lets through."""
-    days = daily_counts(bars, keys, min_completeness).groupBy(*keys).agg(
+    counts = daily_counts(bars, keys, min_completeness).groupBy(*keys).agg(
         F.sum("n_bars").alias("n_rows"), F.count("*").alias("n_days"), F.count_if(~F.col("is_kept")).alias("n_sparse_days"), F.sum(F.when(F.col("is_kept"), F.col("n_bars")).otherwise(0)).alias("n_kept_rows")
     )
     ranged = tick_ranges(tau_bars(drop_sparse_days(bars, keys, min_completeness), keys, tau), tick)
     per = ranged.groupBy(*keys).agg(F.count("*").alias("n_bars"), F.count_if(F.abs(F.col("r") - (F.col("r_up") + F.col("r_dn"))) > 1).alias("n_discrepant"))
-    return days.join(per, keys, "left").fillna(0, ["n_bars", "n_discrepant"])
+    return counts.join(per, keys, "left").fillna(0, ["n_bars", "n_discrepant"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickcast.operators import days
+
 LEVELS = 10
 
 
@@ -22,12 +24,11 @@ def inferred_ticks(bars: DataFrame, by: list[str], files: list[str], digits: int
 
 
 def as_of_prior(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, columns: list[str]) -> DataFrame:
-    """Add the columns of the last right row strictly before each left row's time; one sort per key, no range join."""
+    """Add the columns of the last right row strictly before each left row's time; sorted by key and day, no range join."""
     lcols = [c for c in left.columns if c not in keys]
     l = left.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.struct(*lcols).alias("_left"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_right"))  # noqa: E741
     r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), F.struct(*columns).alias("_right"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).filter("_kind = 0")
+    both = days.last_before(l.unionByName(r), r, keys, "_t", ["_t", "_kind"], "_right", "_last").filter("_kind = 0")
     return both.select(*keys, *(F.col(f"_left.{c}").alias(c) for c in lcols), *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 
