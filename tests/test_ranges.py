@@ -10,7 +10,7 @@ from tickcast.functions import instruments as I  # noqa: E741
 from tickcast.jobs import backtest, training
 from tickcast.operators import bars as B
 from tickcast.operators import model as M
-from tickcast.operators import scan, signals, states
+from tickcast.operators import days, scan, signals, states
 
 KEYS = ["contract"]
 BAR = "contract string, time timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -49,6 +49,34 @@ def test_scan_over_many_blocks_equals_a_loop(spark):
     assert got == pytest.approx(want, rel=1e-12)
 
 
+def test_shifted_scan_and_previous_rows_over_blocks(spark):
+    values = [math.cos(i) * 3 + i % 5 for i in range(300)]
+    df = scan.previous(scan.affine_scan(series(spark, values), KEYS, {"s": F.col("x")}, 0.5, shift=True), KEYS, {"p": "x"}, size=7)
+    got = df.orderBy("bar_seq").collect()
+    s, want = 0.0, []
+    for v in values:
+        want.append(s)
+        s = 0.5 * s + v
+    assert [r["s"] for r in got] == pytest.approx(want, rel=1e-12) and [r["p"] for r in got] == [None, *values[:-1]]
+
+
+def test_positions_sessions_and_as_of_over_days(spark):
+    t = datetime(2024, 1, 1)
+    times = [t + timedelta(hours=h) for h in (0, 3, 20, 23, 26, 28, 80, 83, 87, 92, 120)]
+    b = bars(spark, times).repartition(3)
+    got = [(r.session_id, r.place) for r in days.sessions(b, KEYS, "4 hours", "place").orderBy("time").collect()]
+    want, last, place, session = [], None, 0, 0
+    for x in times:
+        session, place = (session + 1, 1) if last is None or x - last > timedelta(hours=4) else (session, place + 1)
+        want.append((session, place))
+        last = x
+    assert got == want and [r.i for r in days.positions(b, KEYS, "i").orderBy("time").collect()] == list(range(len(times)))
+    at = [t + timedelta(hours=h) for h in (-1, 0, 1, 50, 80, 81, 200)]
+    asked = spark.createDataFrame([("A", x, k) for k, x in enumerate(at)], "contract string, at timestamp_ntz, id int")
+    found = {r.id: r.time for r in signals.as_of_prior(asked, b, KEYS, "at", "time", ["time"]).collect()}
+    assert found == {k: max((y for y in times if y < x), default=None) for k, x in enumerate(at)}
+
+
 def test_session_gap_of_exactly_four_hours_does_not_split(spark):
     t = datetime(2024, 1, 1)
     df = B.with_sessions(bars(spark, [t, t + timedelta(hours=4), t + timedelta(hours=8, minutes=1)]), KEYS)

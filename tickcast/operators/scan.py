@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickcast.operators import days
+
 #: Blocks back that a carry still holds: 2 ** (-25.6 * 6) is far below double precision.
 CARRY = 6
 
@@ -21,22 +23,34 @@ def block_size(lam: float) -> int:
     return max(2, math.ceil(25.6 / -math.log2(lam)))
 
 
-def affine_scan(df: DataFrame, keys: list[str], terms: dict[str, Column], lam: float, seq: str = "bar_seq") -> DataFrame:
-    """Add, for each name in ``terms``, S of that column; nulls count as 0."""
+def affine_scan(df: DataFrame, keys: list[str], terms: dict[str, Column], lam: float, seq: str = "bar_seq", shift: bool = False) -> DataFrame:
+    """Add, for each name in ``terms``, S of that column, with ``shift`` S of the row before; nulls count as 0. ``seq`` counts from 0."""
     size = block_size(lam)
     block, p = F.floor(F.col(seq) / size), F.col(seq) % size
     x = df.withColumns({"_block": block, "_p": p, **{f"_x_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in terms.items()}})
-    inside = Window.partitionBy(*keys, "_block").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({f"_s_{n}": F.pow(F.lit(lam), F.col("_p")) * F.sum(F.col(f"_x_{n}") * F.pow(F.lit(lam), -F.col("_p"))).over(inside) for n in terms})
-    tails = x.groupBy(*keys, "_block").agg(*(F.max_by(f"_s_{n}", "_p").alias(f"_t_{n}") for n in terms))
+    back = 1 if shift else 0
+    inside = Window.partitionBy(*keys, "_block").orderBy("_p").rowsBetween(Window.unboundedPreceding, -back)
+    part = lambda n: F.sum(F.col(f"_x_{n}") * F.pow(F.lit(lam), -F.col("_p")))
+    tails = x.groupBy(*keys, "_block").agg(*((part(n) * F.pow(F.lit(lam), F.max("_p"))).alias(f"_t_{n}") for n in terms))
+    x = x.withColumns({f"_s_{n}": F.pow(F.lit(lam), F.col("_p") - back) * F.coalesce(part(n).over(inside), F.lit(0.0)) for n in terms})
     order = Window.partitionBy(*keys).orderBy("_block")
     carry = {f"_c_{n}": sum((F.coalesce(F.lag(f"_t_{n}", k).over(order), F.lit(0.0)) * lam ** (size * (k - 1)) for k in range(1, CARRY + 1)), F.lit(0.0)) for n in terms}
     carries = tails.select(*keys, "_block", *(c.alias(n) for n, c in carry.items()))
     out = x.join(carries, [*keys, "_block"])
-    out = out.withColumns({n: F.col(f"_s_{n}") + F.col(f"_c_{n}") * F.pow(F.lit(lam), F.col("_p") + 1) for n in terms})
+    out = out.withColumns({n: F.col(f"_s_{n}") + F.col(f"_c_{n}") * F.pow(F.lit(lam), F.col("_p") + 1 - back) for n in terms})
     return out.drop("_block", "_p", *(f"_{a}_{n}" for n in terms for a in "xsc"))
 
 
+def previous(df: DataFrame, keys: list[str], columns: dict[str, str], seq: str = "bar_seq", size: int = 4096) -> DataFrame:
+    """Add the values of the row before, {new name: source}, by blocks of rows; ``seq`` counts from 0."""
+    b = df.withColumn("_block", F.floor(F.col(seq) / size))
+    inside = Window.partitionBy(*keys, "_block").orderBy(seq)
+    tails = b.groupBy(*keys, (F.col("_block") + 1).alias("_block")).agg(*(F.max_by(old, seq).alias(f"_t_{new}") for new, old in columns.items()))
+    b = b.withColumns({new: F.lag(old).over(inside) for new, old in columns.items()}).join(tails, [*keys, "_block"], "left")
+    b = b.withColumns({new: F.when(F.col(seq) % size == 0, F.col(f"_t_{new}")).otherwise(F.col(new)) for new in columns})
+    return b.drop("_block", *(f"_t_{new}" for new in columns))
+
+
 def _weight(lam: float, seq: str) -> Column:
     return (1 - F.pow(F.lit(lam), F.col(seq))) / (1 - lam)
 
@@ -44,25 +58,22 @@ def _weight(lam: float, seq: str) -> Column:
 def shifted_means(df: DataFrame, keys: list[str], halflife: float, columns: dict[str, str], seq: str = "bar_seq") -> DataFrame:
     """Add weighted means that look only at earlier rows: {source: new name}; row 0 is 0."""
     lam = 2.0 ** (-1.0 / halflife)
-    w = Window.partitionBy(*keys).orderBy(seq)
-    terms = {new: F.lag(old).over(w) for old, new in columns.items()}
-    out = affine_scan(df, keys, terms, lam, seq)
+    out = affine_scan(df, keys, {new: F.col(old) for old, new in columns.items()}, lam, seq, shift=True)
     return out.withColumns({new: F.when(F.col(seq) == 0, 0.0).otherwise(F.col(new) / _weight(lam, seq)) for new in columns.values()})
 
 
 def shifted_std(df: DataFrame, keys: list[str], halflife: float, column: str, mean: str, name: str, seq: str = "bar_seq") -> DataFrame:
     """Add the matching deviation around the current mean; rows 0 and 1 are 0."""
     lam = 2.0 ** (-1.0 / halflife)
-    before = F.lag(column).over(Window.partitionBy(*keys).orderBy(seq))
-    out = df.withColumn("_d", F.when(F.col(seq) > 0, F.pow(before - F.col(mean), F.lit(2))))
-    out = affine_scan(out, keys, {name: F.col("_d")}, lam, seq).drop("_d")
+    out = previous(df, keys, {"_before": column}, seq)
+    out = out.withColumn("_d", F.when(F.col(seq) > 0, F.pow(F.col("_before") - F.col(mean), F.lit(2))))
+    out = affine_scan(out, keys, {name: F.col("_d")}, lam, seq).drop("_d", "_before")
     return out.withColumn(name, F.when(F.col(seq) == 0, 0.0).otherwise(F.sqrt(F.greatest(F.col(name) / _weight(lam, seq), F.lit(0.0)))))
 
 
 def features(ranged: DataFrame, keys: list[str], halflife: float = 10) -> DataFrame:
     """Add bar_seq's delta_x and the means v_ewma, sigma_ewma, delta_x_ewma of volume, range and price change."""
-    w = Window.partitionBy(*keys).orderBy("bar_seq")
-    df = ranged.withColumn("delta_x", F.coalesce(F.col("open") - F.lag("open").over(w), F.lit(0.0)))
+    df = previous(ranged, keys, {"_open": "open"}).withColumn("delta_x", F.coalesce(F.col("open") - F.col("_open"), F.lit(0.0))).drop("_open")
     return shifted_means(df, keys, halflife, {"volume": "v_ewma", "r": "sigma_ewma", "delta_x": "delta_x_ewma"})
 
 
@@ -76,8 +87,7 @@ def recursive_means(df: DataFrame, keys: list[str], columns: dict[str, tuple[Col
 
 def live_features(bars: DataFrame, keys: list[str], halflife: float = 10, span: int = 20) -> DataFrame:
     """Add volume_ewma, volatility_ewma and ewma_delta_x of the bars as they come, all bars of a series."""
-    w = Window.partitionBy(*keys).orderBy("time")
-    df = bars.withColumns({"bar_seq": (F.row_number().over(w) - 1).cast("long"), "_prev": F.lag("close").over(w)})
+    df = previous(days.positions(bars, keys, "bar_seq"), keys, {"_prev": "close"})
     a = 1 - 2.0 ** (-1.0 / halflife)
     ret = F.col("close") / F.nullif(F.col("_prev"), F.lit(0.0)) - 1
     df = recursive_means(df, keys, {"volume_ewma": (F.col("volume"), a)}, 0)
