@@ -1,4 +1,8 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again by the next."""
+"""The corpus pipeline: STAGES in order, each written as Parquet and read again by the next.
+
+In every stage rows without an id or with a repeated one are rows of their own, in the order of ids (none last), then of text hashes; a
+null text counts as empty; texts are read whole; extra columns pass through (the last stage returns its own); an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
