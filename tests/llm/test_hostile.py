@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tickcast.llm import queries
 
 EXTRA = ["block", "h", "n", "row", "key", "label", "score", "list", "kind", "salt", "length", "piece", "ids", "x", "content", "bands", "shard", "first"]
@@ -68,3 +69,18 @@ def test_query(spark, tables, name):
         assert sorted(classes[-(1 << 62)]) == [-(1 << 62), 1 << 62] and len(classes[7]) >= 5
     if name in ("op7_packing", "op2_exact_dedup"):
         assert df.count() == len(found) and len(df.select(df.columns[-1]).collect()) == len(found)
+
+
+def test_pipeline(spark, tables):
+    """Rows without an id or with a repeated one are rows of their own; a null text is empty."""
+    kind, at = tables
+    found = corpus_pipeline.run(spark, at).collect()
+    assert (not found) == (kind == "empty")
+    if found:
+        starts = [str(r.doc_id) for r in found if r.piece == 0]
+        texts = {}
+        for i, t, _ in rows():
+            texts.setdefault(" ".join((t or "").split()), []).append(str(i))
+        # at most one document of each text is left, and the texts of words stay
+        assert all(sum(x in ids for ids in texts.values()) >= starts.count(x) for x in set(starts))
+        assert {"1", "2", "3", "4"} <= set(starts) and len(starts) <= len(texts)
