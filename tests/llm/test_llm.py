@@ -260,9 +260,13 @@ def test_relational_lattice_equals_the_library(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
-    some = texts()[2:9] + texts()[10:] + [(20 + n, " " * n + "Hello,  world" + " " * n) for n in range(0, 40, 3)] + [(80, "tab\tand\nline  \n x"), (81, "naïve 漢字𝒳 x"), (82, "\x01 a\x02b")]
-    got = pieces.relational_encode(spark.createDataFrame(some, "doc_id long, text string"))
+    some = texts()[2:9] + texts()[10:] + [(20 + n, " " * n + "Hello,  world" + " " * n) for n in range(0, 70, 3)] + [(100, "tab\tand\nline  \n x"), (101, "naïve 漢字𝒳 x"), (102, "\x01 a\x02b")]
+    some += [(110 + n, "z" * n + " " + "漢" * n + " " + "ab" * n) for n in (29, 30, 59, 60, 61, 62, 500)]
+    got = pieces.encode(spark.createDataFrame(some, "doc_id long, text string"))
     assert {r.doc_id: r.ids for r in got.collect()} == {i: sp.encode(t or "") for i, t in some}
+    words = spark.createDataFrame([(" hello",), ("   x",), ("naïve",), ("𝒳",), ("\x01",), ("a" * 60,)], "word string")
+    want = {r.word: pieces.encode_texts(pieces.piece_table(pieces.default_path()), [r.word[1:]])[0].tolist() for r in words.collect() if r.word[0] == " "}
+    assert {r.word: r.ids for r in pieces.word_ids(words).collect() if r.word[0] == " "} == want and pieces.word_ids(words).count() == 6
 
 
 def test_viterbi(spark):

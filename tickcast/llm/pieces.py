@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Texts are split into words where no piece can cross (before a space mark that follows other text, and around control characters
-that stand in no longer piece). Each distinct word of a batch gives its lattice: substrings of bounded length are exploded,
-equi-joined to the piece table by hash and length, and grouped by word. A fold over each word's edges then picks the path.
+that stand in no longer piece). Documents are dealt into blocks; each block names the words it holds, and every distinct word of the table
+gives its lattice once: substrings of bounded length are exploded, equi-joined to the piece table, grouped by word and folded
+with ``aggregate`` (``word_ids``). Ids go back to the blocks that hold the word, one row for each word and block.
 
 The given vocabulary is byte-pair encoded: its right result is the one of the merges, which differs from the best sum of
 scores that a Viterbi fold finds. Edges are therefore folded in order of score, leftmost first: an edge is taken where it
 spans exactly two current pieces. (For a vocabulary whose merges are ordered, this equals merging pair by pair.)
-``relational_encode`` is the same lattice and fold as DataFrames, with Spark's ``aggregate``; ``viterbi`` is the relational fold for unigram vocabularies.
-The registered query takes the Arrow form, since the relational one is beyond the limits on CPU and disk (figures in the README).
+``viterbi`` is the fold for unigram vocabularies.
+
+The state of a fold is a bitmap of a word's piece borders. Words of more than 60 characters don't fit one; they are encoded whole where
+their text lies, by the same lattice and fold over Arrow batches (``merge_fold``).
 
 Defined results: null and empty texts have no ids; characters without a piece become byte pieces; a literal U+2581 is read as a space, as
 the library reads it; texts and words of any length are encoded whole; repeated rows are encoded each; extra columns are ignored; an
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickcast.llm.common import bounded_batches, mapped
+from tickcast.llm.common import blocks, bounded_batches, mapped, partitions, text_buffer
 from tickcast.llm.words import hashes, prefix_sums, span_hashes
 
 SPACE = "▁"
 _BLOOM = 22
+#: Longest word, in characters, whose borders are one bitmap.
+LONGEST_WORD = 60
 _tables: dict[str, PieceTable] = {}
 
 
@@ -192,34 +197,55 @@ def _merge_spaces(table: PieceTable, data, byte, first, nxt, alive, ids) -> None
             at += size
 
 
-def encode_texts(table: PieceTable, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of all texts, flat, and the texts' limits."""
+def split(table: PieceTable, texts: list[str | None]):
+    """Bytes of all texts with their space marks, starts and ends of their words, and the texts' limits in the words."""
     raw = [b" " + t.replace(SPACE, " ").encode() if t else b"" for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     docs = np.cumsum([0, *map(len, raw)])
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     space, alone = data == 32, table.isolated[data]
     cut = np.zeros(len(data), bool)
     cut[1:] = (space[1:] & ~space[:-1]) | alone[1:] | alone[:-1]
     cut[docs[:-1][docs[:-1] < len(data)]] = True
     begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], len(data))
-    _, one, inverse = np.unique(hashes(data, begin, end), return_index=True, return_inverse=True)
-    flat, sizes = [], []
-    for i in range(0, len(one), 40_000):
-        s, e = begin[one[i : i + 40_000]], end[one[i : i + 40_000]]
-        limits = np.concatenate([[0], np.cumsum(e - s)])
-        some = data[np.repeat(s - limits[:-1], e - s) + np.arange(limits[-1])]
-        ids, lim = merge_fold(table, some, limits)
+    end = np.append(begin[1:], len(data))[: len(begin)]
+    return data, begin, end, np.searchsorted(begin, docs)
+
+
+def gather(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the given spans, one behind the other, and their limits."""
+    limits = np.concatenate([[0], np.cumsum(end - begin)])
+    return data[np.repeat(begin - limits[:-1], end - begin) + np.arange(limits[-1])], limits
+
+
+def _long(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words have more than ``LONGEST_WORD`` characters."""
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return chars[end] - chars[begin] > LONGEST_WORD
+
+
+def fold_words(table: PieceTable, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the given words, flat, and the number of each word's ids."""
+    flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(begin), 40_000):
+        ids, lim = merge_fold(table, *gather(data, begin[i : i + 40_000], end[i : i + 40_000]))
         flat.append(ids)
         sizes.append(np.diff(lim))
-    flat, sizes = np.concatenate(flat), np.concatenate(sizes)
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+def place(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of all texts, given the number of each in the distinct words, and the texts' limits."""
     first = np.cumsum(sizes) - sizes
-    n = sizes[inverse]
+    n = sizes[which]
     ends = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(first[inverse] - ends[:-1], n) + np.arange(ends[-1])]
-    return ids, ends[np.searchsorted(begin, docs)]
+    return flat[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])], ends[docs]
+
+
+def encode_texts(table: PieceTable, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of all texts, flat, and the texts' limits, without Spark."""
+    data, begin, end, docs = split(table, texts)
+    _, one, which = np.unique(hashes(data, begin, end), return_index=True, return_inverse=True)
+    return place(*fold_words(table, data, begin[one], end[one]), which, docs)
 
 
 def decode_ids(table: PieceTable, ids: np.ndarray, limits: np.ndarray) -> list[str]:
@@ -243,18 +269,111 @@ def _parts(texts: list, most: int = 4 << 20):
         yield i, len(texts)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids of every row; one pass, no shuffle."""
-    bounded_batches(docs.sparkSession)
-    path = path or default_path()
+def word_ids(words: DataFrame, path: str | None = None) -> DataFrame:
+    """word, ids of distinct words of at most ``LONGEST_WORD`` characters: their lattices as rows, folded by ``aggregate``.
 
-    def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
+    The state of a word's fold is a bitmap of its current piece borders; an edge that spans exactly two pieces removes the border
+    between them. The pieces left are the edges whose ends are borders and that have none inside. Grouping keeps the partitions of ``words``.
+    """
+    table = piece_table(path or default_path())
+    level = {int(i): int(r) for i, r in zip(table.by_rank, table.rank)}
+    last = max(level.values(), default=0) + 1
+    as_bytes = set(table.byte_ids.tolist())
+    rows = [(t.decode(), i, level.get(i, last)) for i, t in enumerate(table.texts) if t and i not in as_bytes]
+    known = words.sparkSession.createDataFrame(rows, "piece string, id int, rank int")  # the vocabulary: tens of thousands of rows
+    longest = max(table.longest, *table.spaces)
+    subs = words.select("word", F.length("word").alias("size"))
+    subs = subs.select("word", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
+    subs = subs.select("word", "size", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("size"), F.col("s") + longest))).alias("e"))
+    subs = subs.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
+    edges = subs.join(F.broadcast(known), "piece", "left").filter("id is not null or e = s + 1")
+    codes = F.array(*map(F.lit, table.byte_ids.tolist())).cast("array<int>")
+    raw = F.encode("piece", "UTF-8")
+    spelled = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.element_at(codes, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1))
+    # runs of spaces have one score: from the left, neighbours that form a piece are joined at once
+    spaces = F.trim("piece") == ""
+    order = [F.coalesce("rank", F.lit(last)).alias("rank"), F.when(spaces, F.col("e")).otherwise(F.col("s")).alias("k1"), F.when(spaces, -F.col("s")).otherwise(F.col("e")).alias("k2")]
+    ends, inner = F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("inner")
+    ids = F.when(F.col("id").isNull(), spelled).otherwise(F.array("id")).alias("ids")
+    lattices = edges.select("word", "size", F.struct(*order, "s", ends, inner, ids).alias("edge")).groupBy("word", "size").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+    def is_piece(borders, x):
+        return borders.bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"]
+
+    def step(borders, x):
+        held = borders.bitwiseAND(x["inner"])
+        two = (borders.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(held) == 1)
+        return F.when(two, borders.bitwiseXOR(held)).otherwise(borders)
+
+    folded = lattices.select("word", "edges", F.aggregate("edges", F.expr("shiftleft(1L, size + 1) - 1"), step).alias("b"))
+    taken = F.transform(F.filter("edges", lambda x: is_piece(F.col("b"), x)), lambda x: F.struct(x["s"].alias("s"), x["ids"].alias("ids")))
+    return folded.select("word", F.flatten(F.transform(F.array_sort(taken), lambda x: x["ids"])).alias("ids"))
+
+
+def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
+    """``finish(table, doc_ids, texts, ids, limits)`` of all rows, by blocks of documents.
+
+    Texts and words are shuffled once each: the words' exchange serves their distinct rows, their lattices and the way back.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    n = blocks(docs, "text", 6)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")).repartition(n, "block")
+
+    def held(batch: pa.RecordBatch):
+        table, of = piece_table(path), batch.column(2).to_numpy()
+        for b in np.unique(of).tolist():
+            texts = batch.column(1).filter(pa.array(of == b)).to_pylist()
+            for i, j in _parts(texts):
+                data, begin, end, _ = split(table, texts[i:j])
+                _, one = np.unique(hashes(data, begin, end), return_index=True)
+                one = one[~_long(data, begin[one], end[one])]
+                some, limits = gather(data, begin[one], end[one])
+                words = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(some)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), b)), words], ["home", "word"])
+
+    named = mapped(dealt.select("doc_id", "text", "block"), held, "home long, word string").repartition(max(n, partitions(docs)), "word")
+    # no home is negative; the filter makes both uses of the words read the same columns, hence one exchange
+    distinct = named.groupBy("word").agg(F.max("home").alias("home")).filter("home >= 0").select("word")
+    back = named.dropDuplicates(["word", "home"]).join(word_ids(distinct, path), "word").select("home", "word", "ids")
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = piece_table(path)
+        words, ids = right.column("word").combine_chunks(), right.column("ids").combine_chunks()
+        if isinstance(words, pa.ChunkedArray):
+            words, ids = pa.concat_arrays(words.chunks), pa.concat_arrays(ids.chunks)
+        known, limits = text_buffer(words)
+        key = hashes(known, limits[:-1], limits[1:])
+        order = np.argsort(key)
+        key = key[order]
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc_ids, texts, out = left.column("doc_id").combine_chunks(), left.column("text").to_pylist(), []
         for i, j in _parts(texts):
-            ids, limits = encode_texts(piece_table(path), texts[i:j])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+            data, begin, end, rows = split(table, texts[i:j])
+            h = hashes(data, begin, end)
+            long = _long(data, begin, end)
+            which = np.zeros(len(begin), np.int64)
+            at = np.searchsorted(key, h[~long])
+            if (at >= len(key)).any() or (key[at] != h[~long]).any():
+                raise ValueError("a word of a block has no ids")
+            which[~long] = order[at]
+            which[long] = len(order) + np.arange(long.sum())
+            more, more_sizes = fold_words(table, data, begin[long], end[long])
+            got, lim = place(np.concatenate([flat, more]), np.concatenate([sizes, more_sizes]), which, rows)
+            out.append(finish(table, doc_ids[i:j], texts[i:j], got, lim))
+        return pa.Table.from_batches(out)
+
+    return dealt.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(assemble, schema)
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids of every row."""
+
+    def finish(table, doc_ids, texts, ids, limits):
+        return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+
+    return _encoded(docs, path or default_path(), finish, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -273,64 +392,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_equal of every row."""
-    bounded_batches(docs.sparkSession)
-    path = path or default_path()
-
-    def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        for i, j in _parts(texts):
-            ids, limits = encode_texts(piece_table(path), texts[i:j])
-            back = decode_ids(piece_table(path), ids, limits)
-            raw = ids.astype("<u4")
-            crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(limits[:-1], limits[1:])]
-            same = [(t or "").replace(SPACE, " ") == b for t, b in zip(texts[i:j], back)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(limits), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "decoded_equal"])
-
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_pieces long, ids_crc32 long, decoded_equal boolean")
 
+    def finish(table, doc_ids, texts, ids, limits):
+        back, raw = decode_ids(table, ids, limits), ids.astype("<u4")
+        crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(limits[:-1], limits[1:])]
+        same = [(t or "").replace(SPACE, " ") == b for t, b in zip(texts, back)]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(limits), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "decoded_equal"])
 
-def relational_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids of every row: as ``encode``, by explode, equi-joins and ``aggregate`` alone.
-
-    The state of a word's fold is the array of its current piece borders; an edge that spans exactly two pieces removes the border
-    between them. Every word that occurs is folded once, then joined back to its places. Ids must be unique here.
-    """
-    table = piece_table(path or default_path())
-    spark = docs.sparkSession
-    level = {int(i): int(r) for i, r in zip(table.by_rank, table.rank)}
-    last = max(level.values(), default=0) + 1
-    rows = [(t.decode(), [i], level.get(i, last)) for i, t in enumerate(table.texts) if t and i not in set(table.byte_ids.tolist())]
-    known = spark.createDataFrame(rows, "piece string, ids array<int>, rank int")  # the vocabulary: tens of thousands of rows
-    alone = "".join(f"\\x{c:02x}" for c in np.flatnonzero(table.isolated))
-    text = F.concat(F.lit(" "), F.replace("text", F.lit(SPACE), F.lit(" ")))
-    cut = F.when(F.length("text") > 0, F.regexp_extract_all(text, F.lit(f"( *[^ {alone}]+| +|[{alone}])"), 1)).otherwise(F.array().cast("array<string>"))
-    places = docs.select("doc_id", F.posexplode(cut).alias("pos", "word"))
-    distinct = places.groupBy("word").agg(F.length("word").alias("size"))
-    subs = distinct.select("word", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
-    longest = max(table.longest, *table.spaces)
-    subs = subs.select("word", "size", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("size"), F.col("s") + longest))).alias("e"))
-    subs = subs.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    raw = F.encode("piece", "UTF-8")
-    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.element_at(F.array(*map(F.lit, table.byte_ids.tolist())), F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1).cast("int"))
-    edges = subs.join(F.broadcast(known), "piece", "left").filter("ids is not null or e = s + 1")
-    # runs of spaces have one score: from the left, neighbours that form a piece are joined at once
-    spaces = F.trim("piece") == ""
-    order = [F.coalesce("rank", F.lit(last)).alias("rank"), F.when(spaces, F.col("e")).otherwise(F.col("s")).alias("k1"), F.when(spaces, -F.col("s")).otherwise(F.col("e")).alias("k2")]
-    edges = edges.select("word", "size", F.struct(*order, "s", "e", F.coalesce("ids", as_bytes).alias("ids")).alias("edge"))
-    lattices = edges.groupBy("word", "size").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-
-    def step(borders, x):
-        at = F.array_position(borders, x["s"]).cast("int")
-        two = (at > 0) & (F.try_element_at(borders, at + 2) == x["e"])
-        return F.when(two, F.filter(borders, lambda b: (b <= x["s"]) | (b >= x["e"]))).otherwise(borders)
-
-    borders = F.aggregate(F.filter("edges", lambda x: x["e"] > x["s"] + 1), F.sequence(F.lit(0), F.col("size")), step)
-    folded = lattices.select("word", "edges", borders.alias("b"))
-    taken = F.transform(F.slice("b", 1, F.size("b") - 1), lambda s, i: F.element_at(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == F.element_at("b", i + 2))), 1)["ids"])
-    words = folded.select("word", F.flatten(taken).alias("ids"))
-    found = places.join(words, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    ids = F.coalesce(F.flatten(F.transform("x", lambda x: x["ids"])), F.array().cast("array<int>"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", ids.alias("ids"))
+    return _encoded(docs, path or default_path(), finish, "doc_id long, n_pieces long, ids_crc32 long, decoded_equal boolean")
 
 
 def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown: float = -100.0) -> DataFrame:
