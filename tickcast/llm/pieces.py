@@ -35,6 +35,8 @@ SPACE = "▁"
 _BLOOM = 22
 #: Longest word, in characters, whose borders are one bitmap.
 LONGEST_WORD = 60
+#: Characters of text that are split and hashed at once.
+_PART = 1 << 20
 _tables: dict[str, PieceTable] = {}
 
 
@@ -281,33 +283,41 @@ def word_ids(words: DataFrame, path: str | None = None) -> DataFrame:
     as_bytes = set(table.byte_ids.tolist())
     rows = [(t.decode(), i, level.get(i, last)) for i, t in enumerate(table.texts) if t and i not in as_bytes]
     known = words.sparkSession.createDataFrame(rows, "piece string, id int, rank int")  # the vocabulary: tens of thousands of rows
+    known = known.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "id", "rank")
     longest = max(table.longest, *table.spaces)
     subs = words.select("word", F.length("word").alias("size"))
     subs = subs.select("word", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
     subs = subs.select("word", "size", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("size"), F.col("s") + longest))).alias("e"))
     subs = subs.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
-    edges = subs.join(F.broadcast(known), "piece", "left").filter("id is not null or e = s + 1")
+    # a number is looked up much faster than a string; the pieces themselves decide
+    edges = subs.withColumn("key", F.xxhash64("piece")).join(F.broadcast(known), "key", "left").filter("known = piece or e = s + 1")
+    edges = edges.withColumns({c: F.when(F.col("known") == F.col("piece"), F.col(c)) for c in ("id", "rank")})
     codes = F.array(*map(F.lit, table.byte_ids.tolist())).cast("array<int>")
-    raw = F.encode("piece", "UTF-8")
-    spelled = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.element_at(codes, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1))
-    # runs of spaces have one score: from the left, neighbours that form a piece are joined at once
+    # one number orders a word's edges: rank, then place; runs of spaces have one score: from the left, neighbours that form a piece are joined at once
     spaces = F.trim("piece") == ""
-    order = [F.coalesce("rank", F.lit(last)).alias("rank"), F.when(spaces, F.col("e")).otherwise(F.col("s")).alias("k1"), F.when(spaces, -F.col("s")).otherwise(F.col("e")).alias("k2")]
+    place_ = F.when(spaces, F.expr("e * 64L + 63 - s")).otherwise(F.expr("s * 64L + e"))
+    turn = (F.coalesce("rank", F.lit(last)).cast("long") * 4096 + place_).alias("turn")
     ends, inner = F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("inner")
-    ids = F.when(F.col("id").isNull(), spelled).otherwise(F.array("id")).alias("ids")
-    lattices = edges.select("word", "size", F.struct(*order, "s", ends, inner, ids).alias("edge")).groupBy("word", "size").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-
-    def is_piece(borders, x):
-        return borders.bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"]
+    unknown = F.when(F.col("id").isNull(), F.encode("piece", "UTF-8")).alias("raw")
+    lattices = edges.select("word", "size", F.struct(turn, "s", ends, inner, "id", unknown).alias("edge")).groupBy("word", "size").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
     def step(borders, x):
         held = borders.bitwiseAND(x["inner"])
         two = (borders.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(held) == 1)
         return F.when(two, borders.bitwiseXOR(held)).otherwise(borders)
 
-    folded = lattices.select("word", "edges", F.aggregate("edges", F.expr("shiftleft(1L, size + 1) - 1"), step).alias("b"))
-    taken = F.transform(F.filter("edges", lambda x: is_piece(F.col("b"), x)), lambda x: F.struct(x["s"].alias("s"), x["ids"].alias("ids")))
-    return folded.select("word", F.flatten(F.transform(F.array_sort(taken), lambda x: x["ids"])).alias("ids"))
+    def spelled(raw):
+        return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.element_at(codes, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1))
+
+    def left(borders):
+        # inside the fold: as a column of its own it would be worked out anew for every edge
+        pieces = F.filter("edges", lambda x: borders.bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"])
+        return F.sort_array(F.transform(pieces, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"), x["raw"].alias("raw"))))
+
+    taken = lattices.select("word", F.aggregate("edges", F.expr("shiftleft(1L, size + 1) - 1"), step, left).alias("taken"))
+    plain = F.transform("taken", lambda x: x["id"])
+    mixed = F.flatten(F.transform("taken", lambda x: F.when(x["id"].isNull(), spelled(x["raw"])).otherwise(F.array(x["id"]))))
+    return taken.select("word", F.when(F.exists("taken", lambda x: x["id"].isNull()), mixed).otherwise(plain).alias("ids"))
 
 
 def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
@@ -317,25 +327,30 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = blocks(docs, "text", 6)
+    n = blocks(docs, "text")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")).repartition(n, "block")
 
-    def held(batch: pa.RecordBatch):
-        table, of = piece_table(path), batch.column(2).to_numpy()
-        for b in np.unique(of).tolist():
-            texts = batch.column(1).filter(pa.array(of == b)).to_pylist()
-            for i, j in _parts(texts):
-                data, begin, end, _ = split(table, texts[i:j])
-                _, one = np.unique(hashes(data, begin, end), return_index=True)
-                one = one[~_long(data, begin[one], end[one])]
-                some, limits = gather(data, begin[one], end[one])
-                words = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(some)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), b)), words], ["home", "word"])
-
-    named = mapped(dealt.select("doc_id", "text", "block"), held, "home long, word string").repartition(max(n, partitions(docs)), "word")
+    def held(batches):
+        table, seen = piece_table(path), {}
+        for batch in batches:
+            of = batch.column(2).to_numpy()
+            for b in np.unique(of).tolist():
+                texts = batch.column(1).filter(pa.array(of == b)).to_pylist()
+                for i, j in _parts(texts, _PART):
+                    data, begin, end, _ = split(table, texts[i:j])
+                    h, one = np.unique(hashes(data, begin, end), return_index=True)
+                    before = seen.get(b, np.zeros(0, np.uint64))
+                    at = np.minimum(np.searchsorted(before, h), max(0, len(before) - 1))
+                    new = ~_long(data, begin[one], end[one]) & (before[at] != h if len(before) else True)
+                    seen[b] = np.sort(np.concatenate([before, h[new]]))
+                    some, limits = gather(data, begin[one[new]], end[one[new]])
+                    words = pa.Array.from_buffers(pa.string(), int(new.sum()), [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(some)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b)), words], ["home", "word"])
+
+    named = dealt.select("doc_id", "text", "block").mapInArrow(held, "home long, word string").repartition(max(n, partitions(docs)), "word")
     # no home is negative; the filter makes both uses of the words read the same columns, hence one exchange
     distinct = named.groupBy("word").agg(F.max("home").alias("home")).filter("home >= 0").select("word")
-    back = named.dropDuplicates(["word", "home"]).join(word_ids(distinct, path), "word").select("home", "word", "ids")
+    back = named.join(word_ids(distinct, path), "word").select("home", "word", "ids")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         table = piece_table(path)
@@ -349,7 +364,7 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
         doc_ids, texts, out = left.column("doc_id").combine_chunks(), left.column("text").to_pylist(), []
-        for i, j in _parts(texts):
+        for i, j in _parts(texts, _PART):
             data, begin, end, rows = split(table, texts[i:j])
             h = hashes(data, begin, end)
             long = _long(data, begin, end)
