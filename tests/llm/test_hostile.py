@@ -32,10 +32,13 @@ def tables(request, spark, tmp_path_factory):
     x[40:60] = x[40]
     vec = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[1].tolist()), (50, x[2].tolist()), (None, x[0].tolist()), (350, None), (400, [0.0] * 6), (450, [1.0, None] * 3), (500, [float("inf")] * 6), (550, [1.0, 2.0])]
     vectors = spark.createDataFrame(vec, "vec_id long, embedding array<double>")
+    vectors = vectors.withColumn("label", (F.coalesce(F.col("vec_id"), F.lit(1)) % 3).cast("int"))
+    pages = spark.createDataFrame([(i, None if i == 62 else f"http://x/{i}", t) for i, t, _ in rows()], "page_id long, url string, html string")
     if request.param == "empty":
-        docs, labels, vectors = docs.limit(0), labels.limit(0), vectors.limit(0)
+        docs, labels, vectors, pages = docs.limit(0), labels.limit(0), vectors.limit(0), pages.limit(0)
     clash = {c: F.lit("z") for c in EXTRA}
-    for name, df in (("documents", docs.withColumns(clash)), ("labels", labels.withColumns({"score": F.lit(2.0), "h": F.lit(1)})), ("embeddings", vectors.withColumns(clash))):
+    some = {c: F.lit("z") for c in EXTRA if c != "label"}
+    for name, df in (("documents", docs.withColumns(clash)), ("labels", labels.withColumns({"score": F.lit(2.0), "h": F.lit(1)})), ("embeddings", vectors.withColumns(some)), ("pages", pages.withColumns(clash))):
         df.repartition(3).write.parquet(f"{at}/{name}.parquet")
     return request.param, at
 
@@ -50,7 +53,14 @@ def test_query(spark, tables, name):
         assert {q: sum(r.query_id == q for r in found) for q in {r.query_id for r in found}} == asked
         assert all(r.vec_id != r.query_id and -1 - 1e-9 <= r.score <= 1 + 1e-9 for r in found)
         return
+    if name == "op13_hard_negatives":
+        assert (not found) == (kind == "empty") and {r.anchor_id for r in found} <= {0, 100, 200, 400}
+        return
     want = [] if kind == "empty" else sorted(str(i) for i, _, _ in rows())
+    if name == "op11_warc":
+        assert sorted(str(r.page_id) for r in found) == want
+        assert all(r.payload_bytes > 0 or r.page_id in (None, -4, -5) for r in found) and all((r.refers_to is None) == (r.record_type == "response") for r in found)
+        return
     if name == "op7_packing":
         assert sorted(str(r.doc_id) for r in found if r.piece == 0) == want
     else:

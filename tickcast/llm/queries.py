@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickcast.llm import exact_dedup, line_dedup, line_quality, near_dedup, neighbours, packing, phrases, pieces, token_counts, toxicity
+from tickcast.llm import exact_dedup, fill_in_middle, hard_negatives, line_dedup, line_quality, near_dedup, neighbours, packing, phrases, pieces, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_sentencepiece, op2_exact_dedup, op3_quality, op4_substring_dedup, op5_line_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity, op10_token_counts]
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=(7, 10))
+
+
+QUERIES = [
+    op1_sentencepiece, op2_exact_dedup, op3_quality, op4_substring_dedup, op5_line_dedup, op6_near_dedup, op7_packing, op8_neighbours, op9_toxicity, op10_token_counts,
+    op11_warc, op12_fill_in_middle, op13_hard_negatives,
+]
 
 
 def queries() -> dict:
@@ -99,4 +116,28 @@ def oracle_sql() -> dict[str, str]:
                  k AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM t ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
             SELECT d.doc_id, CAST(len(x) AS BIGINT) AS n_lines, CAST(len(x) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
             FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+        "op11_warc": r"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+                 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+            SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+                   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(s, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1) for i in range(32)], '') AS payload_digest,
+                   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+            FROM m""",
+        "op12_fill_in_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+                 u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS x FROM d),
+                 c AS (SELECT *, len(w) AS n, least(x[1] % (len(w) + 1), x[2] % (len(w) + 1)) AS a, greatest(x[1] % (len(w) + 1), x[2] % (len(w) + 1)) AS b,
+                              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+                 p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+            SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+            FROM p""",
+        "op13_hard_negatives": r"""
+            WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings
+                       WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+                 p AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+                 g AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM p WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5),
+                 w AS (SELECT g.*, vec_id AS negative_id, s AS negative_score FROM g JOIN p ON g.anchor_id = p.anchor_id AND label <> own WHERE 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score)
+            SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INT) AS rank, negative_id, positive_score, negative_score
+            FROM w QUALIFY rank <= 10""",
     }
