@@ -86,7 +86,8 @@ def test_session_gap_of_exactly_four_hours_does_not_split(spark):
 def test_tau_bars_drop_unfinished(spark):
     t = datetime(2024, 1, 1)
     times = [t + timedelta(minutes=i) for i in range(3)] + [t + timedelta(hours=9, minutes=i) for i in range(4)]
-    assert B.tau_bars(bars(spark, times), KEYS, 2).count() == 3
+    got = B.tau_bars(bars(spark, times), KEYS, 2)
+    assert sorted((r.session_id, r.bar_idx, r.bar_seq) for r in got.collect()) == [(1, 0, 0), (2, 0, 1), (2, 1, 2)]
     assert B.tau_bars(bars(spark, times), KEYS, 1).count() == 7
 
 

@@ -108,7 +108,7 @@ def gap_sessions(spark, sf_dir):
 
 
 def tau_bars(spark, sf_dir):
-    return r6(B.tau_bars(B.drop_sparse_days(bars_of(spark, sf_dir), KEYS), KEYS, P.tau))
+    return r6(B.tau_bars(bars_of(spark, sf_dir), KEYS, P.tau, P.min_completeness).drop("bar_seq"))
 
 
 def tick_ranges(spark, sf_dir):

@@ -47,8 +47,7 @@ def in_ticks(bars: DataFrame, p: Params) -> DataFrame:
 
 def ranged(bars: DataFrame, keys: list[str], p: Params) -> DataFrame:
     """Cleaned tau bars with ranges and positions."""
-    kept = B.drop_sparse_days(bars, keys, p.min_completeness)
-    return B.with_sequence(in_ticks(B.tau_bars(kept, keys, p.tau), p), keys)
+    return in_ticks(B.tau_bars(bars, keys, p.tau, p.min_completeness), p)
 
 
 def featured(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:

@@ -28,7 +28,7 @@ def as_of_prior(left: DataFrame, right: DataFrame, keys: list[str], time: str, r
     lcols = [c for c in left.columns if c not in keys]
     l = left.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.struct(*lcols).alias("_left"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_right"))  # noqa: E741
     r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), F.struct(*columns).alias("_right"))
-    both = days.last_before(l.unionByName(r), r, keys, "_t", ["_t", "_kind"], "_right", "_last").filter("_kind = 0")
+    both = days.last_before(l.unionByName(r), keys, "_t", ["_t", "_kind"], "_right", "_last").filter("_kind = 0")
     return both.select(*keys, *(F.col(f"_left.{c}").alias(c) for c in lcols), *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 
