@@ -143,6 +143,50 @@ def test_smoothing_and_queries(spark):
     assert c == pytest.approx({2: 4 / 6, 1: 5 / 6, 0: 1.0})
     with pytest.raises(ValueError):
         M.pmf(freq, KEYS, "other")
+    odd = spark.createDataFrame([("A", 1, 1, 1, d, 1) for d in ("range", "up", None)], "contract string, m int, n int, k int, direction string, ell long")
+    got = M.query_cdf(M.query_pdf(odd, smooth, KEYS, True).withColumnRenamed("query_status", "first"), M.steps(smooth, KEYS), KEYS).collect()
+    assert {r.direction: (r.first, r.query_status, r.prob is None, r.cum_prob) for r in got} == {"range": ("ok", "bad_direction", False, None), "up": ("bad_direction", "bad_direction", True, None), None: ("bad_direction", "bad_direction", True, None)}
+    with pytest.raises(Exception, match="no such direction"):
+        M.query_cdf(odd, M.steps(smooth, KEYS), KEYS, strict=True).collect()
+
+
+@pytest.mark.parametrize("method", ["raw", "smoothed"])
+@pytest.mark.parametrize("bins", [0, 5, 1000])
+def test_stored_levels_and_steps_equal_a_loop(spark, method, bins):
+    """Negative, missing and only negative levels; every bin count at which levels are filled."""
+    cases = {(1, "range_up"): [0, 2, 2, 5], (2, "range_up"): [3], (3, "range_up"): [-2, -2, 4], (4, "range_up"): [-3, -1], (5, "range_dn"): [7, 900_000], (6, "range"): [1, 1], (7, "range_dn"): [0]}
+    df = spark.createDataFrame([("A", m, 1, 1, d, e) for (m, d), v in cases.items() for e in v], "contract string, m int, n int, k int, direction string, ell long")
+    freq = df.groupBy("contract", "m", "n", "k", "direction", "ell").agg(F.count("*").alias("n_seen"))
+    alpha = 0.5 if method == "smoothed" else 0.0
+    pmf = M.pmf(freq, KEYS, method, 0.5, bins)
+    got = {}
+    for r in pmf.collect():
+        assert (r.m, r.direction, r.ell) not in got
+        got[r.m, r.direction, r.ell] = r.prob
+    want, cum = {}, {}
+    for (m, d), v in cases.items():
+        n = max(v) + 1
+        levels = {*v, 0} | (set(range(n)) if method == "smoothed" and 0 < n <= bins else set())
+        for e in levels:
+            want[m, d, e] = (v.count(e) + alpha) / (len(v) + alpha * n)
+        for e in (0, 1, 2, 5, 899_999, 900_000, 900_001, -1):
+            top = max(*v, 0)  # level 0 is always stored
+            cum[m, d, e] = (sum(x >= e for x in v) + alpha * (top - e + 1)) / (len(v) + alpha * n) if d != "range" and 0 <= e <= top else 0.0
+    assert got == pytest.approx(want)
+    asked = spark.createDataFrame([("A", m, 1, 1, d, e) for m, d, e in cum if d != "range"], "contract string, m int, n int, k int, direction string, ell long")
+    steps = M.steps(pmf, KEYS)
+    assert {(r.m, r.direction, r.ell): r.cum_prob for r in M.query_cdf(asked, steps, KEYS).collect()} == pytest.approx({k: v for k, v in cum.items() if k[1] != "range"})
+    assert steps.agg(F.max(F.size("levels"))).first()[0] <= max(bins, 4)
+
+
+def test_issues_are_listed(spark):
+    by = "contract string, m int, n int, k int, direction string, ell long"
+    pmf = spark.createDataFrame([("A", 1, 1, 1, "range", e, p, 2, 0.1) for e, p in ((0, 0.5), (1, 0.5))] + [("A", 2, 1, 1, "range_up", 0, 0.5, 3, 0.2)], by + ", prob double, num_bins long, base_prob double")
+    cdf = spark.createDataFrame([("A", 2, 1, 1, "range_up", e, c) for e, c in ((0, 0.9), (1, 0.4), (2, 0.6))], by + ", cum_prob double")
+    got = [(r.m, r.direction, r.issue, r.ell, round(r.value, 6)) for r in M.issues(pmf, cdf, KEYS).orderBy("issue").collect()]
+    assert got == [(2, "range_up", "bad_step", 1, 0.2), (2, "range_up", "bad_sum", None, 0.9)]
+    r = M.validate(pmf, cdf, KEYS).first()
+    assert (r.n_distributions, r.bad_sums, r.bad_steps, r.is_valid) == (2, 1, 1, False)
 
 
 def test_sparse_storage_keeps_the_cumulative(spark):
@@ -161,7 +205,9 @@ def test_level_search(spark, cum, want):
     schema = "contract string, m int, n int, k int, direction string, ell long, cum_prob double"
     cdf = spark.createDataFrame([("A", 1, 1, 1, "range_dn", e, c) for e, c in enumerate(cum)], schema)
     asked = spark.createDataFrame([(7, "A", 1, 1, 1, "range_dn")], "id int, contract string, m int, n int, k int, direction string")
-    r = signals.placement_levels(asked, cdf, KEYS, ["id"], 0.6).first()
+    by = ["contract", "m", "n", "k", "direction"]
+    steps = cdf.groupBy(*by).agg(F.lit(0.0).alias("base_prob"), F.array_sort(F.collect_list(F.struct("ell", "cum_prob"))).alias("s")).select(*by, "base_prob", F.col("s.ell").alias("levels"), F.col("s.cum_prob").alias("cums"))
+    r = signals.placement_levels(asked, steps, KEYS, 0.6).first()
     assert (r.level, r.accepted_level, r.accepted_prob) == want
 
 
@@ -174,9 +220,11 @@ def test_file_names(spark):
 
 
 def test_inventory_signals(spark):
-    df = spark.createDataFrame([("A", i, v) for i, v in enumerate([1, 1, 3, 0])], "market string, timestamp int, inventory int")
+    t = datetime(2024, 1, 1, 20)
+    values = [1, 1, 3, 0, None, 4, 4, 7]
+    df = spark.createDataFrame([("A", t + timedelta(hours=3 * i), v) for i, v in enumerate(values)], "market string, timestamp timestamp_ntz, inventory int").repartition(3)
     got = signals.inventory_signals(df, ["market"], ["timestamp"]).orderBy("timestamp").collect()
-    assert [(r.inventory, r.signal) for r in got] == [(3, 2.0), (0, -3.0)]
+    assert [(r.inventory, r.signal) for r in got] == [(3, 2.0), (0, -3.0), (7, 3.0)]
 
 
 def test_backtest_without_data_keeps_every_signal(spark):

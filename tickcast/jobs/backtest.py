@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickcast.jobs import training
 from tickcast.operators import bars as B
 from tickcast.operators import days as days_
+from tickcast.operators import model as M
 from tickcast.operators import scan, selection, signals, states
 from tickcast.sources.shared import written
 
@@ -124,19 +125,24 @@ def cutoff_features(bars: DataFrame, asked: DataFrame, p: training.Params) -> Da
     return feats.join(cutoffs, ["contract", "lane"]).filter(F.col("bar_seq") < F.col("n_bars"))
 
 
-def fit_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params = training.Params()) -> dict[str, DataFrame]:
-    """Model tables keyed by (contract, cutoff), equal to ``training.fit`` on ``training_sets``.
+def classified_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params) -> tuple[DataFrame, DataFrame]:
+    """(rows with states, boundaries with status) of every (contract, cutoff).
 
     Boundaries of all cutoffs are selected from one dealing of the lane's bars. States follow in the join that counts them, summed before the
     shuffle; no bar is written or shuffled for a cutoff.
     """
-    keys, lane = ["contract", "cutoff"], ["contract", "lane"]
+    lane = ["contract", "lane"]
     feats, cutoffs = lanes(bars, asked, p)
     starts = states.with_burn_in(written(cutoffs, "cutoff-bars"), p.halflife, p.sizes)
     bounds = written(states.prefix_boundaries(feats, lane, starts, ["cutoff"], p.sizes, p.digits), "bounds")
     rows = feats.join(bounds.filter("status = 'ok'").drop("status"), lane).filter(F.col("bar_seq") < F.col("n_bars"))
     rows = rows.withColumns({s: states.right_closed(F.col(f), F.col(b)) for s, (f, b) in states.FEATURES.items()}).drop(*(b for _, b in states.FEATURES.values()))
-    return training.modelled(rows, bounds, keys, p)
+    return rows, bounds
+
+
+def fit_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params = training.Params()) -> dict[str, DataFrame]:
+    """Model tables keyed by (contract, cutoff), equal to ``training.fit`` on ``training_sets``."""
+    return training.modelled(*classified_cutoffs(bars, asked, p), ["contract", "cutoff"], p)
 
 
 def place(bars: DataFrame, asked: DataFrame, p: training.Params = training.Params(), risk: float = 0.6, level: str = "first_failing") -> DataFrame:
@@ -147,18 +153,20 @@ def place(bars: DataFrame, asked: DataFrame, p: training.Params = training.Param
     if level not in ("first_failing", "last_accepted"):
         raise ValueError("level must be first_failing or last_accepted")
     keys = ["contract", "cutoff"]
-    asked = asked.withColumn("cutoff", F.date_trunc("DAY", "timestamp").cast("timestamp_ntz")).withColumn("signal_id", F.xxhash64(*asked.columns))
+    asked = asked.withColumn("cutoff", F.date_trunc("DAY", "timestamp").cast("timestamp_ntz"))
     bars, asked = written(bars, "bars"), written(asked, "asked")
-    model = fit_cutoffs(bars, asked, p)
+    rows, bounds = classified_cutoffs(bars, asked, p)
+    # prices need the cumulatives alone, and these the levels that occur
+    steps = M.steps(M.pmf(M.frequencies(rows, keys), keys, p.method, p.alpha, dense_bins=0), keys)
     live = written(scan.live_features(bars, ["contract"], p.halflife), "live")
     seen = signals.as_of_prior(asked, live, ["contract"], "timestamp", "time", ["time", "close", *LIVE])
-    known = model["bounds"].select(*keys, "status", *(b for _, b in states.FEATURES.values()))
+    known = bounds.select(*keys, "status", *(b for _, b in states.FEATURES.values()))
     out = seen.join(known, keys, "left").withColumn("direction", signals.side(F.col("signal")))
     out = out.withColumns({s: F.when(F.col("status") == "ok", states.left_closed(F.col(r) if p.digits is None else F.round(r, p.digits), F.col(b))) for (s, (_, b)), r in zip(states.FEATURES.items(), LIVE)})
     status = F.when(F.col("close").isNull(), "no_prior_bar").when(F.col("status").isNull(), "no_bars").otherwise(F.col("status"))
-    out = signals.placement_levels(out.withColumn("status", status), model["cdf"], keys, ["signal_id"], risk)
+    out = signals.placement_levels(out.withColumn("status", status), steps, keys, risk)
     used = F.col("level" if level == "first_failing" else "accepted_level")
     out, tick = p.ticked(out)
     price = F.when(F.col("status") == "ok", signals.limit_price(F.col("close"), used, tick, F.col("direction")))
     keep = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
-    return out.select(*[c for c in asked.columns if c != "signal_id"], "direction", "m", "n", "k", keep("level"), keep("accepted_level"), keep("accepted_prob"), price.alias("opti_price"), "status")
+    return out.select(*asked.columns, "direction", "m", "n", "k", keep("level"), keep("accepted_level"), keep("accepted_prob"), price.alias("opti_price"), "status")

@@ -110,6 +110,8 @@ def oracle_sql() -> dict[str, str]:
     ticks_of = f"""WITH {_BARS}, g AS (SELECT DISTINCT contract, 'o' AS s, open AS p FROM bars UNION SELECT contract, 'h', high FROM bars UNION SELECT contract, 'l', low FROM bars UNION SELECT contract, 'c', close FROM bars),
             d AS (SELECT contract, round(p - lag(p) OVER (PARTITION BY contract, s ORDER BY p), 9) AS step FROM g) SELECT contract, round(min(step), 6) AS tick_size FROM d WHERE step > 0 GROUP BY contract"""
     raw, sparse = _chain(method="raw"), _chain(tick=0.1)
+    until = _chain(_UNTIL)
+    live_until = _LIVE.replace("FROM bars WINDOW", "FROM bars WHERE time <= TIMESTAMP '2024-01-12 00:00:00' WINDOW")
     asked = "asked AS (SELECT DISTINCT contract, m, n, CAST(bar_seq % 3 + 1 AS INT) AS k, 'range_dn' AS direction, r % 400 + bar_seq % 20 - 5 AS ell FROM st)"
     level = """a2 AS (SELECT * FROM ls, (VALUES ('range_up'), ('range_dn')) d(direction)),
         pr AS (SELECT a.contract, a.time, a.direction, l AS ell, coalesce(cum_prob, 0.0) AS p FROM a2 a, range(0, 10) t(l) LEFT JOIN cdf c ON c.contract = a.contract AND c.m = a.m AND c.n = a.n AND c.k = a.k AND c.direction = a.direction AND c.ell = l),
@@ -154,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "pmf_smoothed": f"WITH {c} SELECT {_KEY}, round(prob, 6) AS prob, round(base_prob, 6) AS base_prob, num_bins FROM pmf",
         "pmf_smoothed_sparse": f"WITH {sparse} SELECT {_KEY}, round(prob, 6) AS prob, round(base_prob, 6) AS base_prob, num_bins FROM pmf",
         "reverse_cdf": f"WITH {c} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob FROM cdf",
-        "reverse_cdf_sparse": f"WITH {sparse} SELECT {_KEY}, round(cum_prob + 1e-9, 6) AS cum_prob FROM cdf",
+        "reverse_cdf_sparse": f"WITH {sparse} SELECT {_KEY}, round(cum_prob, 9) AS cum_prob FROM cdf",
         "state_statistics": f"WITH {c} SELECT contract, m, n, k, max(n_total) AS sample_count, max(ell) FILTER (WHERE direction = 'range') AS max_range, max(ell) FILTER (WHERE direction = 'range_up') AS max_range_up, max(ell) FILTER (WHERE direction = 'range_dn') AS max_range_dn FROM pmf GROUP BY contract, m, n, k",
         "validate_model": f"""WITH {c}, s AS (SELECT contract, m, n, k, direction, sum(prob) + greatest(any_value(num_bins) - count(*), 0) * any_value(base_prob) AS total FROM pmf GROUP BY contract, m, n, k, direction),
             t AS (SELECT contract, count(*) AS n_distributions, count(*) FILTER (WHERE abs(total - 1) > 1.1e-5) AS bad_sums FROM s GROUP BY contract),
@@ -167,9 +169,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT b.contract, n_bars, j_s, status, states_observed, least_samples, most_samples, round(fill_at_1, 6) AS fill_at_1 FROM bounds b LEFT JOIN g ON b.contract = g.contract LEFT JOIN f ON b.contract = f.contract""",
         "fit_with_cutoff": f"WITH {_chain(_UNTIL)} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob FROM cdf",
         "live_states": f"WITH {c}, {_LIVE} SELECT contract, time, m, n, k FROM ls",
-        "query_pdf": f"""WITH {c}, {asked} SELECT a.*, round(CAST(coalesce(p.prob, CASE WHEN a.ell >= 0 AND a.ell <= t.max_ell + 10 THEN t.base_prob END, 0.0) AS DOUBLE), 6) AS prob FROM asked a
+        "query_pdf": f"""WITH {c}, {asked} SELECT a.*, round(CAST(coalesce(p.prob, CASE WHEN a.ell >= 0 AND a.ell <= t.max_ell + 10 THEN t.base_prob END, 0.0) AS DOUBLE), 6) AS prob, 'ok' AS query_status FROM asked a
             LEFT JOIN (SELECT contract, m, n, k, direction, max_ell, base_prob FROM tot) t USING (contract, m, n, k, direction) LEFT JOIN (SELECT {_KEY}, prob FROM pmf) p USING ({_KEY})""",
-        "query_cdf": f"WITH {c}, {asked} SELECT a.*, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob FROM asked a LEFT JOIN (SELECT {_KEY}, cum_prob FROM cdf) p USING ({_KEY})",
+        "query_cdf": f"WITH {c}, {asked} SELECT a.*, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob, 'ok' AS query_status FROM asked a LEFT JOIN (SELECT {_KEY}, cum_prob FROM cdf) p USING ({_KEY})",
+        "query_cdf_sparse": f"""WITH {_chain(tick=0.0001)}, asked AS (SELECT DISTINCT contract, m, n, CAST(bar_seq % 3 + 1 AS INT) AS k, 'range_dn' AS direction, r_dn + (bar_seq % 5 - 2) * 5000 AS ell FROM st)
+            SELECT a.*, 'ok' AS query_status, round(CAST(coalesce(CASE WHEN a.ell BETWEEN 0 AND t.max_ell THEN ((SELECT count(*) FROM used u WHERE u.contract = a.contract AND u.m = a.m AND u.n = a.n AND u.k = a.k AND u.r_dn >= a.ell)
+                   + 0.5 * (t.max_ell - a.ell + 1)) / t.denominator END, 0.0) AS DOUBLE), 5) AS cum_prob FROM asked a LEFT JOIN (SELECT contract, m, n, k, direction, max_ell, denominator FROM tot) t USING (contract, m, n, k, direction)""",
+        "bad_directions": f"""WITH {c}, a AS (SELECT DISTINCT contract, m, n, k, d AS direction, CAST(2 AS BIGINT) AS ell FROM tot, (VALUES ('range'), ('range_up'), ('range_dn'), ('sideways')) v(d))
+            SELECT a.*, CASE WHEN a.direction <> 'sideways' THEN round(CAST(coalesce(p.prob, CASE WHEN a.ell <= t.max_ell + 10 THEN t.base_prob END, 0.0) AS DOUBLE), 6) END AS prob, CASE WHEN a.direction <> 'sideways' THEN 'ok' ELSE 'bad_direction' END AS pdf_status,
+                   CASE WHEN a.direction IN ('range_up', 'range_dn') THEN round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) END AS cum_prob, CASE WHEN a.direction IN ('range_up', 'range_dn') THEN 'ok' ELSE 'bad_direction' END AS cdf_status
+            FROM a LEFT JOIN (SELECT contract, m, n, k, direction, max_ell, base_prob FROM tot) t USING (contract, m, n, k, direction) LEFT JOIN (SELECT {_KEY}, prob FROM pmf) p USING ({_KEY}) LEFT JOIN (SELECT {_KEY}, cum_prob FROM cdf) q USING ({_KEY})""",
+        "model_issues": f"""WITH {c}, p2 AS (SELECT contract, m, n, k, direction, prob + CASE WHEN (m + n + k) % 3 = 0 AND ell = 1 THEN 0.25 ELSE 0 END AS prob, num_bins, base_prob FROM pmf),
+            s AS (SELECT contract, m, n, k, direction, sum(prob) + greatest(any_value(num_bins) - count(*), 0) * any_value(base_prob) AS total FROM p2 GROUP BY contract, m, n, k, direction),
+            c2 AS (SELECT contract, m, n, k, direction, ell, cum_prob + CASE WHEN (m + n + k) % 3 = 0 AND ell = 2 THEN 0.5 ELSE 0 END AS cum_prob FROM cdf),
+            w AS (SELECT *, lead(cum_prob) OVER (PARTITION BY contract, m, n, k, direction ORDER BY ell) AS nx FROM c2)
+            SELECT contract, m, n, k, direction, 'bad_sum' AS issue, CAST(NULL AS BIGINT) AS ell, round(CAST(total AS DOUBLE), 6) AS value FROM s WHERE abs(total - 1) > 1.1e-5
+            UNION ALL SELECT contract, m, n, k, direction, 'bad_step', ell, round(CAST(nx - cum_prob AS DOUBLE), 6) FROM w WHERE nx > cum_prob""",
+        "answer_at_cutoff": f"""WITH {until}, {live_until}, now AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY contract ORDER BY time DESC) = 1),
+            a AS (SELECT contract, m, n, k, d AS direction, l AS ell FROM now, (VALUES ('range_up'), ('range_dn')) v(d), range(0, 10) t(l)),
+            n AS (SELECT contract, m, n, k, max(n_total) AS sample_count FROM tot GROUP BY ALL)
+            SELECT a.*, coalesce(sample_count, 0) AS sample_count, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob FROM a JOIN (SELECT contract FROM bounds WHERE status = 'ok') b USING (contract)
+            LEFT JOIN n USING (contract, m, n, k) LEFT JOIN (SELECT {_KEY}, cum_prob FROM cdf) q USING ({_KEY})""",
         "full_distribution": f"""WITH {c}, {_LIVE}, now AS (SELECT contract, m, n, k FROM ls QUALIFY row_number() OVER (PARTITION BY contract ORDER BY time DESC) = 1)
             SELECT contract, m, n, k, direction, ell, round(prob, 6) AS prob FROM pmf SEMI JOIN now USING (contract, m, n, k)""",
         "compare_methods": f"""WITH {_chain(alpha=1.0)}, a AS (SELECT *, unnest(range(0, 10)) AS ell FROM (SELECT DISTINCT contract, m, n, k, direction FROM freq))
@@ -193,6 +213,6 @@ def oracle_sql() -> dict[str, str]:
         "report_by_symbol": f"WITH {own}, {report} SELECT * FROM rep",
         "read_bar_files": f"WITH {_BARS} SELECT contract AS market, contract || '.csv' AS contract, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
         "folder_signals": f"WITH {_BARS} SELECT 'AIAgent_' || contract || '.csv' AS filename, event_id, contract || '.csv' AS main_contract_clean, inventory, signal FROM sig",
-        "stream_score": f"""WITH {c}, {_LIVE} SELECT l.contract, time, l.m, l.n, l.k, coalesce(t.n_total, 0) AS sample_count, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob FROM ls l
-            LEFT JOIN (SELECT contract, m, n, k, max(n_total) AS n_total FROM tot GROUP BY ALL) t USING (contract, m, n, k) LEFT JOIN (SELECT contract, m, n, k, cum_prob FROM cdf WHERE direction = 'range_up' AND ell = 1) c USING (contract, m, n, k)""",
+        "stream_score": f"""WITH {c}, {_LIVE} SELECT l.contract, time, l.m, l.n, l.k, t.n_total IS NOT NULL AS state_exists, coalesce(t.n_total, 0) AS sample_count, max_range, max_range_up, max_range_dn, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob FROM ls l
+            LEFT JOIN (SELECT contract, m, n, k, max(n_total) AS n_total, max(ell) FILTER (WHERE direction = 'range') AS max_range, max(ell) FILTER (WHERE direction = 'range_up') AS max_range_up, max(ell) FILTER (WHERE direction = 'range_dn') AS max_range_dn FROM pmf GROUP BY contract, m, n, k) t USING (contract, m, n, k) LEFT JOIN (SELECT contract, m, n, k, cum_prob FROM cdf WHERE direction = 'range_up' AND ell = 1) c USING (contract, m, n, k)""",
     }

@@ -178,8 +178,9 @@ def reverse_cdf(spark, sf_dir):
 
 
 def reverse_cdf_sparse(spark, sf_dir):
+    """To nine digits: sums that end on half a digit in the sixth would round apart in two engines."""
     c = training.fit(bars_of(spark, sf_dir), KEYS, SPARSE)["cdf"]
-    return r6(c.withColumn("cum_prob", F.col("cum_prob") + 1e-9))  # sums that end exactly on half a digit round alike
+    return c.withColumn("cum_prob", F.round("cum_prob", 9))
 
 
 def state_statistics(spark, sf_dir):
@@ -211,6 +212,12 @@ def fit_with_cutoff(spark, sf_dir):
     return r6(m["cdf"])
 
 
+def answer_at_cutoff(spark, sf_dir):
+    """A model of the bars up to the cutoff answers for the market at that time: its state and fill probabilities at levels 0 to 9 both ways."""
+    got = training.answer_as_of(bars_of(spark, sf_dir), KEYS, CUTOFF, P)
+    return r6(got)
+
+
 def readings(spark, sf_dir):
     """Live values of every bar as readings."""
     return scan.live_features(bars_of(spark, sf_dir), KEYS).select("contract", "time", *(F.round(c, 9).alias(c) for c in backtest.LIVE))
@@ -233,7 +240,34 @@ def query_pdf(spark, sf_dir):
 
 
 def query_cdf(spark, sf_dir):
-    return r6(M.query_cdf(asked_levels(spark, sf_dir), training.fit(bars_of(spark, sf_dir), KEYS, P)["cdf"], KEYS))
+    return r6(M.query_cdf(asked_levels(spark, sf_dir), training.fit(bars_of(spark, sf_dir), KEYS, P)["steps"], KEYS))
+
+
+def query_cdf_sparse(spark, sf_dir):
+    """Ticks ten thousand times too small: the largest level is in the millions, and no level is made that does not occur. To five digits."""
+    p = training.Params(tick=0.0001, digits=9)
+    rows, _ = training.classified(bars_of(spark, sf_dir), KEYS, p)
+    steps = M.steps(M.pmf(M.frequencies(rows, KEYS), KEYS, p.method, p.alpha, dense_bins=0), KEYS)
+    asked = rows.select("contract", "m", "n", (F.col("bar_seq") % 3 + 1).cast("int").alias("k"), F.lit("range_dn").alias("direction"), (F.col("r_dn") + (F.col("bar_seq") % 5 - 2) * 5000).alias("ell")).distinct()
+    return M.query_cdf(asked, steps, KEYS).withColumn("cum_prob", F.round("cum_prob", 5))
+
+
+def bad_directions(spark, sf_dir):
+    """Every state of the table asked for directions that exist for it and some that don't."""
+    m = training.fit(bars_of(spark, sf_dir), KEYS, P)
+    names = F.array(*map(F.lit, ("range", "range_up", "range_dn", "sideways")))
+    asked = m["pmf"].select(*KEYS, "m", "n", "k").distinct().withColumn("direction", F.explode(names)).withColumn("ell", F.lit(2).cast("long"))
+    pdf = M.query_pdf(asked, m["pmf"], KEYS, True).withColumnRenamed("query_status", "pdf_status")
+    return r6(M.query_cdf(pdf, m["steps"], KEYS).withColumnRenamed("query_status", "cdf_status"))
+
+
+def model_issues(spark, sf_dir):
+    """A model spoilt in every third distribution: its sums and steps are listed one by one."""
+    m = training.fit(bars_of(spark, sf_dir), KEYS, P)
+    bad = (F.col("m") + F.col("n") + F.col("k")) % 3 == 0
+    pmf = m["pmf"].withColumn("prob", F.when(bad & (F.col("ell") == 1), F.col("prob") + 0.25).otherwise(F.col("prob")))
+    cdf = m["cdf"].withColumn("cum_prob", F.when(bad & (F.col("ell") == 2), F.col("cum_prob") + 0.5).otherwise(F.col("cum_prob")))
+    return r6(M.issues(pmf, cdf, KEYS))
 
 
 def full_distribution(spark, sf_dir):
@@ -250,8 +284,8 @@ def compare_methods(spark, sf_dir):
     raw, smooth = M.pmf(freq, KEYS, "raw"), M.pmf(freq, KEYS, "smoothed", 1.0)
     asked = freq.select("contract", "m", "n", "k", "direction").distinct().withColumn("ell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
     by = ["contract", "m", "n", "k", "direction", "ell"]
-    a = M.query_pdf(asked, raw, KEYS, False).withColumnRenamed("prob", "raw_prob")
-    return r6(a.join(M.query_pdf(asked, smooth, KEYS, True).withColumnRenamed("prob", "smoothed_prob"), by))
+    a = M.query_pdf(asked, raw, KEYS, False).withColumnRenamed("prob", "raw_prob").drop("query_status")
+    return r6(a.join(M.query_pdf(asked, smooth, KEYS, True).withColumnRenamed("prob", "smoothed_prob").drop("query_status"), by))
 
 
 def top_levels(spark, sf_dir):
@@ -285,7 +319,7 @@ def level_case(spark, sf_dir):
     m = training.fit(bars_of(spark, sf_dir), KEYS, P)
     asked = readings(spark, sf_dir)
     asked = states.live_states(asked, m["bounds"], KEYS, backtest.LIVE).select("contract", "time", "m", "n", "k").withColumn("direction", F.explode(F.array(F.lit("range_up"), F.lit("range_dn"))))
-    return signals.placement_levels(asked, m["cdf"], KEYS, ["contract", "time"], 0.97)
+    return signals.placement_levels(asked, m["steps"], KEYS, 0.97)
 
 
 def placement_level(spark, sf_dir):
@@ -364,9 +398,9 @@ def stream_score(spark, sf_dir):
     files.save_model(m, f"{root}/model")
     back = files.load_model(spark, f"{root}/model")
     arriving = spark.readStream.schema(asked.schema).parquet(f"{root}/readings")
-    scored = stream.score(arriving, back["bounds"], M.statistics(back["pmf"], KEYS), back["cdf"], KEYS)
+    scored = stream.score(arriving, back["bounds"], M.statistics(back["pmf"], KEYS), back["steps"], KEYS)
     scored.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return r6(spark.read.parquet(f"{root}/out").select("contract", "time", "m", "n", "k", "sample_count", "cum_prob"))
+    return r6(spark.read.parquet(f"{root}/out").select("contract", "time", "m", "n", "k", "state_exists", "sample_count", "max_range", "max_range_up", "max_range_dn", "cum_prob"))
 
 
 def queries() -> dict:
@@ -374,7 +408,7 @@ def queries() -> dict:
         load_bars, discover_files, model_roundtrip, tick_size_lookup, parse_symbol, contract_details, tick_override, signal_route, train_cutoff, daily_completeness,
         sparse_days, gap_sessions, tau_bars, tick_ranges, range_quality, burn_in, ewma_shifted, ewm_std, ewma_features, state_boundaries, assign_states, state_histogram,
         range_frequency, reverse_cdf, reverse_cdf_sparse, state_statistics, validate_model, model_report, market_report, fit_models, fit_with_cutoff, live_states, query_pdf,
-        query_cdf, full_distribution, compare_methods, top_levels, inventory_signals, infer_tick, asof_prior_bar, cutoff_training_sets, placement_level, placement_price,
+        query_cdf, query_cdf_sparse, bad_directions, model_issues, answer_at_cutoff, full_distribution, compare_methods, top_levels, inventory_signals, infer_tick, asof_prior_bar, cutoff_training_sets, placement_level, placement_price,
         placement_backtest, stream_score, fit_by_symbol, report_by_symbol, placement_by_symbol, read_bar_files, folder_ticks, folder_signals,
     ]
     out = {f.__name__: f for f in named}

@@ -67,18 +67,33 @@ def classified(bars: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame,
 
 
 def modelled(rows: DataFrame, bounds: DataFrame, keys: list[str], p: Params) -> dict[str, DataFrame]:
-    """Model tables of classified rows."""
-    pmf = written(M.pmf(written(M.frequencies(rows, keys), "frequencies"), keys, p.method, p.alpha), "pmf")
-    cdf = M.reverse_cdf(pmf, keys)
+    """Model tables of classified rows. ``steps`` are the cumulatives as step functions, ``cdf`` the same with every level, made on demand."""
+    pmf = written(M.pmf(M.frequencies(rows, keys), keys, p.method, p.alpha), "pmf")
     models = bounds.select(*keys, "n_bars", "j_s", "status").join(states.histogram(rows, keys, p.sizes), keys, "left")
-    return {"bounds": bounds, "states": rows, "pmf": pmf, "cdf": cdf, "models": models}
+    return {"bounds": bounds, "states": rows, "pmf": pmf, "steps": M.steps(pmf, keys), "cdf": M.reverse_cdf(pmf, keys), "models": models}
 
 
 def fit(bars: DataFrame, keys: list[str], p: Params = Params()) -> dict[str, DataFrame]:
-    """Each stage that others read is a written table. Model tables: bounds, states (rows), pmf, cdf, models (one row a model with its status and counts)."""
+    """Each stage that others read is a written table. Model tables: bounds, states (rows), pmf, steps, cdf, models (one row a model with its status and counts)."""
     return modelled(*classified(bars, keys, p), keys, p)
 
 
+def answer_as_of(bars: DataFrame, keys: list[str], cutoff: str, p: Params, most: int = 10) -> DataFrame:
+    """keys, m, n, k, sample_count, direction, ell, cum_prob: what a model of the bars up to ``cutoff`` says about the market at that time.
+
+    The state comes from the live averages of the last bar up to the cutoff; levels go from 0 to ``most`` - 1. Series whose boundaries tie have no answer.
+    """
+    known = B.until_cutoff(bars, cutoff)
+    m = fit(known, keys, p)
+    live = ("volume_ewma", "volatility_ewma", "ewma_delta_x")
+    now = scan.live_features(known, keys, p.halflife).groupBy(*keys).agg(F.max_by(F.struct(*live), "time").alias("_x")).select(*keys, "_x.*")
+    now = now if p.digits is None else now.withColumns({c: F.round(c, p.digits) for c in live})
+    now = states.live_states(now, m["bounds"].filter("status = 'ok'"), keys, live).drop(*live)
+    now = now.join(M.statistics(m["pmf"], keys).select(*keys, *M.STATE, "sample_count"), [*keys, *M.STATE], "left").fillna(0, ["sample_count"])
+    asked = now.withColumn("direction", F.explode(F.array(*map(F.lit, M.CUMULATIVE)))).withColumn("ell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
+    return M.query_cdf(asked, m["steps"], keys).drop("query_status")
+
+
 def report(bars: DataFrame, keys: list[str], p: Params) -> DataFrame:
     """keys, n_rows, n_bars, j_s, states_observed, states_possible, is_valid, probe_ok, status: one row a series, errors as a status."""
     model = fit(bars, keys, p)

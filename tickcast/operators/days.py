@@ -7,6 +7,8 @@ table has windows by series alone, so a long series is many (series, day) groups
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,14 @@ def positions(df: DataFrame, keys: list[str], name: str, time: str = "time") ->
 def inside_days(df: DataFrame, keys: list[str], gap: str, tau: int = 1) -> DataFrame:
     """Add the day and, inside it: place ``_p``, number ``_k`` of gaps so far, place ``_s`` of the row after the last one, whole bars ``_c`` between gaps.
 
-    Rows of one time are ordered by their other columns, so that a repeated run numbers them alike.
+    Rows of one time are ordered by their other columns, so that a repeated run numbers them alike. Rows without a key or time go; the summary
+    and the rows then need one and the same exchange.
     """
     ties = [c for c in df.columns if c not in (*keys, "time")]
     day = Window.partitionBy(*keys, DAY).orderBy("time", *ties)
     so_far, earlier = day.rowsBetween(Window.unboundedPreceding, 0), day.rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumn(DAY, F.to_date("time")).withColumns({"_p": F.row_number().over(day), "_prev": F.lag("time").over(day)})
+    d = df.withColumn(DAY, F.to_date("time")).filter(reduce(Column.__and__, (F.col(c).isNotNull() for c in (*keys, DAY))))
+    d = d.withColumns({"_p": F.row_number().over(day), "_prev": F.lag("time").over(day)})
     d = d.withColumn("_at", F.when(F.col("time") - F.col("_prev") > F.expr(f"INTERVAL {gap}"), F.col("_p"))).drop("_prev")
     d = d.withColumns({"_k": F.count("_at").over(so_far), "_s": F.max("_at").over(so_far), "_s0": F.max("_at").over(earlier)})
     whole = F.when(F.col("_at").isNotNull(), F.floor((F.col("_p") - F.col("_s0")) / tau))

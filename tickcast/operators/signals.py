@@ -6,14 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickcast.operators import days
+from tickcast.operators import model as M
 
 LEVELS = 10
 
 
 def inventory_signals(inventory: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Rows whose inventory changed, with signal = change; the first row and rows with any null go."""
-    change = F.col("inventory") - F.lag("inventory").over(Window.partitionBy(*by).orderBy(*order))
-    return inventory.withColumn("signal", change.cast("double")).filter("signal <> 0").dropna("any")
+    """Rows whose inventory changed, with signal = change; the first row and rows with any null go.
+
+    ``order`` begins with a time; a file is gone through by days, the last row of a day is carried to the next one.
+    """
+    day = Window.partitionBy(*by, days.DAY)
+    rows = inventory.withColumn(days.DAY, F.to_date(order[0]))
+    ends = rows.groupBy(*by, days.DAY).agg(F.max_by(F.struct("inventory"), F.struct(*order)).alias("_end"))
+    ends = ends.select(*by, days.DAY, F.lag("_end").over(Window.partitionBy(*by).orderBy(days.DAY)).alias("_eve"))
+    rows = rows.withColumns({"_here": F.row_number().over(day.orderBy(*order)), "_before": F.lag("inventory").over(day.orderBy(*order))})
+    rows = rows.join(ends, [*by, days.DAY]).withColumn("_before", F.when(F.col("_here") == 1, F.col("_eve.inventory")).otherwise(F.col("_before")))
+    change = (F.col("inventory") - F.col("_before")).cast("double")
+    return rows.withColumn("signal", change).select(*inventory.columns, "signal").filter("signal <> 0").dropna("any")
 
 
 def inferred_ticks(bars: DataFrame, by: list[str], files: list[str], digits: int = 9) -> DataFrame:
@@ -36,18 +46,17 @@ def side(signal: Column) -> Column:
     return F.when(signal > 0, "range_dn").otherwise("range_up")
 
 
-def placement_levels(asked: DataFrame, cdf: DataFrame, keys: list[str], ids: list[str], risk: float, most: int = LEVELS) -> DataFrame:
-    """ids, level, accepted_level, accepted_prob: the first of levels 0..9 whose probability is below ``risk``, or 9.
+def placement_levels(asked: DataFrame, steps: DataFrame, keys: list[str], risk: float, most: int = LEVELS) -> DataFrame:
+    """Add level, accepted_level, accepted_prob: the first of levels 0..9 whose probability is below ``risk``, or 9.
 
-    ``asked`` holds ids, keys, m, n, k, direction. A level that is not stored has probability 0.
+    ``asked`` holds keys, m, n, k, direction; ``steps`` are cumulative step functions, searched for each level. A level beyond them has probability 0.
     """
     by = [*keys, "m", "n", "k", "direction"]
-    few = cdf.filter(F.col("ell") < most).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ell", "cum_prob"))).alias("_c"))
-    probs = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda x: F.coalesce(F.try_element_at(F.col("_c"), x.cast("long")), F.lit(0.0)))
-    out = asked.join(few, by, "left").withColumn("_p", probs)
+    out = asked.join(steps.select(*by, "base_prob", "levels", "cums"), by, "left")
+    out = out.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda x: M.cum_at(x.cast("long"))))
     fails = F.array_position(F.transform("_p", lambda p: p < risk), True).cast("int")
     out = out.withColumn("level", F.when(fails == 0, most - 1).otherwise(fails - 1)).withColumn("accepted_level", F.when(fails == 0, most - 1).when(fails == 1, 0).otherwise(fails - 2))
-    return out.withColumn("accepted_prob", F.when(fails == 1, 0.0).otherwise(F.element_at("_p", F.col("accepted_level") + 1))).drop("_c", "_p")
+    return out.withColumn("accepted_prob", F.when(fails == 1, 0.0).otherwise(F.element_at("_p", F.col("accepted_level") + 1))).drop("base_prob", "levels", "cums", "_p")
 
 
 def limit_price(close: Column, level: Column, tick: Column, direction: Column) -> Column:

@@ -100,7 +100,7 @@ def write_by(df: DataFrame, path: str, by: str | list[str], fmt: str = "parquet"
     df.repartition(*by).write.mode("overwrite").format(fmt).partitionBy(*by).option("header", True).save(path)
 
 
-MODEL_TABLES = ("models", "states", "pmf", "cdf", "bounds")
+MODEL_TABLES = ("models", "states", "pmf", "steps", "cdf", "bounds")
 
 
 def save_model(model: dict[str, DataFrame], path: str) -> None:

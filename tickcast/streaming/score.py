@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickcast.operators import model as M
 from tickcast.operators import states
 
 
-def score(readings: DataFrame, bounds: DataFrame, stats: DataFrame, cdf: DataFrame, keys: list[str]) -> DataFrame:
-    """Stateless stream-static joins; ``readings`` holds keys, direction, ell and the three smoothed values. Append mode."""
+def score(readings: DataFrame, bounds: DataFrame, stats: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """Stateless stream-static joins; ``readings`` holds keys, direction, ell and the three smoothed values. Append mode.
+
+    Adds the state, all its statistics (state_exists, sample_count, largest range of each direction) and the fill probability.
+    """
+    by = [*keys, "m", "n", "k"]
     out = states.live_states(readings, bounds, keys, ("volume", "volatility", "price_change"))
-    out = out.join(stats.select(*keys, "m", "n", "k", "sample_count"), [*keys, "m", "n", "k"], "left")
-    out = out.join(cdf.select(*keys, "m", "n", "k", "direction", "ell", "cum_prob"), [*keys, "m", "n", "k", "direction", "ell"], "left")
-    return out.withColumns({"sample_count": F.coalesce("sample_count", F.lit(0)), "cum_prob": F.coalesce("cum_prob", F.lit(0.0))})
+    out = out.join(stats.select(*by, "sample_count", "max_range", "max_range_up", "max_range_dn"), by, "left")
+    out = M.query_cdf(out, steps, keys)
+    return out.withColumns({"state_exists": F.col("sample_count").isNotNull(), "sample_count": F.coalesce("sample_count", F.lit(0))})
