@@ -1,6 +1,7 @@
 """Readers and writers on files: names of columns, folders, refusals, and the jobs from folders to folders."""
 
 import math
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tickcast.functions import instruments as I  # noqa: E741
 from tickcast.jobs import backtest, folders, training
-from tickcast.sources import files
+from tickcast.sources import files, store
+from tickcast.streaming import score as stream
 
 HEADER = "day,hour,min,price,inventory,date,timestamp,minute,main_contract,main_volume,main_contract_clean"
 
@@ -41,6 +43,124 @@ def test_written_folders_are_read_back(spark, tmp_path):
     assert {(r.market, r.filename) for r in files.discover_files(spark, str(tmp_path / "out")).collect()} == {(f"M {i % 2}", f"C{i % 3}.csv") for i in range(12)}
 
 
+def table(spark, markets, n=6):
+    t = datetime(2024, 1, 1)
+    rows = [(m, f"{m}{k}.csv", t + timedelta(minutes=i), *([float(i)] * 5)) for m in markets for k in range(2) for i in reversed(range(n))]
+    return spark.createDataFrame(rows, "market string, filename string, time timestamp_ntz, open double, high double, low double, close double, volume double").repartition(3)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_other_markets_stay_and_a_repeated_run_changes_nothing(spark, tmp_path, fmt):
+    out, by = str(tmp_path / "out"), ["market", "filename"]
+    read = lambda: sorted(map(str, spark.read.option("header", True).format(fmt).load(out).collect()))
+    files.write_by(table(spark, "X"), out, by, fmt, ["time"])
+    files.write_by(table(spark, "Y"), out, by, fmt, ["time"])
+    both = read()
+    assert len(both) == 24
+    files.write_by(table(spark, "Y"), out, by, fmt, ["time"])
+    assert read() == both
+    files.write_by(table(spark, "Y", 3), out, by, fmt, ["time"])
+    assert len(read()) == 18
+    files.write_by(table(spark, "Y").limit(0), out, by, fmt, ["time"])
+    assert len(read()) == 18
+
+
+def test_large_folders_are_split_in_order(spark, tmp_path):
+    files.write_by(table(spark, "X", 400), str(tmp_path / "out"), ["market", "filename"], "csv", ["time"], rows=50)
+    for k in range(2):
+        parts = sorted((tmp_path / "out" / "market=X" / f"filename=X{k}.csv").glob("*.csv"))
+        lines = [x for p in parts for x in p.read_text().splitlines() if not x.startswith("time")]
+        assert len(parts) >= 8 and len(lines) == 400 and lines == sorted(lines)
+
+
+def test_rejects_and_status_of_files(spark, tmp_path):
+    head = "time,open,high,low,close,volume\n"
+    put(tmp_path / "Oil" / "CLH22.csv", head + "2024-01-01 00:00:00,1,4,0.5,2,10\n2024-01-01 00:01:00,1,4,0.5,abc,10\n2024-01-01 00:02:00,1,4,,2,10\n2024-01-01 00:00:00,1,4,0.5,1.5,10\nnot a time,1,4,0.5,2,10\n2024-01-01 00:03:00,1,4\n")
+    put(tmp_path / "Oil" / "CLM22.csv", "time,open,high,low,close\n2024-01-01 00:00:00,1,4,0.5,2\n2024-01-01 00:01:00,1,4,0.5,2\n")
+    put(tmp_path / "Gold" / "GCH22.csv", head + "2024-01-01 00:00:00,1,4,0.5,2,10\n")
+    put(tmp_path / "Gold" / "GCM22.csv", head)
+    put(tmp_path / "Gold" / "AIAgent_Gold.csv", "inventory,timestamp\nxyz,2024-01-01 00:00:00\n")
+    good, bad = files.sorted_bars(spark, str(tmp_path))
+    assert sorted((r.contract, r.time.minute, r.close) for r in good.collect()) == [("CLH22.csv", 0, 1.5), ("GCH22.csv", 0, 2.0)]
+    found = sorted(((r.contract, r.reason, r.time.minute if r.time else None) for r in bad.collect()), key=str)
+    want = [("CLH22.csv", "missing_value", 2), ("CLH22.csv", "repeated_time", 0), ("CLH22.csv", "unparsable", 1), ("CLH22.csv", "unparsable", 3), ("CLH22.csv", "unparsable", None), ("CLM22.csv", "missing_column", None), ("CLM22.csv", "missing_column", None)]
+    assert found == want
+    assert {r.raw for r in bad.filter("reason = 'unparsable'").collect()} == {"2024-01-01 00:01:00,1,4,0.5,abc,10", "not a time,1,4,0.5,2,10", "2024-01-01 00:03:00,1,4"}
+    status = {r.contract: (r.n_rows, r.n_bars, r.n_rejects, r.status) for r in files.file_status(spark, str(tmp_path), good, bad).collect()}
+    assert status == {"CLH22.csv": (6, 1, 5, "some_rejected"), "CLM22.csv": (2, 0, 2, "missing_column"), "GCH22.csv": (1, 1, 0, "ok"), "GCM22.csv": (0, 0, 0, "no_rows")}
+    (tmp_path / "Oil" / "CLM22.csv").unlink()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_bars(spark, str(tmp_path)).collect()
+    assert files.sorted_bars(spark, str(tmp_path / "none").replace("none", "Gold"))[1].count() == 0
+
+
+def small_model(spark, shift=0.0):
+    rows = [("VGH22.csv", datetime(2024, 1, 1) + timedelta(minutes=i), x, x + i % 4, x - i % 3, x, 10.0 + i % 7) for i in range(300) for x in [50.0 + shift + (i * i) % 11]]
+    rows += [("ESM22.csv", *r[1:]) for r in rows]
+    df = spark.createDataFrame(rows, "contract string, time timestamp_ntz, open double, high double, low double, close double, volume double")
+    return training.fit(df, ["contract"], training.Params(tau=2, sizes=(2, 2, 1)))
+
+
+def test_models_are_versions_side_by_side(spark, tmp_path):
+    path, keys = str(tmp_path / "m"), ["contract"]
+    with pytest.raises(ValueError, match="No model"):
+        store.load_model(spark, path)
+    m = small_model(spark)
+    assert store.save_model(m, path, keys) == 1
+    answers = lambda model: sorted(map(str, model["cdf"].collect()))
+    first = answers(store.load_model(spark, path))
+    assert first == answers(m)
+    # a crash between two tables: nothing is published, readers keep the old model
+    broken = dict(m, cdf=m["cdf"].withColumn("cum_prob", F.raise_error(F.lit("disk full")).cast("double")))
+    with pytest.raises(Exception, match="disk full"):
+        store.save_model(broken, path, keys)
+    assert store.versions(spark, path) == [1] and answers(store.load_model(spark, path)) == first
+    held = store.load_model(spark, path)["pmf"]
+    assert store.save_model(small_model(spark, 3.0), path, keys) == 2 and held.count() == m["pmf"].count()
+    assert answers(store.load_model(spark, path, version=1)) == first
+    assert store.retire(spark, path, 1) == [1] and store.versions(spark, path) == [2]
+    with pytest.raises(ValueError, match="not fitted"):
+        store.save_model({k: v for k, v in m.items() if k != "bounds"}, path, keys)
+    with pytest.raises(ValueError, match="lacks"):
+        store.save_model(dict(m, steps=m["steps"].drop("cums")), path, keys)
+
+
+def test_loading_one_symbol_reads_its_folder_alone(spark, tmp_path):
+    path = str(tmp_path / "m")
+    store.save_model(small_model(spark), path, ["contract"])
+    one = store.load_model(spark, path, ["VG"])["pmf"]
+    assert {r.contract for r in one.collect()} == {"VGH22.csv"}
+    assert re.search(r"PartitionFilters: \[[^\]]*symbol#\d+ = VG", one._jdf.queryExecution().executedPlan().toString())
+    spark.createDataFrame([("ES", 1), ("XX", 2)], "symbol string, k int").write.parquet(str(tmp_path / "s"))
+    some = store.load_model(spark, path, spark.read.parquet(str(tmp_path / "s")).filter("k < 3"))["cdf"]
+    assert {r.contract for r in some.collect()} == {"ESM22.csv"}
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stream_follows_the_published_model(spark, tmp_path):
+    """Two versions and a restart in between: each batch says which model it was scored with, and no reading is lost or comes twice."""
+    path, keys, out = str(tmp_path / "m"), ["contract"], str(tmp_path / "out")
+    schema = "contract string, id int, volume double, volatility double, price_change double, direction string, ell long"
+    put_in = lambda name, ids: spark.createDataFrame([("VGH22.csv", i, 12.0, 2.0, 0.0, "range_up", 1) for i in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: stream.start_scoring(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, out, str(tmp_path / "at"), keys, availableNow=True).awaitTermination()
+    store.save_model(small_model(spark), path, keys)
+    put_in("a", range(5))
+    run()
+    store.save_model(small_model(spark, 9.0), path, keys)
+    put_in("b", range(5, 8))
+    run()
+    run()
+    got = spark.read.parquet(out)
+    assert sorted((r.id, r.model_version) for r in got.collect()) == [(i, 1 + (i > 4)) for i in range(8)]
+    # the last batch again, as after a crash before its end was noted
+    last = max(p.name for p in (tmp_path / "at" / "commits").iterdir() if p.name.isdigit())
+    (tmp_path / "at" / "commits" / last).unlink()
+    (tmp_path / "at" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    run()
+    again = spark.read.parquet(out)
+    assert sorted(r.id for r in again.collect()) == list(range(8)) and {"state_exists", "sample_count", "max_range_up", "cum_prob"} <= set(again.columns)
+
+
 def test_from_inventories_to_signals(spark, tmp_path):
     row = "44564,4,0,4324.0,{},2022-01-03,2022-01-03 0{}:00:00,2022-01-03 04:00:00,VGH22.csv,838,VGH22.csv\n"
     put(tmp_path / "data" / "EuroStoxx" / "AIAgent_EuroStoxx.csv", HEADER + "\n" + "".join(row.format(v, k) for k, v in enumerate([0, -2, -2, 3])))

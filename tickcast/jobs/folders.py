@@ -11,14 +11,14 @@ from tickcast.operators import signals
 from tickcast.sources import files
 
 
-def signals_of_inventories(spark: SparkSession, root: str) -> DataFrame:
-    """Signals of every inventory file below ``root``, with market and filename; changes never cross files."""
-    return signals.inventory_signals(files.read_inventories(spark, root), ["market", "filename"], ["timestamp"])
+def signals_of_inventories(spark: SparkSession, root: str, order: tuple[str, ...] = ("timestamp",), schema: str = files.SIGNAL_SCHEMA) -> DataFrame:
+    """Signals of every inventory file below ``root``, with market and filename; changes never cross files. ``order`` begins with the time."""
+    return signals.inventory_signals(files.read_inventories(spark, root, schema), ["market", "filename"], list(order))
 
 
-def write_signals(spark: SparkSession, root: str, out: str) -> None:
-    """A folder of signals for every inventory file."""
-    files.write_by(signals_of_inventories(spark, root), out, ["market", "filename"], "csv")
+def write_signals(spark: SparkSession, root: str, out: str, order: tuple[str, ...] = ("timestamp",), schema: str = files.SIGNAL_SCHEMA) -> None:
+    """A folder of signals for every inventory file, rows in order; folders of other files stay."""
+    files.write_by(signals_of_inventories(spark, root, order, schema), out, ["market", "filename"], "csv", list(order))
 
 
 def tick_sizes(spark: SparkSession, root: str) -> DataFrame:
@@ -40,5 +40,5 @@ def placements(spark: SparkSession, signal_folder: str, root: str, p: training.P
 
 
 def write_placements(spark: SparkSession, signal_folder: str, root: str, out: str, p: training.Params = training.Params(), risk: float = 0.6) -> None:
-    """A folder of placements for every signal file."""
-    files.write_by(placements(spark, signal_folder, root, p, risk), out, "filename", "csv")
+    """A folder of placements for every signal file, rows by time; folders of other files stay."""
+    files.write_by(placements(spark, signal_folder, root, p, risk), out, "filename", "csv", ["timestamp"])

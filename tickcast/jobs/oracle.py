@@ -77,6 +77,12 @@ _KEY = "contract, m, n, k, direction, ell"
 _TICK = f"(CASE length(contract) % 3 WHEN 0 THEN {I.TICK_SIZES['ES']} WHEN 1 THEN {I.TICK_SIZES['VG']} ELSE 1.0 END)"
 
 
+#: Name and tick size of an event type's contract file.
+_HASH = "((2 * length(contract) + ascii(contract)) % 7)"
+_FILE = f"(['GC', 'NQ', 'VG'][{_HASH} % 3 + 1] || substr('FGHJKMN', {_HASH} + 1, 1) || '24.csv')"
+_FILE_TICK = f"(CASE {_HASH} % 3 WHEN 0 THEN {I.TICK_SIZES['GC']} WHEN 1 THEN {I.TICK_SIZES['NQ']} ELSE {I.TICK_SIZES['VG']} END)"
+
+
 def _placement(chain: str, tick: str) -> str:
     """The backtest over one model for each (contract, cutoff)."""
     return f"""WITH {chain}, {_LIVE},
@@ -121,6 +127,10 @@ def oracle_sql() -> dict[str, str]:
     report = """rep AS (SELECT t.contract, t.n_rows, coalesce(b.n_bars, 0) AS n_bars, b.j_s, h.o AS states_observed, h.p AS states_possible, true AS is_valid, true AS probe_ok, coalesce(b.status, 'no_bars') AS status
         FROM (SELECT contract, count(*) AS n_rows FROM bars GROUP BY ALL) t LEFT JOIN bounds b ON t.contract = b.contract
         LEFT JOIN (SELECT contract, count(*) AS o, CAST(18 AS BIGINT) AS p FROM (SELECT DISTINCT contract, m, n, k FROM used) GROUP BY ALL) h ON t.contract = h.contract)"""
+    spoilt = f"""{_BARS}, m AS (SELECT *, (minute(time) + hour(time)) % 7 AS m FROM bars),
+            f AS (SELECT 'm' AS market, contract || '.csv' AS contract, CASE m WHEN 1 THEN 'unparsable' WHEN 2 THEN 'missing_value' WHEN 3 THEN 'repeated_time' ELSE 'taken' END AS reason, volume FROM m
+                  UNION ALL SELECT 'm', contract || '.csv', 'taken', 0.0 FROM m WHERE m = 3
+                  UNION ALL SELECT 'short', contract || '.csv', 'missing_column', NULL FROM m UNION ALL SELECT 'short', contract || '.csv', 'missing_column', NULL FROM m WHERE m = 3)"""
     return {
         "load_bars": f"WITH {_BARS} SELECT contract, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
         "discover_files": "SELECT event_type AS market, CAST(1 AS BIGINT) AS n_files FROM events GROUP BY event_type",
@@ -212,7 +222,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT b.contract, n_bars, j_s, status, states_observed, max_ell, round(total, 6) AS total FROM bounds b LEFT JOIN h ON b.contract = h.contract LEFT JOIN p ON b.contract = p.contract""",
         "report_by_symbol": f"WITH {own}, {report} SELECT * FROM rep",
         "read_bar_files": f"WITH {_BARS} SELECT contract AS market, contract || '.csv' AS contract, time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars",
+        "folder_placements": f"""SELECT event_id, {_FILE} AS main_contract_clean, signal, direction, level, opti_price, status FROM ({_placement(_chain(_EACH, tick=_FILE_TICK), _FILE_TICK.replace('contract', 's.contract'))})""",
+        "rejected_rows": f"WITH {spoilt} SELECT market, contract, reason, count(*) AS n_rows, round(coalesce(sum(volume), 0.0), 6) AS volume FROM f GROUP BY market, contract, reason",
+        "file_status": f"""WITH {spoilt}, g AS (SELECT market, contract, count(*) AS n_rows, count(*) FILTER (WHERE reason = 'taken') AS n_bars FROM f GROUP BY market, contract)
+            SELECT *, n_rows - n_bars AS n_rejects, CASE WHEN market = 'short' THEN 'missing_column' WHEN n_rows > n_bars THEN 'some_rejected' ELSE 'ok' END AS status FROM g""",
+        "two_runs": f"WITH {_BARS} SELECT contract AS market, contract || '.csv' AS contract, count(*) AS n_rows, round(sum(volume), 6) AS volume, min(time) AS first_time, max(time) AS last_time FROM bars GROUP BY ALL",
+        "model_of_one_symbol": f"WITH {c} SELECT {_KEY}, round(cum_prob, 6) AS cum_prob, n_bars, j_s FROM cdf JOIN (SELECT contract, n_bars, j_s FROM bounds) b USING (contract) WHERE ell <= 9 AND contract = (SELECT min(event_type) FROM events)",
         "folder_signals": f"WITH {_BARS} SELECT 'AIAgent_' || contract || '.csv' AS filename, event_id, contract || '.csv' AS main_contract_clean, inventory, signal FROM sig",
-        "stream_score": f"""WITH {c}, {_LIVE} SELECT l.contract, time, l.m, l.n, l.k, t.n_total IS NOT NULL AS state_exists, coalesce(t.n_total, 0) AS sample_count, max_range, max_range_up, max_range_dn, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob FROM ls l
+        "stream_score": f"""WITH {c}, {_LIVE} SELECT l.contract, time, l.m, l.n, l.k, t.n_total IS NOT NULL AS state_exists, coalesce(t.n_total, 0) AS sample_count, max_range, max_range_up, max_range_dn, round(CAST(coalesce(cum_prob, 0.0) AS DOUBLE), 6) AS cum_prob, CAST(1 AS INT) AS model_version FROM ls l
             LEFT JOIN (SELECT contract, m, n, k, max(n_total) AS n_total, max(ell) FILTER (WHERE direction = 'range') AS max_range, max(ell) FILTER (WHERE direction = 'range_up') AS max_range_up, max(ell) FILTER (WHERE direction = 'range_dn') AS max_range_dn FROM pmf GROUP BY contract, m, n, k) t USING (contract, m, n, k) LEFT JOIN (SELECT contract, m, n, k, cum_prob FROM cdf WHERE direction = 'range_up' AND ell = 1) c USING (contract, m, n, k)""",
     }

@@ -12,7 +12,7 @@ from tickcast.jobs import backtest, folders, training
 from tickcast.operators import bars as B
 from tickcast.operators import model as M
 from tickcast.operators import scan, signals, states
-from tickcast.sources import files, tables
+from tickcast.sources import files, store, tables
 from tickcast.sources.shared import shared_dir, written
 from tickcast.streaming import score as stream
 
@@ -54,12 +54,21 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that is saved and loaded answers as before."""
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     model = training.fit(bars_of(spark, sf_dir), KEYS, P)
-    files.save_model(model, path)
-    back = files.load_model(spark, path)
+    store.save_model(model, path, KEYS)
+    back = store.load_model(spark, path)
     by = [*KEYS, "m", "n", "k", "direction", "ell"]
     return r6(back["cdf"].select(*by, "cum_prob"))
 
 
+def model_of_one_symbol(spark, sf_dir):
+    """Of a stored model of all contracts the one that comes first by name is loaded: its folders alone are read."""
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    store.save_model(training.fit(bars_of(spark, sf_dir), KEYS, P), path, KEYS)
+    first = tables.table(spark, sf_dir, "events").agg(F.min("event_type").alias("symbol")).filter("symbol is not null")
+    m = store.load_model(spark, path, first)
+    return r6(m["cdf"].filter("ell <= 9").join(m["models"].select(*KEYS, "n_bars", "j_s"), KEYS))
+
+
 def tick_size_lookup(spark, sf_dir):
     return I.with_tick_size(tables.contract_names(spark, sf_dir), "name").select("o_orderkey", "name", "tick_size")
 
@@ -367,7 +376,7 @@ def market_files(spark, sf_dir) -> str:
     root = f"{shared_dir(spark)}/market-files-{uuid.uuid4().hex}"
     b = bars_of(spark, sf_dir).select("volume", "close", "contract", "low", "high", "open", "time")
     files.write_by(b.withColumns({"market": F.col("contract"), "filename": F.concat("contract", F.lit(".csv"))}).drop("contract"), f"{root}/data", ["market", "filename"], "csv")
-    inv = tables.event_inventory(spark, sf_dir).select(F.col("event_id").cast("int").alias("main_volume"), "inventory", "timestamp", "market", F.concat(F.lit("AIAgent_"), "market", F.lit(".csv")).alias("filename"))
+    inv = tables.event_inventory(spark, sf_dir).select(F.col("event_id").cast("int").alias("main_volume"), "inventory", "timestamp", F.concat("market", F.lit(".csv")).alias("main_contract_clean"), "market", F.concat(F.lit("AIAgent_"), "market", F.lit(".csv")).alias("filename"))
     files.write_by(inv, f"{root}/inventories", ["market", "filename"], "csv")
     return root
 
@@ -380,27 +389,78 @@ def folder_ticks(spark, sf_dir):
     return r6(folders.tick_sizes(spark, f"{market_files(spark, sf_dir)}/data"))
 
 
+INVENTORY = "timestamp timestamp_ntz, inventory int, main_volume int, main_contract_clean string"
+
+
 def folder_signals(spark, sf_dir):
-    """Signals of all inventory files, written as signal files and read again."""
+    """Signals of all inventory files, written as signal files by the job and read again."""
     root = market_files(spark, sf_dir)
-    inv = files.read_inventories(spark, f"{root}/inventories", "timestamp timestamp_ntz, inventory int, main_volume int")
-    found = signals.inventory_signals(inv, ["market", "filename"], ["timestamp", "main_volume"]).withColumn("main_contract_clean", F.concat("market", F.lit(".csv")))
-    files.write_by(found, f"{root}/signals", "filename", "csv")
-    return files.read_signals(spark, f"{root}/signals").select("filename", F.col("main_volume").cast("long").alias("event_id"), "main_contract_clean", "inventory", "signal")
+    folders.write_signals(spark, f"{root}/inventories", f"{root}/signals", ("timestamp", "main_volume"), INVENTORY)
+    got = files.read_signals(spark, f"{root}/signals")
+    return got.select("filename", F.col("main_volume").cast("long").alias("event_id"), "main_contract_clean", "inventory", "signal")
+
+
+PLACED = "main_volume long, main_contract_clean string, signal double, direction string, level int, opti_price double, status string"
+
+
+def folder_placements(spark, sf_dir):
+    """From files to files: contract files and signal files in, placement files out, read again. Contracts trade as symbols with tick sizes of their own."""
+    root = f"{shared_dir(spark)}/placements-{uuid.uuid4().hex}"
+    name = tables.event_contract(F.col("contract"))
+    routed = I.route_signal(bars_of(spark, sf_dir).withColumn("filename", name), "filename")
+    files.write_by(routed.select("market", "filename", "time", *files.OHLCV), f"{root}/data", ["market", "filename"], "csv", ["time"])
+    asked = all_signals(spark, sf_dir).withColumns({"main_contract_clean": name, "main_volume": F.col("event_id").cast("int"), "filename": F.concat(F.lit("AIAgent_"), name)})
+    files.write_by(asked.select("timestamp", "inventory", "main_volume", "main_contract_clean", "signal", "filename"), f"{root}/signals", "filename", "csv", ["timestamp"])
+    folders.write_placements(spark, f"{root}/signals", f"{root}/data", f"{root}/out", P)
+    got = files.read_named(spark, f"{root}/out", PLACED, [c.split()[0] for c in PLACED.split(", ")])
+    return r6(got.select(F.col("main_volume").alias("event_id"), "main_contract_clean", "signal", "direction", "level", "opti_price", "status"))
+
+
+def spoilt_files(spark, sf_dir) -> str:
+    """Contract files of which some rows are unreadable, empty in a column, or repeated, and one file lacks a column; their root."""
+    root = f"{shared_dir(spark)}/spoilt-{uuid.uuid4().hex}"
+    b = bars_of(spark, sf_dir).withColumn("_m", F.minute("time") + F.hour("time"))
+    text = b.select("contract", "_m", *(F.col(c).cast("string").alias(c) for c in ("time", *files.OHLCV)))
+    text = text.withColumns({"close": F.when(F.col("_m") % 7 == 1, "abc").otherwise(F.col("close")), "low": F.when(F.col("_m") % 7 == 2, None).otherwise(F.col("low"))})
+    text = text.unionByName(text.filter("_m % 7 = 3").withColumn("volume", F.lit("0.0")))
+    named = text.withColumns({"market": F.lit("m"), "filename": F.concat("contract", F.lit(".csv"))}).drop("contract", "_m")
+    files.write_by(named, f"{root}/data", ["market", "filename"], "csv", ["time"])
+    files.write_by(named.drop("volume").withColumn("market", F.lit("short")), f"{root}/data", ["market", "filename"], "csv", ["time"])
+    return f"{root}/data"
+
+
+def rejected_rows(spark, sf_dir):
+    """Why rows of the files are not taken, and how many are."""
+    good, bad = files.sorted_bars(spark, spoilt_files(spark, sf_dir))
+    every = good.select("market", "contract", F.lit("taken").alias("reason"), "volume").unionByName(bad.select("market", "contract", "reason", "volume"))
+    return r6(every.groupBy("market", "contract", "reason").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume")))
+
+
+def file_status(spark, sf_dir):
+    root = spoilt_files(spark, sf_dir)
+    return files.file_status(spark, root, *files.sorted_bars(spark, root))
+
+
+def two_runs(spark, sf_dir):
+    """Markets written one after the other, the first again at the end: all are there, each once, in the order of their files."""
+    root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    b = bars_of(spark, sf_dir).withColumns({"market": F.col("contract"), "filename": F.concat("contract", F.lit(".csv"))}).drop("contract")
+    early = F.crc32("market") % 2 == 0
+    for part in (early, ~early, early):
+        files.write_by(b.filter(part), root, ["market", "filename"], "csv", ["time"], rows=100)
+    back = files.read_bars(spark, root)
+    return r6(back.groupBy("market", "contract").agg(F.count("*").alias("n_rows"), F.sum("volume").alias("volume"), F.min("time").alias("first_time"), F.max("time").alias("last_time")))
 
 
 def stream_score(spark, sf_dir):
     """Readings of all bars, written as files and scored as a stream with the stored model; the rows of the finished stream."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    m = training.fit(bars_of(spark, sf_dir), KEYS, P)
     asked = readings(spark, sf_dir).select("contract", "time", F.col("volume_ewma").alias("volume"), F.col("volatility_ewma").alias("volatility"), F.col("ewma_delta_x").alias("price_change"), F.lit("range_up").alias("direction"), F.lit(1).cast("long").alias("ell"))
     asked.write.mode("overwrite").parquet(f"{root}/readings")
-    files.save_model(m, f"{root}/model")
-    back = files.load_model(spark, f"{root}/model")
+    store.save_model(training.fit(bars_of(spark, sf_dir), KEYS, P), f"{root}/model", KEYS)
     arriving = spark.readStream.schema(asked.schema).parquet(f"{root}/readings")
-    scored = stream.score(arriving, back["bounds"], M.statistics(back["pmf"], KEYS), back["steps"], KEYS)
-    scored.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return r6(spark.read.parquet(f"{root}/out").select("contract", "time", "m", "n", "k", "state_exists", "sample_count", "max_range", "max_range_up", "max_range_dn", "cum_prob"))
+    stream.start_scoring(arriving, f"{root}/model", f"{root}/out", f"{root}/progress", KEYS, availableNow=True).awaitTermination()
+    return r6(spark.read.parquet(f"{root}/out").select("contract", "time", "m", "n", "k", "state_exists", "sample_count", "max_range", "max_range_up", "max_range_dn", "cum_prob", "model_version"))
 
 
 def queries() -> dict:
@@ -409,7 +469,7 @@ def queries() -> dict:
         sparse_days, gap_sessions, tau_bars, tick_ranges, range_quality, burn_in, ewma_shifted, ewm_std, ewma_features, state_boundaries, assign_states, state_histogram,
         range_frequency, reverse_cdf, reverse_cdf_sparse, state_statistics, validate_model, model_report, market_report, fit_models, fit_with_cutoff, live_states, query_pdf,
         query_cdf, query_cdf_sparse, bad_directions, model_issues, answer_at_cutoff, full_distribution, compare_methods, top_levels, inventory_signals, infer_tick, asof_prior_bar, cutoff_training_sets, placement_level, placement_price,
-        placement_backtest, stream_score, fit_by_symbol, report_by_symbol, placement_by_symbol, read_bar_files, folder_ticks, folder_signals,
+        placement_backtest, stream_score, fit_by_symbol, report_by_symbol, placement_by_symbol, read_bar_files, folder_ticks, folder_signals, folder_placements, rejected_rows, file_status, two_runs, model_of_one_symbol,
     ]
     out = {f.__name__: f for f in named}
     out |= {"live_volume": live("volume_ewma"), "live_volatility": live("volatility_ewma"), "live_delta": live("ewma_delta_x")}

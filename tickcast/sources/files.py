@@ -1,14 +1,16 @@
-"""Readers and writers of bars, inventories, signals, placements and models."""
+"""Readers and writers of bars, inventories, signals and placements."""
 
 from __future__ import annotations
 
 import csv
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tickcast.sources.shared import written
+
 OHLCV = ["open", "high", "low", "close", "volume"]
 BAR_SCHEMA = "time timestamp_ntz, open double, high double, low double, close double, volume double"
 SIGNAL_SCHEMA = (
@@ -41,43 +43,96 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumn("path", decoded(F.col("path"))).withColumns({"market": named_part(F.col("path"), "market", -2), "filename": named_part(F.col("path"), "filename", -1)})
 
 
-def read_named(spark: SparkSession, root: str, schema: str, required: list[str], only: Column | None = None) -> DataFrame:
-    """All CSV files below ``root`` with their columns found by the names in each file's own header, plus market and filename.
+#: Columns of a row that was not taken: why, and its text where the reader has it.
+REASON, RAW = "reason", "raw"
 
-    ``only`` is a condition on market and filename. Columns that a file lacks are null; where one of ``required`` is
-    missing the file is refused. Headers are read first; files of one header are then read at once, so any order of columns is right.
-    """
-    wanted = StructType.fromDDL(schema)
+
+def _header_kinds(spark: SparkSession, root: str, required: list[str], only: Column | None) -> list[tuple[list[str], list[str], list[str]]]:
+    """(paths, names in the header, required names that are missing) for each kind of header among the CSV files below ``root``."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
     lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
     heads = _placed(lines.groupBy("path").agg(F.min_by("value", "at").alias("header")))
     heads = heads if only is None else heads.filter(only)
-    parts = []
+    kinds = []
     for row in heads.groupBy("header").agg(F.collect_list("path").alias("paths")).collect():  # a row for each kind of header, with file names alone
-        names = [x.strip() for x in next(csv.reader([(row["header"] or "").lstrip("﻿")]), [])]
-        missing = [c for c in required if c not in names]
+        names = [x.strip() for x in next(csv.reader([(row["header"] or "").lstrip("\ufeff")]), [])]
+        kinds.append((row["paths"], names, [c for c in required if c not in names]))
+    return kinds
+
+
+def read_checked(spark: SparkSession, root: str, schema: str, required: list[str], only: Column | None = None, strict: bool = False) -> DataFrame:
+    """All rows of the CSV files below ``root``, columns found by the names in each file's own header, plus market, filename, reason and raw.
+
+    ``only`` is a condition on market and filename. Columns that a file lacks are null. ``reason`` is null for a good row; else missing_column (the
+    file lacks one of ``required``), unparsable (a value is not of its column's type, or the row has other columns than the header) or
+    missing_value (one of ``required`` is empty). With ``strict`` a file without a required column and an unparsable row stop the job,
+    and empty values stay.
+    """
+    wanted = StructType.fromDDL(schema)
+    parts = []
+    for paths, names, missing in _header_kinds(spark, root, required, only):
+        path = F.col("_metadata.file_path").alias("path")
+        if missing and strict:
+            raise ValueError(f"{min(paths)} lacks {', '.join(missing)}")
         if missing:
-            raise ValueError(f"{min(row['paths'])} lacks {', '.join(missing)}")
+            text = spark.read.text(paths).select(F.col("value").alias(RAW), path)
+            text = text.filter(F.ltrim(F.translate(RAW, "\ufeff", "")) != F.lit(",".join(names)))
+            parts.append(_placed(text.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in wanted), F.lit("missing_column").alias(REASON), RAW, "path")))
+            continue
         first = [n if n in wanted.names and n not in names[:i] else f"_unused{i}" for i, n in enumerate(names)]
-        own = StructType([wanted[n] if n in wanted.names else StructField(n, StringType()) for n in first])
-        read = spark.read.schema(own).option("header", True).csv(row["paths"])
+        own = StructType([wanted[n] if n in wanted.names else StructField(n, StringType()) for n in first] + [StructField(RAW, StringType())])
+        read = spark.read.schema(own).option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", RAW).csv(paths)
         columns = [F.col(f.name) if f.name in first else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
-        parts.append(_placed(read.select(*columns, F.col("_metadata.file_path").alias("path"))))
+        reason = F.when(F.col(RAW).isNotNull(), "unparsable")
+        for c in [] if strict else required:
+            reason = reason.when(F.col(c).isNull(), "missing_value")
+        parts.append(_placed(read.select(*columns, reason.alias(REASON), RAW, path)))
     if not parts:
-        return spark.createDataFrame([], StructType([*wanted, StructField("market", StringType()), StructField("filename", StringType())]))
+        text = [StructField(c, StringType()) for c in ("market", "filename", REASON, RAW)]
+        return spark.createDataFrame([], StructType([*wanted, *text]))
     return reduce(DataFrame.unionByName, parts).drop("path")
 
 
+def read_named(spark: SparkSession, root: str, schema: str, required: list[str], only: Column | None = None) -> DataFrame:
+    """The rows of ``read_checked`` where every file and value must be readable; anything else stops the job."""
+    return read_checked(spark, root, schema, required, only, strict=True).drop(REASON, RAW)
+
+
 def _inventory(filename: str = "filename") -> Column:
     return F.contains(F.col(filename), F.lit("AI"))
 
 
 def read_bars(spark: SparkSession, root: str) -> DataFrame:
-    """All contract files below ``root`` (folder = market, file = contract, inventories left out) as one table."""
+    """All contract files below ``root`` (folder = market, file = contract, inventories left out) as one table; unreadable values stop the job."""
     raw = read_named(spark, root, BAR_SCHEMA, ["time", *OHLCV], ~_inventory())
     return checked_bars(raw.withColumnRenamed("filename", "contract"), ["market", "contract"])
 
 
+def sorted_bars(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, rejects) of all contract files below ``root``: every row is in one of them.
+
+    Rejects hold market, contract, reason, time, open to volume as far as they could be read, and raw. Besides the reasons of ``read_checked``
+    there is repeated_time: of rows of one contract and time the first by its prices and volume stays. Rows are read, sorted out and written once.
+    """
+    rows = read_checked(spark, root, BAR_SCHEMA, ["time", *OHLCV], ~_inventory()).withColumnRenamed("filename", "contract")
+    same = Window.partitionBy("market", "contract", "time", F.col(REASON).isNull()).orderBy(*OHLCV)
+    again = F.col(REASON).isNull() & (F.row_number().over(same) > 1)
+    rows = written(rows.withColumn(REASON, F.when(again, "repeated_time").otherwise(F.col(REASON))), "sorted-bars")
+    columns = ["time", *OHLCV]
+    return rows.filter(F.col(REASON).isNull()).select("market", "contract", *columns), rows.filter(F.col(REASON).isNotNull()).select("market", "contract", REASON, *columns, RAW)
+
+
+def file_status(spark: SparkSession, root: str, bars: DataFrame, rejects: DataFrame) -> DataFrame:
+    """market, contract, n_rows, n_bars, n_rejects, status of every contract file: ok, missing_column, no_rows, or some_rejected."""
+    by = ["market", "contract"]
+    named = discover_files(spark, root).filter(~_inventory()).select("market", F.col("filename").alias("contract"))
+    one = bars.groupBy(*by).agg(F.count("*").alias("n_bars"))
+    two = rejects.groupBy(*by).agg(F.count("*").alias("n_rejects"), F.count_if(F.col(REASON) == "missing_column").alias("_columns"))
+    out = named.distinct().join(one, by, "left").join(two, by, "left").fillna(0, ["n_bars", "n_rejects", "_columns"])
+    status = F.when(F.col("_columns") > 0, "missing_column").when(F.col("n_bars") + F.col("n_rejects") == 0, "no_rows").when(F.col("n_rejects") > 0, "some_rejected").otherwise("ok")
+    return out.select(*by, (F.col("n_bars") + F.col("n_rejects")).alias("n_rows"), "n_bars", "n_rejects", status.alias("status"))
+
+
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
     """market, filename, path of the contract files below ``root``; only names are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
@@ -94,27 +149,18 @@ def read_signals(spark: SparkSession, folder: str) -> DataFrame:
     return read_named(spark, folder, SIGNAL_SCHEMA + ", signal double", ["timestamp", "main_contract_clean", "signal"]).drop("market")
 
 
-def write_by(df: DataFrame, path: str, by: str | list[str], fmt: str = "parquet") -> None:
-    """A folder per value of ``by``, one file each; the readers above find market and filename in the folders' names."""
-    by = [by] if isinstance(by, str) else by
-    df.repartition(*by).write.mode("overwrite").format(fmt).partitionBy(*by).option("header", True).save(path)
-
+#: Rows of a written file; a folder with more has several, in order.
+FILE_ROWS = 1 << 20
 
-MODEL_TABLES = ("models", "states", "pmf", "steps", "cdf", "bounds")
 
+def write_by(df: DataFrame, path: str, by: str | list[str], fmt: str = "parquet", order: list[str] | None = None, rows: int = FILE_ROWS) -> None:
+    """A folder per value of ``by``; the readers above find market and filename in the folders' names.
 
-def save_model(model: dict[str, DataFrame], path: str) -> None:
-    """Write a fitted model's tables; an incomplete model is refused."""
-    missing = [t for t in MODEL_TABLES if t not in model]
-    if missing:
-        raise ValueError(f"Model is not fitted: no {missing}")
-    for t in MODEL_TABLES:
-        model[t].write.mode("overwrite").parquet(f"{path}/{t}")
-
-
-def load_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Read the tables back; anything else at the path raises."""
-    model = {t: spark.read.parquet(f"{path}/{t}") for t in MODEL_TABLES}
-    if not {"m", "n", "k", "direction", "ell", "prob"} <= set(model["pmf"].columns):
-        raise ValueError("Not a model of this library")
-    return model
+    Only folders that ``df`` has rows for are replaced, so another market's output stays and a repeated run gives the same. Rows are dealt
+    by ranges of ``by`` and ``order``, so a folder with very many rows is written by several tasks, and its files are in order by their names.
+    """
+    by = [by] if isinstance(by, str) else by
+    keys = [*by, *(order or [])]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    out = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows)
+    out.format(fmt).partitionBy(*by).option("header", True).save(path)

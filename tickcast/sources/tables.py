@@ -47,3 +47,13 @@ EVENT_SYMBOLS = ["ES", "VG", "XX"]
 
 def event_symbol(contract):
     return F.element_at(F.array(*map(F.lit, EVENT_SYMBOLS)), F.length(contract) % len(EVENT_SYMBOLS) + 1)
+
+
+#: Symbols and months of the contract files that event types are written to.
+FILE_SYMBOLS, FILE_MONTHS = ["GC", "NQ", "VG"], "FGHJKMN"
+
+
+def event_contract(contract):
+    """The name of a contract file for an event type, of a routed symbol; each type has its own."""
+    h = (2 * F.length(contract) + F.ascii(contract)) % 7
+    return F.concat(F.element_at(F.array(*map(F.lit, FILE_SYMBOLS)), h % 3 + 1), F.substr(F.lit(FILE_MONTHS), h + 1, F.lit(1)), F.lit("24.csv"))
