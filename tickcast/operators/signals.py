@@ -49,14 +49,15 @@ def side(signal: Column) -> Column:
 def placement_levels(asked: DataFrame, steps: DataFrame, keys: list[str], risk: float, most: int = LEVELS) -> DataFrame:
     """Add level, accepted_level, accepted_prob: the first of levels 0..9 whose probability is below ``risk``, or 9.
 
-    ``asked`` holds keys, m, n, k, direction; ``steps`` are cumulative step functions, searched for each level. A level beyond them has probability 0.
+    ``asked`` holds keys, m, n, k, direction; ``steps`` are cumulative step functions, searched once a level for each
+    distribution before the join. A level beyond them has probability 0.
     """
     by = [*keys, "m", "n", "k", "direction"]
-    out = asked.join(steps.select(*by, "base_prob", "levels", "cums"), by, "left")
-    out = out.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda x: M.cum_at(x.cast("long"))))
+    tried = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda x: M.cum_at(x.cast("long")))
+    out = asked.join(steps.select(*by, tried.alias("_p")), by, "left").withColumn("_p", F.coalesce("_p", F.array_repeat(F.lit(0.0), most)))
     fails = F.array_position(F.transform("_p", lambda p: p < risk), True).cast("int")
     out = out.withColumn("level", F.when(fails == 0, most - 1).otherwise(fails - 1)).withColumn("accepted_level", F.when(fails == 0, most - 1).when(fails == 1, 0).otherwise(fails - 2))
-    return out.withColumn("accepted_prob", F.when(fails == 1, 0.0).otherwise(F.element_at("_p", F.col("accepted_level") + 1))).drop("base_prob", "levels", "cums", "_p")
+    return out.withColumn("accepted_prob", F.when(fails == 1, 0.0).otherwise(F.element_at("_p", F.col("accepted_level") + 1))).drop("_p")
 
 
 def limit_price(close: Column, level: Column, tick: Column, direction: Column) -> Column:
