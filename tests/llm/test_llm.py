@@ -235,6 +235,27 @@ def test_recall_with_more_lists_than_probes(spark, n, per_list):
     assert len(found) == n // 50 * 5 and hits >= 0.9 * len(found)
 
 
+def test_levels_of_parts_keep_recall_and_copies_in_proportion(spark, monkeypatch):
+    """With few cells, parts of parts are needed; copies of centroids grow with the vectors, not with their square."""
+    keep, small = neighbours.written, dict(per_list=8, per_cell=100, centroids=4, fan=8, parts=4, salt=100)
+    copies, recall = {}, {}
+    for n in (2000, 8000):
+        made = []
+        monkeypatch.setattr(neighbours, "written", lambda df, name: made.append((name, out := keep(df, name))) or out)
+        r = np.random.default_rng(2)
+        x = r.normal(size=(60, 16))[r.integers(0, 60, n)] + 0.7 * r.normal(size=(n, 16))
+        found = neighbours.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), **small).collect()
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        want = {(q, int(i)) for q in range(0, n, 50) for i in np.argsort(-np.where(np.arange(n) == q, -2, u @ u[q]), kind="stable")[:5]}
+        recall[n] = len(want & {(f.query_id, f.vec_id) for f in found}) / len(want)
+        fitted = [df.count() for name, df in made if name in ("parts", "pivots")]
+        sizes = neighbours.levels_of(n / 4, 8, 8, 4)
+        assert len(fitted) == len(sizes) > 2
+        copies[n] = sum(c * max(1, -(-int(neighbours.CELLS * s) // 100)) for c, s in zip(fitted, sizes))
+    assert min(recall.values()) >= 0.9, recall
+    assert copies[8000] <= 6 * copies[2000], copies
+
+
 def test_token_counts(docs, empty):
     e = token_counts.encoding(token_counts.default_path())
     want = {i: len(e.encode_ordinary(t or "")) for i, t in texts()}

@@ -2,12 +2,15 @@
 
 Equal vectors are one content first, with the few least ids that a result can hold. Cells are fitted on a bounded sample; their
 centroids are joined by an in-memory neighbour graph that is shipped to the tasks. Each cell is cut into lists around pivots, which are
-fitted in the cell on a share of its contents, one for every ``LIST`` of them: lists are as many as the table asks for, and balanced. Every content
-goes to the list of its nearest pivot, and boundary vectors also to further cells and lists that are almost as near. A query searches
-the graph for cells, compares the pivots there, and keeps the lists whose distance is within a ratio of the best. A list is scored as
+fitted in the cell on a share of its contents, one for every ``LIST`` of them: lists are as many as the table asks for, of like sizes by that fit. A
+cell that would need more than ``FAN`` pivots is first cut into ``PARTS`` parts in the same way, and these again, until no part needs more. Every
+content goes to the list of its nearest pivot, and boundary vectors also to further cells, parts and lists that are almost as near. A query searches
+the graph for cells, compares the parts and pivots there, and keeps the lists whose distance is within a ratio of the best. A list is scored as
 one block against its queries; only the best of a block travel on. Scores are exact cosines in double precision on the original vectors.
 
-Work for a vector or a query is the graph's, a cell's pivots (the table's size over cells and ``LIST``) and, for a query, ``PROBES`` lists.
+Tasks meet a cell's or part's centroids in chunks of ``SALT`` of its vectors. As these are ``FAN`` at most, the copies of centroids are
+a fixed share of the vectors at any size, and work for a vector or a query is the graph's, ``PARTS`` or ``FAN`` comparisons a level and, for a
+query, ``PROBES`` lists.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors whose
 dimension differs from the most frequent one; ties go to the smaller id; a query id that repeats has the best over its vectors, and rows that repeat an id count once
@@ -27,6 +30,8 @@ from tickcast.llm.common import bounded_batches, mapped, written
 SAMPLE, SAMPLE_BYTES, CENTROIDS = 16_384, 64 << 20, 1024
 #: Vectors for a pivot, and for a cell while there are fewer than the most; contents that a pivot is fitted on.
 LIST, CELL, FIT = 512, 8192, 16
+#: Pivots of a cell or part at most, parts that a larger one is cut into, parts that a query sees of one.
+FAN, PARTS, NEAR_PARTS = 256, 64, 12
 #: Cells and lists that a vector is in at most, and how much farther than its nearest they may be.
 CELLS, LISTS, BOUNDARY = 3, 2, 1.3
 #: Cells and lists that a query sees at most, and how much farther than the nearest they may be.
@@ -132,7 +137,17 @@ def _pivots(left: pa.Table, right: pa.Table, dims: int):
     return v, unit(matrix(right["pv"].combine_chunks(), dims))[order], right["pid"].to_numpy()[order]
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", per_list: int = LIST, per_cell: int = CELL) -> DataFrame:
+def levels_of(size: float, per_list: int, fan: int, parts: int) -> list[float]:
+    """Contents of an average cell, and of a part after each level of parts that it needs, until ``fan`` pivots are enough."""
+    out = [size]
+    while out[-1] > fan * per_list:
+        out.append(out[-1] / parts)
+    return out
+
+
+def nearest(
+    vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", per_list: int = LIST, per_cell: int = CELL, centroids: int = CENTROIDS, fan: int = FAN, parts: int = PARTS, salt: int = SALT
+) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -149,8 +164,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     most = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * dims)))
     sample = contents.orderBy(F.xxhash64("first"), "first", "cid").limit(most).select("v").toArrow()  # bounded in rows and bytes
     x = unit(matrix(sample["v"].combine_chunks(), dims))
-    graph = CentroidGraph(fit_centroids(x, min(CENTROIDS, -(-total // per_cell), len(x))))
-    salts = max(1, -(-CELLS * total // len(graph.c) // SALT))
+    graph = CentroidGraph(fit_centroids(x, min(centroids, -(-total // per_cell), len(x))))
+    sizes = levels_of(total / len(graph.c), per_list, fan, parts)
 
     def cells(want: int, ratio: float):
         def run(batch: pa.RecordBatch):
@@ -158,24 +173,32 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
                 part = batch.slice(i, 500)
                 at, d = graph.search(unit(matrix(part.column(1), dims)), want, 3 * want)
                 row, col = np.nonzero(near_enough(d, ratio))
-                yield part.take(pa.array(row)).append_column("cell", pa.array(at[row, col], pa.int32()))
+                yield part.take(pa.array(row)).append_column("cell", pa.array(at[row, col], pa.int64()))
 
         return run
 
-    def split(left: pa.Table, right: pa.Table) -> pa.Table:
-        v, p, pid = _pivots(left, right, dims)
-        out = []
-        for i in range(0, len(v), 1000):
-            d = 1 - v[i : i + 1000] @ p.T
-            at = np.argsort(d, axis=1, kind="stable")[:, :LISTS]
-            row, col = np.nonzero(near_enough(np.take_along_axis(d, at, 1), BOUNDARY))
-            out.append(left.slice(i, 1000).take(pa.array(row)).drop(["salt"]).append_column("list", pa.array(pid[at[row, col]])))
-        return pa.concat_tables(out) if out else left.drop(["salt"]).append_column("list", pa.array([], pa.int64()))
-
-    def fit_pivots(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        x = unit(matrix(rows["v"].combine_chunks(), dims))
-        c = fit_centroids(x, -(-len(x) // FIT))
-        return pa.table({"pcell": pa.array([key[0].as_py()] * len(c), pa.int32()), "pid": np.arange(len(c)), "pv": pa.FixedSizeListArray.from_arrays(c.ravel(), dims).cast(pa.list_(pa.float64()))})
+    def near_centroids(want: int, ratio: float):
+        """Rows of a cell or part with its centroids that are near enough, as ``list``."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            v, p, pid = _pivots(left, right, dims)
+            left, out = left.drop(["salt"]), []
+            for i in range(0, len(v), 1000):
+                d = 1 - v[i : i + 1000] @ p.T
+                at = np.argsort(d, axis=1, kind="stable")[:, :want]
+                row, col = np.nonzero(near_enough(np.take_along_axis(d, at, 1), ratio))
+                out.append(left.slice(i, 1000).take(pa.array(row)).append_column("list", pa.array(pid[at[row, col]])))
+            return pa.concat_tables(out) if out else left.append_column("list", pa.array([], pa.int64()))
+
+        return run
+
+    def fit_pivots(count):
+        def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+            x = unit(matrix(rows["v"].combine_chunks(), dims))
+            c = fit_centroids(x, count(len(x)))
+            return pa.table({"pcell": pa.array([key[0].as_py()] * len(c), pa.int64()), "pid": np.arange(len(c)), "pv": pa.FixedSizeListArray.from_arrays(c.ravel(), dims).cast(pa.list_(pa.float64()))})
+
+        return run
 
     def near_lists(left: pa.Table, right: pa.Table) -> pa.Table:
         v, p, pid = _pivots(left, right, dims)
@@ -184,20 +207,41 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
         row = np.repeat(np.arange(len(v)), at.shape[1])
         return pa.table({"cid": left["cid"].take(pa.array(row)), "cell": left["cell"].take(pa.array(row)), "list": pid[at.ravel()], "d": np.take_along_axis(d, at, 1).ravel()})
 
-    in_cells = "v array<double>, cell int"
-    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(salts)).cast("int"))
-    posted = salted(mapped(contents.select("cid", "v", "first"), cells(CELLS, BOUNDARY), "cid long, v array<double>, first long, cell int"))
-    share = contents.filter(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(max(1, per_list // FIT))) == 0).select("cid", "v")
-    fitted = mapped(share, cells(1, 1.0), f"cid long, {in_cells}").groupBy("cell").applyInArrow(fit_pivots, "pcell int, pid long, pv array<double>")
-    fitted = written(fitted, "pivots")  # once, since both sides must see the same
-    pivots = fitted.withColumn("psalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    lists = posted.groupBy("cell", "salt").cogroup(pivots.groupBy("pcell", "psalt")).applyInArrow(split, "cid long, v array<double>, first long, cell int, list long")
+    def meet(df: DataFrame, fitted: DataFrame, size: float, fn, schema: str) -> DataFrame:
+        """Rows of each cell or part meet its centroids, in chunks of about ``salt`` rows; the centroids are copied to the chunks."""
+        salts = max(1, -(-int(CELLS * size) // salt))
+        rows = df.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(salts)).cast("int"))
+        copies = fitted.withColumn("psalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return rows.groupBy("cell", "salt").cogroup(copies.groupBy("pcell", "psalt")).applyInArrow(fn, schema)
+
+    def some(level: int, step: int) -> DataFrame:
+        """One content in ``step`` with its nearest cell."""
+        share = contents.filter(F.pmod(F.xxhash64("cid", F.lit(2 + level)), F.lit(max(1, step))) == 0).select("cid", "v")
+        return mapped(share, cells(1, 1.0), "cid long, v array<double>, cell long")
+
+    fits = []  # the parts' centroids by level, then the lists' pivots
+
+    def down(df: DataFrame, columns: str, want: int, ratio: float) -> DataFrame:
+        """Rows with their cell, down the levels of parts fitted so far."""
+        for size, fitted in zip(sizes, fits):
+            df = meet(df, fitted, size, near_centroids(want, ratio), f"{columns}, cell long, list long")
+            df = df.withColumn("cell", F.col("cell") * parts + F.greatest("list", F.lit(0))).drop("list")
+        return df
+
+    narrow, wide = "cid long, v array<double>", "cid long, v array<double>, first long"
+    for level, size in enumerate(sizes[:-1]):
+        sample_of = down(some(level + 1, int(size / (parts * 4 * FIT))), narrow, 1, 1.0)
+        fits.append(written(sample_of.groupBy("cell").applyInArrow(fit_pivots(lambda n: min(parts, n)), "pcell long, pid long, pv array<double>"), "parts"))
+    last = down(some(0, per_list // FIT), narrow, 1, 1.0)
+    pivots = written(last.groupBy("cell").applyInArrow(fit_pivots(lambda n: -(-n // FIT)), "pcell long, pid long, pv array<double>"), "pivots")  # once, since both sides must see the same
+    posted = down(mapped(contents.select("cid", "v", "first"), cells(CELLS, BOUNDARY), f"{wide}, cell long"), wide, LISTS, BOUNDARY)
+    lists = meet(posted, pivots, sizes[-1], near_centroids(LISTS, BOUNDARY), f"{wide}, cell long, list long")
     # queries are contents too; many queries may share one
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v")
     asked = written(asked.join(contents.select("v", "cid"), "v").select("query_id", "cid").distinct(), "asked-vectors")
     own = contents.select("cid", "v").join(asked.select("cid").distinct(), "cid", "left_semi")
-    seen = salted(mapped(own, cells(NEAR_CELLS, RATIO), f"cid long, {in_cells}"))
-    probes = seen.groupBy("cell", "salt").cogroup(pivots.groupBy("pcell", "psalt")).applyInArrow(near_lists, "cid long, cell int, list long, d double")
+    seen = down(mapped(own, cells(NEAR_CELLS, RATIO), f"{narrow}, cell long"), narrow, NEAR_PARTS, RATIO)
+    probes = meet(seen, pivots, sizes[-1], near_lists, "cid long, cell long, list long, d double")
     w = Window.partitionBy("cid").orderBy("d", "cell", "list")  # a query's lists in its few cells
     probes = probes.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= PROBES).withColumn("least", F.min("d").over(Window.partitionBy("cid")))
     probes = probes.filter((F.col("d") <= RATIO * F.col("least")) | (F.col("at") <= PROBES // 4))
