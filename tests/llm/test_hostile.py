@@ -1,5 +1,8 @@
 """Every registered query over tables with null and repeated ids, null, empty and long texts, ties and clashing columns, and over empty tables."""
 
+import hashlib
+import random
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickcast.llm import queries
+from tickcast.llm import line_dedup, pieces, queries, token_counts
 
 EXTRA = ["block", "h", "n", "row", "key", "label", "score", "list", "kind", "salt", "length", "piece", "ids", "x", "content", "bands", "shard", "first"]
 LONG = " ".join(f"w{i % 701} v{i}" for i in range(15_000)) + "\n" + "\n".join(f"line {i} of many words that nobody reads twice over" for i in range(800))
@@ -43,6 +46,75 @@ def tables(request, spark, tmp_path_factory):
     return request.param, at
 
 
+def in_order():
+    """Rows as the operators order them: by id, none last; rows of one id hold no windows or lines of each other unless they are equal."""
+    return sorted(((i, t or "") for i, t, _ in rows()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def removed(units, window, joint):
+    """(number of units, number removed, digest of what is left) of every row of ``units``, windows by ``window(row)`` as (start, length)."""
+    seen, out = set(), []
+    for i, x in units:
+        gone = set()
+        for s, n in window(x):
+            key = tuple(x[s : s + n])
+            if key in seen:
+                gone.update(range(s, s + n))
+            seen.add(key)
+        out.append((i, len(x), len(gone), sha(joint.join(u for k, u in enumerate(x) if k not in gone))))
+    return out
+
+
+def line_windows(x):
+    words_ = [len(WORD.findall(y)) for y in x]
+    return [(s, n) for s in range(len(x)) for n in (1, 2, 3) if s + n <= len(x) and (n == 3 or len(x) == n or sum(words_[s : s + n]) >= 8)]
+
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def plain(name):
+    """Values of a query by a plain loop over the hostile rows."""
+    if name == "op4_substring_dedup":
+        return removed([(i, WORD.findall(t)) for i, t in in_order()], lambda x: [(s, 20) for s in range(len(x) - 19)], " ")
+    if name == "op5_line_dedup":
+        return removed([(i, t.split("\n")) for i, t in in_order()], line_windows, "\n")
+    if name == "op10_token_counts":
+        e = token_counts.encoding(token_counts.default_path())
+        return [(i, len(e.encode_ordinary(t))) for i, t in in_order()]
+    if name == "op1_sentencepiece":
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+        ids = [(i, sp.encode(t)) for i, t in in_order()]
+        return [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids]
+    return None
+
+
+@pytest.mark.parametrize("name", ["op1_sentencepiece", "op4_substring_dedup", "op5_line_dedup", "op10_token_counts"])
+def test_values_on_hostile_rows(spark, tables, name):
+    kind, at = tables
+    want = [] if kind == "empty" else plain(name)
+    columns = queries.queries()[name](spark, at).columns[: len(want[0]) if want else 2]
+    found = queries.queries()[name](spark, at).select(columns).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lines_of_random_texts_equal_a_loop(spark, seed):
+    r = random.Random(seed)
+    pool = ["", "a", "b", "one two three four", "five six seven eight nine ten eleven twelve", "q r s t u v w x y", " ", "c d e f"]
+    some = [(i, "\n".join(r.choices(pool, k=r.randrange(1, 9)))) for i in range(150)]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(7)
+    got = line_dedup.remove_repeated_lines(df).collect()
+    want = removed([(i, t.split("\n")) for i, t in some], line_windows, "\n")
+    assert sorted((g.doc_id, g.n_lines, g.n_removed, sha(g.kept_text)) for g in got) == sorted(want)
+
+
 @pytest.mark.parametrize("name", list(queries.queries()))
 def test_query(spark, tables, name):
     kind, at = tables
