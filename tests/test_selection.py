@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickcast.jobs import backtest, training
 from tickcast.operators import bars as B
-from tickcast.operators import days, scan, selection, states
+from tickcast.operators import days, moves, scan, selection, states
 
 KEYS = ["contract"]
 BAR = "contract string, time timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -190,3 +190,34 @@ def test_training_of_a_long_series_is_the_same(spark, monkeypatch):
     one = training.fit(df, KEYS, p)["pmf"].collect()
     monkeypatch.setattr(states.boundaries, "__defaults__", (None, 10))
     assert sorted(map(str, training.fit(df, KEYS, p)["pmf"].collect())) == sorted(map(str, one))
+
+
+def test_counts_by_moves_equal_counting_every_prefix(spark):
+    """Two lanes, a hundred prefixes, ties and degenerate boundaries among them; rows follow bars plus moves."""
+    rng = np.random.default_rng(8)
+    n = 900
+    rows = [("A", lane, i, float(a), float(b), float(c), int(x), int(x // 2), int(x % 3)) for lane in ("0", "1") for i, (a, b, c, x) in enumerate(zip(np.sin(np.arange(n) / 40) + rng.normal(size=n) / 4, np.where(np.arange(n) < 60, 5, rng.integers(0, 9, n)), rng.normal(size=n), rng.integers(0, 30, n)))]
+    feats = spark.createDataFrame(rows, "contract string, lane string, bar_seq long, v_ewma double, sigma_ewma double, delta_x_ewma double, r long, r_up long, r_dn long").repartition(4)
+    asked = spark.createDataFrame([("A", str(k % 2), datetime(2024, 1, 1) + timedelta(days=k), 3 + 8 * k) for k in range(110)], "contract string, lane string, cutoff timestamp_ntz, n_bars long")
+    asked = states.with_burn_in(asked, 10, (3, 3, 2))
+    bounds = states.prefix_boundaries(feats, ["contract", "lane"], asked, ["cutoff"], (3, 3, 2))
+    assert {r.status for r in bounds.collect()} == {"ok", "degenerate_bins"}
+    one = backtest.cutoff_frequencies(feats, bounds, many=0)
+    two = backtest.cutoff_frequencies(feats, bounds, many=1 << 40)
+    columns = ["contract", "cutoff", "m", "n", "k", "direction", "ell", "n_seen"]
+    assert sorted(map(tuple, one.select(columns).collect())) == sorted(map(tuple, two.select(columns).collect()))
+    prefixes = moves.numbered(bounds, ["contract", "lane"], "cutoff")
+    given = backtest.classified(feats, bounds).filter("bar_seq >= j_s").count()
+    assert moves.stays(feats, ["contract", "lane"], prefixes).count() < given / 3
+
+
+def test_backtests_by_moves_are_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("A", datetime(2024, 1, 1) + timedelta(days=d, minutes=9 * i), x, x + rng.randrange(4), x - rng.randrange(3), x, float(rng.randrange(30))) for d in range(15) for i in range(60 if d % 5 else 40) for x in [50.0 + rng.randrange(8)]]
+    bars = spark.createDataFrame(rows, BAR)
+    asked = spark.createDataFrame([("A", datetime(2024, 1, d, 7, 30), float((-1) ** d)) for d in range(2, 16)], "contract string, timestamp timestamp_ntz, signal double")
+    p = training.Params(tau=3, sizes=(2, 3, 2))
+    one = sorted(map(str, backtest.place(bars, asked, p).collect()))
+    monkeypatch.setattr(backtest, "MANY_BARS", 0)
+    two = sorted(map(str, backtest.place(bars, asked, p).collect()))
+    assert one == two and any("status='ok'" in x for x in one)

@@ -9,7 +9,7 @@ from tickcast.jobs import training
 from tickcast.operators import bars as B
 from tickcast.operators import days as days_
 from tickcast.operators import model as M
-from tickcast.operators import scan, selection, signals, states
+from tickcast.operators import moves, scan, selection, signals, states
 from tickcast.sources.shared import written
 
 LIVE = ("volume_ewma", "volatility_ewma", "ewma_delta_x")
@@ -125,24 +125,35 @@ def cutoff_features(bars: DataFrame, asked: DataFrame, p: training.Params) -> Da
     return feats.join(cutoffs, ["contract", "lane"]).filter(F.col("bar_seq") < F.col("n_bars"))
 
 
-def classified_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params) -> tuple[DataFrame, DataFrame]:
-    """(rows with states, boundaries with status) of every (contract, cutoff).
+#: Bars of all cutoffs together beyond which states are counted by moves.
+MANY_BARS = 20_000_000
 
-    Boundaries of all cutoffs are selected from one dealing of the lane's bars. States follow in the join that counts them, summed before the
-    shuffle; no bar is written or shuffled for a cutoff.
-    """
-    lane = ["contract", "lane"]
+
+def bounded_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params) -> tuple[DataFrame, DataFrame]:
+    """(tau bars with features by lane, boundaries with status of every cutoff, selected from one dealing of the lane's bars)."""
     feats, cutoffs = lanes(bars, asked, p)
     starts = states.with_burn_in(written(cutoffs, "cutoff-bars"), p.halflife, p.sizes)
-    bounds = written(states.prefix_boundaries(feats, lane, starts, ["cutoff"], p.sizes, p.digits), "bounds")
-    rows = feats.join(bounds.filter("status = 'ok'").drop("status"), lane).filter(F.col("bar_seq") < F.col("n_bars"))
-    rows = rows.withColumns({s: states.right_closed(F.col(f), F.col(b)) for s, (f, b) in states.FEATURES.items()}).drop(*(b for _, b in states.FEATURES.values()))
-    return rows, bounds
+    return feats, written(states.prefix_boundaries(feats, ["contract", "lane"], starts, ["cutoff"], p.sizes, p.digits), "bounds")
+
+
+def classified(feats: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Every cutoff's bars with their states, by a join; for reports and where there are few of them."""
+    rows = feats.join(bounds.filter("status = 'ok'").drop("status"), ["contract", "lane"]).filter(F.col("bar_seq") < F.col("n_bars"))
+    return rows.withColumns({s: states.right_closed(F.col(f), F.col(b)) for s, (f, b) in states.FEATURES.items()}).drop(*(b for _, b in states.FEATURES.values()))
+
+
+def cutoff_frequencies(feats: DataFrame, bounds: DataFrame, many: int | None = None) -> DataFrame:
+    """contract, cutoff, state, direction, ell, n_seen. Bars beyond ``many`` in all are counted by moves between states, fewer in the join that
+    gives them to their cutoffs, summed before the shuffle; both give the same."""
+    if (bounds.agg(F.sum("n_bars")).first()[0] or 0) > (MANY_BARS if many is None else many):
+        return moves.frequencies(feats, ["contract", "lane"], bounds, ["cutoff"]).drop("lane")
+    return M.frequencies(classified(feats, bounds), ["contract", "cutoff"])
 
 
 def fit_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params = training.Params()) -> dict[str, DataFrame]:
     """Model tables keyed by (contract, cutoff), equal to ``training.fit`` on ``training_sets``."""
-    return training.modelled(*classified_cutoffs(bars, asked, p), ["contract", "cutoff"], p)
+    feats, bounds = bounded_cutoffs(bars, asked, p)
+    return training.modelled(classified(feats, bounds), bounds, ["contract", "cutoff"], p, cutoff_frequencies(feats, bounds))
 
 
 def place(bars: DataFrame, asked: DataFrame, p: training.Params = training.Params(), risk: float = 0.6, level: str = "first_failing") -> DataFrame:
@@ -155,9 +166,9 @@ def place(bars: DataFrame, asked: DataFrame, p: training.Params = training.Param
     keys = ["contract", "cutoff"]
     asked = asked.withColumn("cutoff", F.date_trunc("DAY", "timestamp").cast("timestamp_ntz"))
     bars, asked = written(bars, "bars"), written(asked, "asked")
-    rows, bounds = classified_cutoffs(bars, asked, p)
+    feats, bounds = bounded_cutoffs(bars, asked, p)
     # prices need the cumulatives alone, and these the levels that occur
-    steps = M.steps(M.pmf(M.frequencies(rows, keys), keys, p.method, p.alpha, dense_bins=0), keys)
+    steps = M.steps(M.pmf(cutoff_frequencies(feats, bounds), keys, p.method, p.alpha, dense_bins=0), keys)
     live = written(scan.live_features(bars, ["contract"], p.halflife), "live")
     seen = signals.as_of_prior(asked, live, ["contract"], "timestamp", "time", ["time", "close", *LIVE])
     known = bounds.select(*keys, "status", *(b for _, b in states.FEATURES.values()))

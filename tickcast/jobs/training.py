@@ -66,9 +66,9 @@ def classified(bars: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame,
     return binned(written(featured(ranged(bars, keys, p), keys, p), "features"), keys, p)
 
 
-def modelled(rows: DataFrame, bounds: DataFrame, keys: list[str], p: Params) -> dict[str, DataFrame]:
-    """Model tables of classified rows. ``steps`` are the cumulatives as step functions, ``cdf`` the same with every level, made on demand."""
-    pmf = written(M.pmf(M.frequencies(rows, keys), keys, p.method, p.alpha), "pmf")
+def modelled(rows: DataFrame, bounds: DataFrame, keys: list[str], p: Params, freq: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Model tables of classified rows, counted here unless ``freq`` is given. ``steps`` are the cumulatives as step functions, ``cdf`` the same with every level, made on demand."""
+    pmf = written(M.pmf(M.frequencies(rows, keys) if freq is None else freq, keys, p.method, p.alpha), "pmf")
     models = bounds.select(*keys, "n_bars", "j_s", "status").join(states.histogram(rows, keys, p.sizes), keys, "left")
     return {"bounds": bounds, "states": rows, "pmf": pmf, "steps": M.steps(pmf, keys), "cdf": M.reverse_cdf(pmf, keys), "models": models}
 
