@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickcast.jobs import backtest, training
 from tickcast.operators import bars as B
 from tickcast.operators import days, moves, scan, selection, states
+from tickcast.sources import shared
 
 KEYS = ["contract"]
 BAR = "contract string, time timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -221,3 +222,16 @@ def test_backtests_by_moves_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(backtest, "MANY_BARS", 0)
     two = sorted(map(str, backtest.place(bars, asked, p).collect()))
     assert one == two and any("status='ok'" in x for x in one)
+
+
+def test_tables_of_a_stage_are_deleted(spark):
+    import os
+
+    at = lambda df: df._written_at.removeprefix("file:")
+    with shared.scratch() as keep:
+        one = shared.written(spark.range(3), "one")
+        with shared.scratch() as inner:
+            two, three = inner(shared.written(spark.range(4), "two")), shared.written(spark.range(5), "three")
+        assert os.path.exists(at(two)) and not os.path.exists(at(three))
+        four = keep(shared.written(one.join(two, "id"), "four"))
+    assert four.count() == 3 and [os.path.exists(at(t)) for t in (one, two, four)] == [False, False, True]

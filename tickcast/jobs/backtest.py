@@ -10,7 +10,7 @@ from tickcast.operators import bars as B
 from tickcast.operators import days as days_
 from tickcast.operators import model as M
 from tickcast.operators import moves, scan, selection, signals, states
-from tickcast.sources.shared import written
+from tickcast.sources.shared import scratch, written
 
 LIVE = ("volume_ewma", "volatility_ewma", "ewma_delta_x")
 
@@ -131,9 +131,11 @@ MANY_BARS = 20_000_000
 
 def bounded_cutoffs(bars: DataFrame, asked: DataFrame, p: training.Params) -> tuple[DataFrame, DataFrame]:
     """(tau bars with features by lane, boundaries with status of every cutoff, selected from one dealing of the lane's bars)."""
-    feats, cutoffs = lanes(bars, asked, p)
-    starts = states.with_burn_in(written(cutoffs, "cutoff-bars"), p.halflife, p.sizes)
-    return feats, written(states.prefix_boundaries(feats, ["contract", "lane"], starts, ["cutoff"], p.sizes, p.digits), "bounds")
+    with scratch() as keep:
+        feats, cutoffs = lanes(bars, asked, p)
+        starts = states.with_burn_in(written(cutoffs, "cutoff-bars"), p.halflife, p.sizes)
+        bounds = states.prefix_boundaries(feats, ["contract", "lane"], starts, ["cutoff"], p.sizes, p.digits)
+        return keep(feats), keep(written(bounds, "bounds"))
 
 
 def classified(feats: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickcast.operators import bars as B
 from tickcast.operators import model as M
 from tickcast.operators import scan, states
-from tickcast.sources.shared import written
+from tickcast.sources.shared import scratch, written
 
 
 @dataclass(frozen=True)
@@ -55,15 +55,16 @@ def featured(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
     return states.rounded(scan.features(written(rows, "ranged"), keys, p.halflife), p.digits)
 
 
-def binned(feats: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, DataFrame]:
-    """(rows with states, boundaries with status) of a written table of features."""
+def binned(feats: DataFrame, keys: list[str], p: Params, keep=lambda t: t) -> tuple[DataFrame, DataFrame]:
+    """(rows with states, boundaries with status) of a written table of features; ``keep`` is told the table of boundaries."""
     bounds = written(states.boundaries(feats, keys, states.burn_in(feats, keys, p.halflife, p.sizes), p.sizes, p.digits), "bounds")
-    return states.assign(feats, keys, bounds), bounds
+    return states.assign(feats, keys, keep(bounds)), bounds
 
 
 def classified(bars: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, DataFrame]:
     """(rows with states, boundaries with status)."""
-    return binned(written(featured(ranged(bars, keys, p), keys, p), "features"), keys, p)
+    with scratch() as keep:
+        return binned(keep(written(featured(ranged(bars, keys, p), keys, p), "features")), keys, p, keep)
 
 
 def modelled(rows: DataFrame, bounds: DataFrame, keys: list[str], p: Params, freq: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._written_at = path
+    if _open:
+        _open[-1].append(back)
     return back
 
 
+#: Tables written inside each open ``scratch``.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, except those that are passed to the given function; these fall to a scratch around this one."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield lambda t: kept.append(t) or t
+    finally:
+        tables = _open.pop()
+        discard(*(t for t in tables if not any(t is k for k in kept)))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made; only for those that no plan reads any more."""
     for t in tables:
