@@ -290,6 +290,43 @@ def test_relational_lattice_equals_the_library(spark):
     assert {r.word: r.ids for r in pieces.word_ids(words).collect() if r.word[0] == " "} == want and pieces.word_ids(words).count() == 6
 
 
+def test_long_words_are_cut_where_no_piece_crosses(spark):
+    import random
+
+    import sentencepiece
+
+    sp, table, r = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path()), pieces.piece_table(pieces.default_path()), random.Random(4)
+    some = ["".join(r.choice(a) for _ in range(n)) for a in ("漢字文書処理言語大規模学習", "0123456789abcdef", "ab漢é.-/_:", "etaoinshrdlu ", "  \tx𝒳") for n in (59, 61, 270, 900)]
+    data, begin, end, _ = pieces.split(table, some[:4])
+    assert not pieces._long(data, begin, end).any() and len(begin) > 100
+    data, begin, end, docs = pieces.split(table, some)
+    assert begin[0] == 0 and end[-1] == len(data) and (begin[1:] == end[:-1]).all() and len(docs) == len(some) + 1
+    got = pieces.encode(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"))
+    assert {x.doc_id: x.ids for x in got.collect()} == {i: sp.encode(t) for i, t in enumerate(some)}
+
+
+def test_words_of_one_hash_are_compared(monkeypatch):
+    """Packed words come back whole; where all words of one length share a hash, a word takes the ids of its own text alone."""
+    import pyarrow as pa
+
+    words = [" ab", " xyz", " cd", "é"]
+    home = pa.table({"home": [1, 0, 1, 1], "word": words, "ids": pa.array([[5], [70000, 3], [6, 7], [8]], pa.list_(pa.int32()))})
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(pieces, "hashes", lambda data, begin, end: (np.asarray(end) - np.asarray(begin)).astype(np.uint64))
+        packs = pa.Table.from_batches(pieces._by_home(home.to_batches()))
+        assert packs.column("home").to_pylist() == [0, 1]
+        known, limits, flat, sizes, key, order = pieces._known(packs)
+        first = np.cumsum(sizes) - sizes
+        asked = [" cd", " ab", " xyz", "ü", "é", " xyw"]
+        raw = [w.encode() for w in asked]
+        ends = np.cumsum([0, *map(len, raw)])
+        which, here = pieces.looked_up(known, limits, key, order, np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:])
+        got = {w: flat[first[i] : first[i] + sizes[i]].tolist() for w, i, h in zip(asked, which, here) if not h}
+        want = {" ab": [5], " xyz": [70000, 3], " cd": [6, 7], "é": [8]}
+        assert got.items() <= want.items() and (got == want or same) and {" xyw", "ü"}.isdisjoint(got)
+
+
 def test_viterbi(spark):
     table = {"a": -1.0, "b": -1.5, "ab": -2.2, "ba": -1.2, "aba": -2.0, "c": -3.0}
 

@@ -10,8 +10,9 @@ scores that a Viterbi fold finds. Edges are therefore folded in order of score,
 spans exactly two current pieces. (For a vocabulary whose merges are ordered, this equals merging pair by pair.)
 ``viterbi`` is the fold for unigram vocabularies.
 
-The state of a fold is a bitmap of a word's piece borders. Words of more than 60 characters don't fit one; they are encoded whole where
-their text lies, by the same lattice and fold over Arrow batches (``merge_fold``).
+The state of a fold is a bitmap of a word's piece borders. Words of more than 60 characters don't fit one; they are cut at every border that
+no piece found in them spans, which changes no result, and their parts go the same way. A part that is still longer (long runs of letters
+without a free border) is encoded whole where its text lies, by the same lattice and fold over Arrow batches (``merge_fold``).
 
 Defined results: null and empty texts have no ids; characters without a piece become byte pieces; a literal U+2581 is read as a space, as
 the library reads it; texts and words of any length are encoded whole; repeated rows are encoded each; extra columns are ignored; an
@@ -37,6 +38,11 @@ _BLOOM = 22
 LONGEST_WORD = 60
 #: Characters of text that are split and hashed at once.
 _PART = 1 << 20
+#: Characters of text that travel as one compressed pack, and MB of text whose words are named once.
+_PACK = 4 << 20
+BLOCK_MB = 32
+#: Characters of a substring that tell which longer substrings can be pieces.
+_AHEAD = 3
 _tables: dict[str, PieceTable] = {}
 
 
@@ -210,9 +216,27 @@ def split(table: PieceTable, texts: list[str | None]):
     cut[docs[:-1][docs[:-1] < len(data)]] = True
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], len(data))[: len(begin)]
+    long = _long(data, begin, end)
+    if long.any():
+        some, limits = gather(data, begin[long], end[long])
+        free = free_borders(table, some, limits)
+        word = np.searchsorted(limits, free, side="right") - 1
+        cut[begin[long][word] + free - limits[word]] = True
+        begin = np.flatnonzero(cut)
+        end = np.append(begin[1:], len(data))
     return data, begin, end, np.searchsorted(begin, docs)
 
 
+def free_borders(table: PieceTable, data: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Bytes at which a character begins that no edge of the words of ``data`` joins to the one before."""
+    _, a, n, _, byte, _ = lattice(table, data, limits)
+    chars = len(byte) - 1
+    inside = np.cumsum(np.bincount(a + 1, minlength=chars + 1) - np.bincount(a + n, minlength=chars + 1))[:chars] > 0
+    space = data[byte[:-1]] == 32
+    inside[1:] |= space[1:] & space[:-1]
+    return byte[:-1][~inside]
+
+
 def gather(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the given spans, one behind the other, and their limits."""
     limits = np.concatenate([[0], np.cumsum(end - begin)])
@@ -284,11 +308,20 @@ def word_ids(words: DataFrame, path: str | None = None) -> DataFrame:
     rows = [(t.decode(), i, level.get(i, last)) for i, t in enumerate(table.texts) if t and i not in as_bytes]
     known = words.sparkSession.createDataFrame(rows, "piece string, id int, rank int")  # the vocabulary: tens of thousands of rows
     known = known.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "id", "rank")
-    longest = max(table.longest, *table.spaces)
+    sizes: dict[str, set[int]] = {}
+    for t, _, _ in rows:
+        if len(t) >= _AHEAD:
+            sizes.setdefault(t[:_AHEAD], set(range(1, _AHEAD))).add(len(t))
+    ahead = words.sparkSession.createDataFrame([(t, sorted(n)) for t, n in sizes.items()], "begins string, ahead array<int>")
+    ahead = ahead.select(F.xxhash64("begins").alias("begin_key"), "begins", "ahead")
     subs = words.select("word", F.length("word").alias("size"))
     subs = subs.select("word", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("s"))
-    subs = subs.select("word", "size", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("size"), F.col("s") + longest))).alias("e"))
-    subs = subs.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s")))
+    # substrings are as long as some piece that begins with the same characters; all of fewer characters than that are tried
+    subs = subs.withColumn("first", F.substring("word", F.col("s") + 1, F.lit(_AHEAD))).withColumn("first_key", F.xxhash64("first"))
+    subs = subs.join(F.broadcast(ahead), (F.col("first_key") == F.col("begin_key")) & (F.col("first") == F.col("begins")), "left")
+    tried = F.coalesce("ahead", F.array(*map(F.lit, range(1, _AHEAD))))
+    subs = subs.select("word", "size", "s", F.explode(F.filter(tried, lambda n: F.col("s") + n <= F.col("size"))).alias("n"))
+    subs = subs.select("word", "size", "s", (F.col("s") + F.col("n")).alias("e"), F.substring("word", F.col("s") + 1, F.col("n")).alias("piece"))
     # a number is looked up much faster than a string; the pieces themselves decide
     edges = subs.withColumn("key", F.xxhash64("piece")).join(F.broadcast(known), "key", "left").filter("known = piece or e = s + 1")
     edges = edges.withColumns({c: F.when(F.col("known") == F.col("piece"), F.col(c)) for c in ("id", "rank")})
@@ -299,6 +332,8 @@ def word_ids(words: DataFrame, path: str | None = None) -> DataFrame:
     turn = (F.coalesce("rank", F.lit(last)).cast("long") * 4096 + place_).alias("turn")
     ends, inner = F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("inner")
     unknown = F.when(F.col("id").isNull(), F.encode("piece", "UTF-8")).alias("raw")
+    # a partition holds some ten thousand words: grouped by hash, not sorted
+    words.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 16))
     lattices = edges.select("word", "size", F.struct(turn, "s", ends, inner, "id", unknown).alias("edge")).groupBy("word", "size").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
     def step(borders, x):
@@ -320,24 +355,119 @@ def word_ids(words: DataFrame, path: str | None = None) -> DataFrame:
     return taken.select("word", F.when(F.exists("taken", lambda x: x["id"].isNull()), mixed).otherwise(plain).alias("ids"))
 
 
+def _packed(n: int):
+    """Rows of (doc_id, text) as compressed packs of about ``_PACK`` characters, each dealt to one of ``n`` blocks by its content."""
+
+    def pack(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for r in rows:
+                out.write_batch(r)
+        data = sink.getvalue().to_pybytes()
+        return pa.RecordBatch.from_arrays([pa.array([zlib.crc32(data) % n], pa.int64()), pa.array([data], pa.binary())], ["block", "pack"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _PACK:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return run
+
+
+def _unpacked(pack: bytes):
+    """The rows of a pack, some at a time: (doc_ids, texts)."""
+    with pa.ipc.open_stream(pack) as rows:
+        for batch in rows:
+            texts = batch.column(1).to_pylist()
+            for i, j in _parts(texts, _PART):
+                yield batch.column(0)[i:j], texts[i:j]
+
+
+def _by_home(batches):
+    """(home, word, ids) rows as one compressed row for each home and 2^16 rows: sizes of the words in bytes and in ids, ids, words."""
+
+    def packs(rows: list[pa.RecordBatch]):
+        found = pa.Table.from_batches(rows).sort_by([("home", "ascending"), ("word", "ascending")]).combine_chunks()
+        words, ids = found.column("word").combine_chunks(), found.column("ids").combine_chunks()
+        data, limits = text_buffer(words)
+        counts = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(counts)])
+        homes, first = np.unique(found.column("home").to_numpy(), return_index=True)
+        sizes, counts = np.diff(limits).astype("<u2"), counts.astype("<u2")
+        out = []
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(sizes)]):
+            raw = sizes[i:j].tobytes() + counts[i:j].tobytes() + flat[ends[i] : ends[j]].tobytes() + data[limits[i] : limits[j]].tobytes()
+            out.append((j - i, len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
+        n, size, raw = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], ["home", "n", "size", "data"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= 1 << 16:
+            yield from packs(held)
+            held, n = [], 0
+    if n:
+        yield from packs(held)
+
+
+def _known(right: pa.Table):
+    """Words and ids of the packs of ``_by_home``: bytes, limits, flat ids, ids of each word, and the words' sorted hashes with their order."""
+    words, sizes, counts, flat = [b""], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n, size, data in zip(*(right.column(c).to_pylist() for c in ("n", "size", "data"))):
+        raw = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+        sizes.append(np.frombuffer(raw, "<u2", n).astype(np.int64))
+        counts.append(np.frombuffer(raw, "<u2", n, 2 * n).astype(np.int64))
+        m = int(counts[-1].sum())
+        flat.append(np.frombuffer(raw, "<u4", m, 4 * n).astype(np.int64))
+        words.append(raw[4 * n + 4 * m :])
+    known = np.frombuffer(b"".join(words), np.uint8)
+    limits = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    key = hashes(known, limits[:-1], limits[1:])
+    order = np.argsort(key)
+    return known, limits, np.concatenate(flat), np.concatenate(counts), key[order], order
+
+
+def looked_up(known, limits, key, order, data, begin, end) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each word of ``data`` among the known words, and which words aren't there: found by hash, then compared byte by byte."""
+    which, here = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
+    if not len(key):
+        return which, here
+    h = hashes(data, begin, end)
+    at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+    which = order[at]
+    here = (key[at] != h) | (limits[which + 1] - limits[which] != end - begin)
+    there = np.flatnonzero(~here)
+    mine, ends = gather(data, begin[there], end[there])
+    other, _ = gather(known, limits[which[there]], limits[which[there] + 1])
+    here[there[np.searchsorted(ends, np.flatnonzero(mine != other), side="right") - 1]] = True
+    return which, here
+
+
 def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
     """``finish(table, doc_ids, texts, ids, limits)`` of all rows, by blocks of documents.
 
-    Texts and words are shuffled once each: the words' exchange serves their distinct rows, their lattices and the way back.
+    Texts and words are shuffled once each: the words' exchange serves their distinct rows, their lattices and the way back. Texts and ids travel
+    compressed. Words are looked up by a hash and then compared; one that differs is encoded where it lies.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = blocks(docs, "text")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block")).repartition(n, "block")
+    n = blocks(docs, "text", BLOCK_MB)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(n), "block long, pack binary").repartition(n, "block")
 
     def held(batches):
         table, seen = piece_table(path), {}
         for batch in batches:
-            of = batch.column(2).to_numpy()
-            for b in np.unique(of).tolist():
-                texts = batch.column(1).filter(pa.array(of == b)).to_pylist()
-                for i, j in _parts(texts, _PART):
-                    data, begin, end, _ = split(table, texts[i:j])
+            for b, pack in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for _, texts in _unpacked(pack.as_py()):
+                    data, begin, end, _ = split(table, texts)
                     h, one = np.unique(hashes(data, begin, end), return_index=True)
                     before = seen.get(b, np.zeros(0, np.uint64))
                     at = np.minimum(np.searchsorted(before, h), max(0, len(before) - 1))
@@ -347,36 +477,22 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
                     words = pa.Array.from_buffers(pa.string(), int(new.sum()), [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(some)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b)), words], ["home", "word"])
 
-    named = dealt.select("doc_id", "text", "block").mapInArrow(held, "home long, word string").repartition(max(6 * n, partitions(docs)), "word")  # lattices are many times the words
+    named = dealt.mapInArrow(held, "home long, word string").repartition(max(16 * n, partitions(docs)), "word")  # lattices are many times the words
     # no home is negative; the filter makes both uses of the words read the same columns, hence one exchange
     distinct = named.groupBy("word").agg(F.max("home").alias("home")).filter("home >= 0").select("word")
-    back = named.join(word_ids(distinct, path), "word").select("home", "word", "ids")
+    back = named.join(word_ids(distinct, path), "word").select("home", "word", "ids").mapInArrow(_by_home, "home long, n long, size long, data binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = piece_table(path)
-        words, ids = right.column("word").combine_chunks(), right.column("ids").combine_chunks()
-        if isinstance(words, pa.ChunkedArray):
-            words, ids = pa.concat_arrays(words.chunks), pa.concat_arrays(ids.chunks)
-        known, limits = text_buffer(words)
-        key = hashes(known, limits[:-1], limits[1:])
-        order = np.argsort(key)
-        key = key[order]
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-        doc_ids, texts, out = left.column("doc_id").combine_chunks(), left.column("text").to_pylist(), []
-        for i, j in _parts(texts, _PART):
-            data, begin, end, rows = split(table, texts[i:j])
-            h = hashes(data, begin, end)
-            long = _long(data, begin, end)
-            which = np.zeros(len(begin), np.int64)
-            at = np.searchsorted(key, h[~long])
-            if (at >= len(key)).any() or (key[at] != h[~long]).any():
-                raise ValueError("a word of a block has no ids")
-            which[~long] = order[at]
-            which[long] = len(order) + np.arange(long.sum())
-            more, more_sizes = fold_words(table, data, begin[long], end[long])
-            got, lim = place(np.concatenate([flat, more]), np.concatenate([sizes, more_sizes]), which, rows)
-            out.append(finish(table, doc_ids[i:j], texts[i:j], got, lim))
+        table, out = piece_table(path), []
+        known, limits, flat, sizes, key, order = _known(right)
+        for pack in left.column("pack"):
+            for doc_ids, texts in _unpacked(pack.as_py()):
+                data, begin, end, rows = split(table, texts)
+                which, here = looked_up(known, limits, key, order, data, begin, end)
+                which[here] = len(order) + np.arange(here.sum())
+                more, more_sizes = fold_words(table, data, begin[here], end[here])
+                got, lim = place(np.concatenate([flat, more]), np.concatenate([sizes, more_sizes]), which, rows)
+                out.append(finish(table, doc_ids, texts, got, lim))
         return pa.Table.from_batches(out)
 
     return dealt.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(assemble, schema)
