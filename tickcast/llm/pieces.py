@@ -40,7 +40,7 @@ LONGEST_WORD = 60
 _PART = 1 << 20
 #: Characters of text that travel as one compressed pack, and MB of text whose words are named once.
 _PACK = 4 << 20
-BLOCK_MB = 32
+BLOCK_MB = 48
 #: Characters of a substring that tell which longer substrings can be pieces.
 _AHEAD = 3
 _tables: dict[str, PieceTable] = {}
@@ -360,7 +360,7 @@ def _packed(n: int):
 
     def pack(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             for r in rows:
                 out.write_batch(r)
         data = sink.getvalue().to_pybytes()
