@@ -360,7 +360,7 @@ def _packed(n: int):
 
     def pack(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
             for r in rows:
                 out.write_batch(r)
         data = sink.getvalue().to_pybytes()
