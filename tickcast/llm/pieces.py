@@ -477,7 +477,7 @@ def _encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
                     words = pa.Array.from_buffers(pa.string(), int(new.sum()), [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(some)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b)), words], ["home", "word"])
 
-    named = dealt.mapInArrow(held, "home long, word string").repartition(max(16 * n, partitions(docs)), "word")  # lattices are many times the words
+    named = dealt.mapInArrow(held, "home long, word string").repartition(max(24 * n, partitions(docs)), "word")  # lattices are many times the words
     # no home is negative; the filter makes both uses of the words read the same columns, hence one exchange
     distinct = named.groupBy("word").agg(F.max("home").alias("home")).filter("home >= 0").select("word")
     back = named.join(word_ids(distinct, path), "word").select("home", "word", "ids").mapInArrow(_by_home, "home long, n long, size long, data binary")
