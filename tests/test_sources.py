@@ -3,6 +3,7 @@
 import math
 import re
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,45 @@ def test_bars_are_read_by_name(spark, tmp_path):
         files.read_bars(spark, str(tmp_path))
 
 
+def test_headers_are_found_without_reading_files(spark, tmp_path):
+    long = ",".join(f"column{i}" for i in range(4000))  # longer than a block
+    texts = {
+        "plain.csv": "a,b\n1,2\n" * 3, "blank.csv": "\n \r\n\na,b\r\n1,2\r\n", "empty.csv": "", "spaces.csv": " \n\n", "one.csv": "a,b", "old.csv": "c,d\r1,2\r",
+        "mark.csv": "\ufeffa,b\n1,2\n", "long.csv": long + "\n1\n", "é [1] 5% + x.csv": "ü,b\n", "late.csv": "\n" * 3 * files.HEAD_BYTES + "e,f\n1,2\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / "Gold = 1").mkdir(exist_ok=True)
+        (tmp_path / "Gold = 1" / name).write_bytes(text.encode())
+    (tmp_path / "other.txt").write_text("x,y\n")
+    first = files.first_lines(spark, str(tmp_path))
+    got = {r.path: r.header for r in first.collect()}
+    named = {unquote(p.rsplit("/", 1)[1]): h for p, h in got.items()}
+    assert named == {n: "" if not t.strip() else t.strip(" \r\n\ufeff").replace("\r", "\n").split("\n")[0] for n, t in texts.items() if t}
+    assert {r.path: r.header for r in files.first_lines_by_scan(spark, str(tmp_path)).collect()} == got
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "Format: text" not in plan and "ReadSchema: struct<>" in plan
+
+
+def test_a_storage_that_only_spark_opens_is_read_by_a_scan(spark, tmp_path, monkeypatch):
+    put(tmp_path / "Gold" / "GCH22.csv", "time,open,high,low,close,volume\n2024-01-01 00:00:00,1,4,0.5,2,10\n")
+    first = files.first_lines
+    monkeypatch.setattr(files, "first_lines", lambda *a: first(*a).withColumn("header", F.lit(None).cast("string")))
+    assert [r.close for r in files.read_bars(spark, str(tmp_path)).collect()] == [2.0]
+
+
+def test_blank_lines_come_before_a_header(spark, tmp_path):
+    put(tmp_path / "Gold" / "GCH22.csv", "\n\nvolume,time,open,high,low,close\n10,2024-01-01 00:00:00,1,4,0.5,2\n")
+    put(tmp_path / "Gold" / "GCM22.csv", "")
+    bars, rejects = files.sorted_bars(spark, str(tmp_path))
+    assert [tuple(r)[3:] for r in bars.collect()] == [(1.0, 4.0, 0.5, 2.0, 10.0)] and not rejects.count()
+
+
+def test_header_and_blank_lines_of_a_refused_file_are_no_rows(spark, tmp_path):
+    put(tmp_path / "Gold" / "GCH22.csv", '\n"time", open,high, low,close\n2024-01-01 00:00:00,1,4,0.5,2\n\n2024-01-01 00:01:00,1,4,0.5,2\n')
+    bars, rejects = files.sorted_bars(spark, str(tmp_path))
+    assert not bars.count() and sorted(r.raw for r in rejects.collect()) == ["2024-01-01 00:00:00,1,4,0.5,2", "2024-01-01 00:01:00,1,4,0.5,2"]
+
+
 def test_written_folders_are_read_back(spark, tmp_path):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(f"M {i % 2}", f"C{i % 3}.csv", t + timedelta(minutes=i), float(i)) for i in range(12)], "market string, filename string, time timestamp_ntz, x double")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -43,20 +47,64 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumn("path", decoded(F.col("path"))).withColumns({"market": named_part(F.col("path"), "market", -2), "filename": named_part(F.col("path"), "filename", -1)})
 
 
+#: Bytes at a file's beginning that are read at once in search of its header.
+HEAD_BYTES = 1 << 14
+
 #: Columns of a row that was not taken: why, and its text where the reader has it.
 REASON, RAW = "reason", "raw"
 
 
-def _header_kinds(spark: SparkSession, root: str, required: list[str], only: Column | None) -> list[tuple[list[str], list[str], list[str]]]:
-    """(paths, names in the header, required names that are missing) for each kind of header among the CSV files below ``root``."""
+def first_lines(spark: SparkSession, root: str) -> DataFrame:
+    """path (as Spark addresses it) and header, the first line that isn't blank, of every CSV file below ``root``; files are read up to that line alone.
+
+    A file without such a line has an empty header, one without a byte no row; a file in a storage that pyarrow can't open has null, see ``first_lines_by_scan``.
+    """
+    block = HEAD_BYTES
+
+    def head(address: str) -> str | None:
+        try:
+            fs, path = pafs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", address), safe="/:@%!$&'()*+,;=~"))  # what Spark leaves plain
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ImportError):
+            return None
+        text = b""
+        with fs.open_input_stream(path, compression=None) as f:
+            while more := f.read(block):
+                text = (text + more).lstrip()
+                if re.search(rb"[\r\n]", text):
+                    break
+        return re.split(rb"[\r\n]", text, maxsplit=1)[0].decode("utf-8", "replace").lstrip("\ufeff")
+
+    def heads(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([head(a) for a in batch.column(0).to_pylist()], pa.string())], ["path", "header"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
+    return files.select(F.col("_metadata.file_path").alias("path")).mapInArrow(heads, "path string, header string")
+
+
+def first_lines_by_scan(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of ``first_lines`` by a pass over all lines, for storages that only Spark can open."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
-    heads = _placed(lines.groupBy("path").agg(F.min_by("value", "at").alias("header")))
-    heads = heads if only is None else heads.filter(only)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.when(~F.rlike("value", F.lit(r"^\s*$")), at).alias("at"))
+    return lines.groupBy("path").agg(F.coalesce(F.ltrim(F.min_by("value", "at")), F.lit("")).alias("header"))
+
+
+def _header_kinds(spark: SparkSession, root: str, required: list[str], only: Column | None) -> list[tuple[list[str], str, list[str], list[str]]]:
+    """(paths, header, names in it, required names that are missing) for each kind of header among the CSV files below ``root``."""
+
+    def by_header(first: DataFrame):
+        first = _placed(first)
+        first = first if only is None else first.filter(only)
+        return first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()  # a row for each kind of header, with file names alone
+
+    found = by_header(first_lines(spark, root))
+    if any(row["header"] is None for row in found):
+        found = by_header(first_lines_by_scan(spark, root))
     kinds = []
-    for row in heads.groupBy("header").agg(F.collect_list("path").alias("paths")).collect():  # a row for each kind of header, with file names alone
-        names = [x.strip() for x in next(csv.reader([(row["header"] or "").lstrip("\ufeff")]), [])]
-        kinds.append((row["paths"], names, [c for c in required if c not in names]))
+    for row in found:
+        names = [x.strip() for x in next(csv.reader([row["header"]]), [])]
+        kinds.append((row["paths"], row["header"], names, [c for c in required if c not in names]))
     return kinds
 
 
@@ -70,13 +118,13 @@ def read_checked(spark: SparkSession, root: str, schema: str, required: list[str
     """
     wanted = StructType.fromDDL(schema)
     parts = []
-    for paths, names, missing in _header_kinds(spark, root, required, only):
+    for paths, header, names, missing in _header_kinds(spark, root, required, only):
         path = F.col("_metadata.file_path").alias("path")
         if missing and strict:
             raise ValueError(f"{min(paths)} lacks {', '.join(missing)}")
         if missing:
             text = spark.read.text(paths).select(F.col("value").alias(RAW), path)
-            text = text.filter(F.ltrim(F.translate(RAW, "\ufeff", "")) != F.lit(",".join(names)))
+            text = text.filter(~F.rlike(RAW, F.lit(r"^\s*$")) & (F.ltrim(F.translate(RAW, "\ufeff", "")) != F.lit(header)))
             parts.append(_placed(text.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in wanted), F.lit("missing_column").alias(REASON), RAW, "path")))
             continue
         first = [n if n in wanted.names and n not in names[:i] else f"_unused{i}" for i, n in enumerate(names)]
