@@ -73,6 +73,15 @@ def test_header_and_blank_lines_of_a_refused_file_are_no_rows(spark, tmp_path):
     assert not bars.count() and sorted(r.raw for r in rejects.collect()) == ["2024-01-01 00:00:00,1,4,0.5,2", "2024-01-01 00:01:00,1,4,0.5,2"]
 
 
+def test_names_with_signs_of_patterns_and_addresses(spark, tmp_path):
+    names = ["é [1] 5% + x.csv", "{a,b}?.csv", "*.csv", "a%20b.csv", "back\\slash.csv"]
+    for i, name in enumerate(names):
+        put(tmp_path / "Gold [2]" / name, f"time,open,high,low,close,volume\n2024-01-01 00:00:00,1,4,0.5,2,{i}\n")
+    bars = files.read_bars(spark, str(tmp_path))
+    assert {(r.market, r.contract): r.volume for r in bars.collect()} == {("Gold [2]", n): float(i) for i, n in enumerate(names)}
+    assert {(r.market, r.filename) for r in files.discover_files(spark, str(tmp_path)).collect()} == {("Gold [2]", n) for n in names}
+
+
 def test_written_folders_are_read_back(spark, tmp_path):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([(f"M {i % 2}", f"C{i % 3}.csv", t + timedelta(minutes=i), float(i)) for i in range(12)], "market string, filename string, time timestamp_ntz, x double")

@@ -96,6 +96,7 @@ def _header_kinds(spark: SparkSession, root: str, required: list[str], only: Col
     def by_header(first: DataFrame):
         first = _placed(first)
         first = first if only is None else first.filter(only)
+        first = first.withColumn("path", F.regexp_replace("path", r"([\[\]{}*?\\])", r"\\$1"))  # Spark reads these signs as patterns
         return first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()  # a row for each kind of header, with file names alone
 
     found = by_header(first_lines(spark, root))
@@ -183,7 +184,7 @@ def file_status(spark: SparkSession, root: str, bars: DataFrame, rejects: DataFr
 
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
     """market, filename, path of the contract files below ``root``; only names are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select(F.col("_metadata.file_path").alias("path"))
     return _placed(files).filter(~F.startswith("filename", F.lit("AIAgent_"))).select("market", "filename", "path")
 
 
