@@ -92,6 +92,16 @@ def test_written_folders_are_read_back(spark, tmp_path):
     assert {(r.market, r.filename) for r in files.discover_files(spark, str(tmp_path / "out")).collect()} == {(f"M {i % 2}", f"C{i % 3}.csv") for i in range(12)}
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_written_times_keep_their_microseconds(spark, tmp_path, fmt):
+    times = [datetime(2024, 1, 9, 9, 20, 0, us) for us in (0, 1, 425, 999, 1000, 123456, 999999)]
+    df = spark.createDataFrame([("M", t) for t in times], "market string, ntz timestamp_ntz").withColumn("zoned", F.col("ntz").cast("timestamp"))
+    files.write_by(df, str(tmp_path), "market", fmt, ["ntz"])
+    back = spark.read.schema("ntz timestamp_ntz, zoned timestamp").option("header", True).option("mode", "FAILFAST").format(fmt).load(str(tmp_path))
+    assert sorted(r.ntz for r in back.collect()) == times
+    assert back.filter("zoned = cast(ntz as timestamp)").count() == len(times)
+
+
 def table(spark, markets, n=6):
     t = datetime(2024, 1, 1)
     rows = [(m, f"{m}{k}.csv", t + timedelta(minutes=i), *([float(i)] * 5)) for m in markets for k in range(2) for i in reversed(range(n))]
@@ -245,6 +255,20 @@ def test_from_signals_to_placements(spark, tmp_path):
             assert r.opti_price == pytest.approx(close - r.level * 0.5 if name == "VGH22.csv" else close + r.level * 0.25)
 
 
+def test_a_signal_microseconds_after_a_bar_is_priced_by_it(spark, tmp_path):
+    put(tmp_path / "data" / "EuroStoxx" / "VGH22.csv", "time,open,high,low,close,volume\n" + "".join(",".join(map(str, r)) + "\n" for r in minute_rows(12)))
+    asked = [("AIAgent_A.csv", datetime(2024, 1, 12, 9, minute, 0, us), "VGH22.csv", 1.0) for minute in range(10, 20) for us in (0, 1, 425, 999)]
+    signals = spark.createDataFrame(asked, "filename string, timestamp timestamp_ntz, main_contract_clean string, signal double")
+    files.write_by(signals, str(tmp_path / "signals"), "filename", "csv", ["timestamp"])
+    folders.write_placements(spark, str(tmp_path / "signals"), str(tmp_path / "data"), str(tmp_path / "out"), training.Params(tau=2, sizes=(2, 2, 2)))
+    got = files.read_named(spark, str(tmp_path / "out"), "timestamp timestamp_ntz, level int, opti_price double, status string", ["timestamp"]).collect()
+    assert sorted(r.timestamp for r in got) == [t for _, t, _, _ in asked] and {r.status for r in got} == {"ok"}
+    closes = [(r[0], r[4]) for r in minute_rows(12)]
+    for r in got:
+        close = next(c for t, c in reversed(closes) if t < r.timestamp)
+        assert r.opti_price == pytest.approx(close - r.level * 0.5)
+
+
 def test_latest_override_counts_once(spark):
     df = spark.createDataFrame([("ES",), ("CL",)], "symbol string")
     own = spark.createDataFrame([("es", 0.5, 1), ("ES", 0.75, 2), ("ES", 0.1, 0)], "symbol string, tick_size double, registered_at int")

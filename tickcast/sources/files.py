@@ -201,15 +201,20 @@ def read_signals(spark: SparkSession, folder: str) -> DataFrame:
 #: Rows of a written file; a folder with more has several, in order.
 FILE_ROWS = 1 << 20
 
+#: Times in written text, to the microsecond as tables hold them; by default Spark cuts them to milliseconds.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def write_by(df: DataFrame, path: str, by: str | list[str], fmt: str = "parquet", order: list[str] | None = None, rows: int = FILE_ROWS) -> None:
     """A folder per value of ``by``; the readers above find market and filename in the folders' names.
 
     Only folders that ``df`` has rows for are replaced, so another market's output stays and a repeated run gives the same. Rows are dealt
     by ranges of ``by`` and ``order``, so a folder with very many rows is written by several tasks, and its files are in order by their names.
+    Times keep their microseconds in every format.
     """
     by = [by] if isinstance(by, str) else by
     keys = [*by, *(order or [])]
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     out = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows)
+    out = out.option("timestampNTZFormat", TIME_FORMAT).option("timestampFormat", TIME_FORMAT + "XXX")
     out.format(fmt).partitionBy(*by).option("header", True).save(path)
